@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .line_dedup import line_dedup
+from .minhash import near_duplicates
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,9 +18,15 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    out = near_duplicates(table(spark, folder, "documents"), shingle_words=5, percent=75)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op6_near_duplicates": op6_near_duplicates,
     }
 
 

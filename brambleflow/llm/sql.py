@@ -24,6 +24,32 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM judged GROUP BY doc_id
 """
 
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), one AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words
+), runs AS (
+  SELECT doc_id, n, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS x
+  FROM one WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), items AS (
+  SELECT DISTINCT doc_id, x FROM runs WHERE x IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (
+  SELECT doc_id, count(x)::BIGINT AS n FROM documents LEFT JOIN items USING (doc_id) GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM shared JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * both >= 75 * (p.n + q.n - both)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM sizes UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.r
+), groups AS (
+  SELECT id, min(r) AS component_id FROM reach GROUP BY id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN groups ON id = doc_id
+"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
+    "op6_near_duplicates": NEAR_DUPLICATES,
 }
