@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .licenses import scan_licenses
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
+from .packing import WINDOW, retrieval_packing
+from .pieces import encode_pieces
+from .suffix_dedup import suffix_dedup
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,15 +23,37 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents")).drop("row")
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     out = near_duplicates(table(spark, folder, "documents"), shingle_words=5, percent=75)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval_packing(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), WINDOW, with_ids=False)
+
+
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup(table(spark, folder, "documents"), length=50, digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    out = encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op4_license_scan": op4_license_scan,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_packing": op7_packing,
+        "op8_suffix_dedup": op8_suffix_dedup,
+        "op10_pieces": op10_pieces,
     }
 
 

@@ -38,9 +38,9 @@ WITH RECURSIVE words AS (
 ), sizes AS (
   SELECT doc_id, count(x)::BIGINT AS n FROM documents LEFT JOIN items USING (doc_id) GROUP BY doc_id
 ), shared AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_both FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT u, v FROM shared JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * both >= 75 * (p.n + q.n - both)
+  SELECT u, v FROM shared JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
 ), reach AS (
   SELECT doc_id AS id, doc_id AS r FROM sizes UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.r
 ), groups AS (
@@ -49,7 +49,37 @@ WITH RECURSIVE words AS (
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN groups ON id = doc_id
 """
 
+SUFFIX_DEDUP = """
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM raw
+), parts AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 1096) AS p FROM (SELECT doc_id, h, unnest(generate_series(0, n - 50, 499)) AS o FROM sized WHERE n >= 50)
+), grams AS (
+  SELECT doc_id, o + s AS s, md5(substr(p, 2 * s + 1, 100)) AS g
+  FROM (SELECT doc_id, o, p, unnest(generate_series(0, least(498, length(p) // 2 - 50))) AS s FROM parts)
+), firsts AS (
+  SELECT g, min(doc_id) AS origin FROM grams GROUP BY g HAVING min(doc_id) <> max(doc_id)
+), gone AS (
+  SELECT doc_id, s FROM grams JOIN firsts USING (g) WHERE doc_id <> origin
+), marks AS (
+  SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s), 51) > 50 AS begins FROM gone
+), spans AS (
+  SELECT doc_id, s, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marks
+), runs AS (
+  SELECT doc_id, k, min(s) AS a, max(s) + 50 AS b FROM spans GROUP BY doc_id, k
+), cut AS (
+  SELECT doc_id, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(generate_series(0, len(starts)),
+    lambda i: substr(h, 2 * coalesce(ends[i], 0) + 1, 2 * (coalesce(starts[i + 1], n) - coalesce(ends[i], 0)))), '') END)) AS kept_sha256
+FROM sized LEFT JOIN cut USING (doc_id)
+"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op6_near_duplicates": NEAR_DUPLICATES,
+    "op8_suffix_dedup": SUFFIX_DEDUP,
 }

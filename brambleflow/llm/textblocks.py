@@ -24,9 +24,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ALNUM = np.ones(256, bool)
 for _low, _high in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
     _ALNUM[_low : _high + 1] = False
+_ALNUM[ord("A") : ord("Z") + 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-#: Bytes of words: everything but ASCII white space; digits, letters and everything beyond ASCII.
+#: Bytes of words: everything but ASCII white space; digits, letters (A-Z are lower-cased) and everything beyond ASCII.
 WORD_BYTES = {"space": ~_SPACE, "alnum": _ALNUM}
 
 
