@@ -15,7 +15,9 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import WINDOW, retrieval_packing
 from .pieces import encode_pieces
+from .quality import score_quality, train_quality
 from .suffix_dedup import suffix_dedup
+from .wrappers import extract_main_text
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents")).drop("row")
 
@@ -41,6 +47,11 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, folder, "labels")))
+
+
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     out = encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -49,10 +60,12 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_main_text": op3_main_text,
         "op4_license_scan": op4_license_scan,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_packing": op7_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_quality": op9_quality,
         "op10_pieces": op10_pieces,
     }
 
