@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .kdtree import exact_top_k
 from .licenses import scan_licenses
 from .line_dedup import line_dedup
+from .media import media_digests
 from .minhash import near_duplicates
 from .packing import WINDOW, retrieval_packing
 from .pieces import encode_pieces
@@ -25,6 +27,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
+def op2_media(spark: SparkSession, folder: str) -> DataFrame:
+    return media_digests(table(spark, folder, "documents"))
+
+
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -33,6 +39,10 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents")).drop("row")
 
 
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     out = near_duplicates(table(spark, folder, "documents"), shingle_words=5, percent=75)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -60,8 +70,10 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_media": op2_media,
         "op3_main_text": op3_main_text,
         "op4_license_scan": op4_license_scan,
+        "op5_top_k": op5_top_k,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_packing": op7_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
