@@ -5,7 +5,9 @@ doc_id.  A class has 128 minima; bands of four rows each give candidate buckets,
 and the two lowest bits of every minimum are packed into four longs.  Bit counts
 of two packed signatures estimate similarity, corrected for the chance that two
 different minima agree in their low bits; only candidates far below the
-threshold (five standard errors and more) go unconfirmed.
+threshold (five standard errors and more) go unconfirmed.  A bitmap of hashed
+shingles gives an upper bound of the true intersection, which refutes most of
+the rest without reading a set.
 
 Within a bucket all members are first held against its smallest id, which ties
 large groups of copies together with as many pairs as members.  What a bucket
@@ -38,6 +40,8 @@ LANES = PERMS * BITS // 64
 #: Standard errors of the estimate between the threshold and the lowest estimate that is confirmed.
 SLACK = 5
 BLOCK_MEMBERS = 2048
+#: Bits of the bitmap of hashed shingles.
+BITMAP = 4096
 _mult = np.random.default_rng(20240229)
 _XOR = _mult.integers(0, 1 << 32, PERMS, dtype=np.uint32)
 _MUL = _mult.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
@@ -86,6 +90,13 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of BITMAP cells each row's shingles fall into, as bytes."""
+    out = np.zeros((len(bounds) - 1, BITMAP), bool)
+    out[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), (sets & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(out, axis=1)
+
+
 def _sign(k: int):
     lanes = [f"s{i}" for i in range(LANES)]
 
@@ -107,9 +118,9 @@ def _sign(k: int):
                 keys = mixed(pairs[:, :, 0]) ^ mixed(pairs[:, :, 1] + np.uint64(LOW))
                 bands[some] = mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(LOW)).view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(counts), pa.array(prints[0]), pa.array(prints[1]), *(pa.array(lows[:, i].copy()) for i in range(LANES)), flat], names=["doc_id", "row", "n_shingles", "fp1", "fp2", *lanes, "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(counts), pa.array(prints[0]), pa.array(prints[1]), *(pa.array(lows[:, i].copy()) for i in range(LANES)), flat, pa.array(list(map(bytes, bitmaps(sets, bounds))), pa.binary())], names=["doc_id", "row", "n_shingles", "fp1", "fp2", *lanes, "bands", "bits"])
 
-    schema = "doc_id long, row long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{x} long" for x in lanes) + ", bands array<long>"
+    schema = "doc_id long, row long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{x} long" for x in lanes) + ", bands array<long>, bits binary"
     return run, schema
 
 
@@ -162,17 +173,21 @@ def _different(a: str, b: str) -> Column:
     return total
 
 
-def _cross_pairs(limit: int):
+def _cross_pairs(limit: int, percent: int):
     """Over rows sorted by bucket and block pair: candidate pairs between components."""
     lanes = [f"s{i}" for i in range(LANES)]
 
-    def pairs(ids, labels, side, low) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(ids, labels, side, low, n, bits) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         us, vs = [], []
+        more = n - np.bitwise_count(bits).sum(axis=1)
         for i in left.tolist():
             x = low[right] ^ low[i]
             far = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(LOW)).sum(axis=1)
             hit = right[(far <= limit) & (labels[right] != labels[i]) & ((side[i] == 0) | (ids[right] > ids[i]))]
+            if len(hit):
+                most = np.bitwise_count(bits[hit] & bits[i]).sum(axis=1) + np.minimum(more[hit], more[i])
+                hit = hit[100 * most >= percent * (n[hit] + n[i] - most)]
             us.append(np.full(len(hit), ids[i]))
             vs.append(ids[hit])
         if not us:
@@ -188,7 +203,8 @@ def _cross_pairs(limit: int):
             t = pa.Table.from_batches(held)
             held.clear()
             low = np.stack([t.column(x).to_numpy() for x in lanes], axis=1).view(np.uint64)
-            u, v = pairs(t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("side").to_numpy(), low)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            u, v = pairs(t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("side").to_numpy(), low, t.column("n_shingles").to_numpy(), bits)
             fresh = [p for p in set(zip(u.tolist(), v.tolist(), strict=True)) if p not in seen]
             if len(seen) > 200_000:
                 seen.clear()
@@ -214,16 +230,11 @@ def _cross_pairs(limit: int):
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(*_set_rows(k))
-    sets = settle(sets, "shingles")
     with_x = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u")
     with_y = with_x.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
-    links = settle(with_y.select("u", "v", "x", "y").mapInArrow(_confirmed(percent), "u long, v long"), "links")
-    drop_settled(sets)
-    return links
+    return settle(with_y.select("u", "v", "x", "y").mapInArrow(_confirmed(percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75) -> DataFrame:
@@ -237,17 +248,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     lanes = [f"s{i}" for i in range(LANES)]
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = own.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    nodes = settle(own.join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id = id").select("id", *lanes, "bands").distinct(), "nodes")
+    nodes = settle(own.join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", *lanes, "bands", "bits").distinct(), "nodes")
     members = nodes.select("id", F.explode("bands").alias("h"))
     nodes = nodes.drop("bands")
     buckets = members.groupBy("h").agg(F.min("id").alias("center"), F.max("id").alias("other")).where("center <> other").select("h", "center")
     members = settle(members.join(buckets, "h").distinct(), "buckets")
 
+    # The hint keeps one plan at every size; the texts' side is the large one.
+    ids = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = settle(rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(*_set_rows(shingle_words)), "shingles")
+
     limit = most_different(percent)
     star = members.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
     a, b = nodes.alias("a"), nodes.alias("b")
     star = star.join(a, F.col("u") == F.col("a.id")).join(b, F.col("v") == F.col("b.id")).where(_different("a", "b") <= limit).select("u", "v")
-    links = _confirm(settle(star, "pairs"), rows, shingle_words, percent)
+    links = _confirm(settle(star, "pairs"), sets, percent)
     labels = components(links)
 
     named = members.join(labels, "id", "left").select("h", "id", F.coalesce("component", "id").alias("label"))
@@ -256,8 +271,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     blocked = named.join(open_.select("h", parts.alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part"))).alias("g"), F.when(j == F.col("part"), 2).when(F.col("part") < j, 0).otherwise(1).alias("side")))
     spread = blocked.select("h", "id", "label", F.explode(others).alias("x")).select("h", "x.g", "x.side", "id", "label").join(nodes, "id")
-    cross = spread.select("h", "g", "side", "id", "label", *lanes).repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_cross_pairs(limit), "u long, v long").distinct()
-    more = _confirm(settle(cross, "pairs"), rows, shingle_words, percent)
+    cross = spread.select("h", "g", "side", "id", "label", "n_shingles", *lanes, "bits").repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_cross_pairs(limit, percent), "u long, v long").distinct()
+    more = _confirm(settle(cross, "pairs"), sets, percent)
     labels = components(links.union(more))
 
     ids = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
