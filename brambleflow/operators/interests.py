@@ -93,7 +93,7 @@ def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked
     unit = lambda df, name: df.select("user_id", "item_id", (F.col("score") / F.max("score").over(Window.partitionBy("user_id"))).alias(name))
     own = base.join(blocked.select("user_id", "item_id").distinct().withColumn("bad", F.lit(1)), ["user_id", "item_id"], "left")
     left = F.sum(F.when(F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("user_id"))
-    own = own.where(F.col("bad").isNull() | (left == 0)).drop("bad").withColumn("left", F.lit(0)).drop("left")
+    own = own.withColumn("left", left).where("bad IS NULL OR left = 0").drop("bad", "left")
     interest_unit = unit(interest, "interest")
     likes = liked.select("user_id", "item_id").distinct().withColumn("liked", F.lit(1))
     met = own.join(interest_unit, ["user_id", "item_id"], "left").join(unit(negative, "negative"), ["user_id", "item_id"], "left").join(likes, ["user_id", "item_id"], "left")

@@ -60,7 +60,8 @@ _SHOWN = ["query_id", "item_id", "final_score", "bm25_rank", "faiss_rank", "reca
 
 def _fused(mode: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return fusion.fuse(mode, *_lists(spark, d), K).select(*_SHOWN)
+        out = fusion.fuse(mode, *_lists(spark, d), K).select(*_SHOWN)
+        return out.fillna(0, ["bm25_rank", "faiss_rank"])
 
     return query
 
@@ -248,7 +249,7 @@ _LISTS = bm25_views(DOCS, SEARCHES) | {
     "lists": "SELECT query_id, item_id, score, rank, 'bm25' AS source FROM sparse UNION ALL SELECT query_id, item_id, score, rank, 'faiss' FROM dense",
     "scaled": "SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0::DOUBLE / count(*) OVER w ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM lists WINDOW w AS (PARTITION BY query_id, source)",
 }
-_RECORDS = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, item_id)::INT AS rank FROM (SELECT query_id, item_id, round(sum(part), 6) AS final_score, max(rank) FILTER (WHERE source = 'bm25') AS bm25_rank, max(rank) FILTER (WHERE source = 'faiss') AS faiss_rank, CASE WHEN count(DISTINCT source) = 2 THEN 'hybrid' ELSE max(source) END AS recall_source FROM parts GROUP BY query_id, item_id) QUALIFY rank <= 10"
+_RECORDS = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, item_id)::INT AS rank FROM (SELECT query_id, item_id, round(sum(part), 6) AS final_score, coalesce(max(rank) FILTER (WHERE source = 'bm25'), 0) AS bm25_rank, coalesce(max(rank) FILTER (WHERE source = 'faiss'), 0) AS faiss_rank, CASE WHEN count(DISTINCT source) = 2 THEN 'hybrid' ELSE max(source) END AS recall_source FROM parts GROUP BY query_id, item_id) QUALIFY rank <= 10"
 
 
 def mean_profile(source: str, vec: str, weight: str, n: int) -> str:

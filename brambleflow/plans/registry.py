@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import recall
+from . import behaviour, recall
 
-QUERIES = {**recall.QUERIES}
-ORACLES = {**recall.ORACLES}
+QUERIES = {**recall.QUERIES, **behaviour.QUERIES}
+ORACLES = {**recall.ORACLES, **behaviour.ORACLES}
