@@ -124,7 +124,7 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("pos")]
     found = settle(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream, FOUND), "lines")
     firsts = found.where(F.col("kind") == FIRST).groupBy("h1", "h2").agg(F.min("first").alias("origin"))
-    late = found.where(F.col("kind") == OPEN).join(firsts, ["h1", "h2"]).where(F.coalesce("doc_id", F.lit(NULL_ID)) != F.col("origin"))
+    late = found.where(F.col("kind") == OPEN).join(F.broadcast(firsts), ["h1", "h2"]).where(F.coalesce("doc_id", F.lit(NULL_ID)) != F.col("origin"))
     columns = ["doc_id", "row", "pos", "n_lines"]
     lost = found.where(F.col("kind") == DROP).select(columns).unionByName(late.select(columns))
     by_doc = lost.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("lost"), F.first("n_lines").alias("n_lines"))
