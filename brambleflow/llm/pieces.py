@@ -26,13 +26,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import keyed
 from .textblocks import blocks
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-MEMO_PIECES, MEMO_PAIRS = 200_000, 400_000
+MEMO_PIECES, MEMO_PAIRS = 600_000, 600_000
 FAR = 1 << 60
 
 
@@ -177,7 +178,9 @@ class MemoEncoder:
         raw = data.tobytes()
         space, line = data == 0x20, np.flatnonzero(data == 0x0A)
         space[1:] &= data[:-1] != 0x20
-        bounds = np.unique(np.concatenate([offsets, np.flatnonzero(space), line, line + 1])).tolist()
+        edge = np.append(space, False)
+        edge[line] = edge[line + 1] = edge[offsets] = True
+        bounds = np.flatnonzero(edge).tolist()
         chunks = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         if len(self.ids) > MEMO_PIECES:
             self.ids.clear()
@@ -239,4 +242,4 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     own = rows.select(*column)
-    return own.mapInArrow(run, own.schema.add("decoded", "string"))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("decoded", T.StringType())]))
