@@ -60,7 +60,7 @@ def search_string(enhanced: Column, category: Column, attributes: list[Column],
 
 def url_extension(url: Column) -> Column:
     """The image extension of a URL's path, .jpg where it has none."""
-    found = F.lower(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"(\.(?:jpg|jpeg|png|webp))$", 1))
+    found = F.regexp_extract(F.lower(F.regexp_replace(url, r"[?#].*$", "")), r"(\.(?:jpg|jpeg|png|webp))$", 1)
     return F.coalesce(filled(found), F.lit(".jpg"))
 
 
