@@ -4,8 +4,10 @@ Every window of ``length`` bytes selects the smallest of its k-gram hashes (the
 rightmost of equal ones) as its anchor, so equal windows have equal anchors at
 equal distances.  Three jobs follow, each leaving a settled table:
 
-1. Anchors are dealt by hash as packed arrays; those of two documents or more
-   are returned, packed, to the groups of documents that hold them.
+1. Whole texts that an earlier document has too are found by their hashes (128
+   bits and the length) and take no further part.  Anchors are dealt by hash as
+   packed arrays; those of two different texts or more are returned, packed, to
+   the groups of documents that hold them.
 2. Each group finds its windows with such an anchor.  A record carries the bytes
    around an anchor; equal windows meet in one partition.  There suffixes
    starting at the windows are sorted: by their first eight bytes, then by
@@ -35,13 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop_settled, keyed, settle
-from .textblocks import blocks, mixed, powers
+from .textblocks import BASE, blocks, mixed, powers, spans_of
 
 #: Documents of one anchor above which its windows are dealt one by one.
 HOT_DOCS = 2_000
 #: Anchors that a task holds before it passes them on.
-FLUSH = 1 << 20
-CHUNK_BYTES = 2 << 20
+FLUSH = 1 << 18
+CHUNK_BYTES = 1 << 20
+#: Parts of the anchors that a task takes one after another.
+PARTS_PER_TASK = 4
+#: Such anchors whose windows are dealt out at once.
+HOT_ANCHORS = 1024
 #: Bits of a position inside a block of texts; longer texts are cut into overlapping pieces.
 PLACE = 23
 PIECE = 1 << (PLACE - 1)
@@ -106,16 +112,22 @@ def pieces(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[pa.
 
 
 def _anchors(length: int, parts: int):
-    """Packed anchors for each part: values (lower 32 bits), indices of documents, documents."""
+    """Packed anchors for each part: values (lower 32 bits), indices of texts, their documents and hashes."""
 
-    def packed(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    def packed(h: np.ndarray, doc: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
         part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.lexsort((h, part))
-        part, value, doc = part[order].astype(np.int32), (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc[order]
+        part, value = part[order].astype(np.int32), (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        pair = np.stack([doc[order], text[order]], axis=1)
         edges = np.flatnonzero(np.diff(part, prepend=-1))
         rows = []
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
-            docs, index = np.unique(doc[a:b], return_inverse=True)
+            own = pair[a:b]
+            by = np.lexsort((own[:, 1], own[:, 0]))
+            fresh = np.append(True, (own[by][1:] != own[by][:-1]).any(axis=1))
+            index = np.empty(len(own), np.uint32)
+            index[by] = np.cumsum(fresh) - 1
+            docs = own[by][fresh]
             rows.append((int(part[a]), value[a:b].tobytes(), index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes(), docs.tobytes()))
         p, v, i, d = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(v, pa.binary()), pa.array(i, pa.binary()), pa.array(d, pa.binary())], names=["part", "vals", "idx", "docs"])
@@ -126,8 +138,8 @@ def _anchors(length: int, parts: int):
             h, place, _, _ = anchor_runs(data, offsets, length)
             if not len(h):
                 continue
-            doc = rows.column("doc").to_numpy()[owner[np.searchsorted(offsets, place, side="right") - 1]]
-            held.append((h, doc))
+            own = owner[np.searchsorted(offsets, place, side="right") - 1]
+            held.append((h, rows.column("doc").to_numpy()[own], rows.column("row").to_numpy()[own]))
             n += len(h)
             if n >= FLUSH:
                 yield packed(*map(np.concatenate, zip(*held, strict=True)))
@@ -143,18 +155,16 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _shared(groups: int, hot: int):
-    """Over rows sorted by part: to each group of documents, the values that several documents hold, and which of these very many hold."""
-
-    def found(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
-        value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((doc, value))
-        value, doc = value[order], doc[order]
-        fresh = np.ones(len(value), bool)
-        fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-        value, doc = value[fresh], doc[fresh]
+    """Over rows sorted by part: to each group of documents, the values that several texts hold, and which of these very many hold."""
+
+    def found(part: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        value, doc, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((text, value))
+        value, doc, text = value[order], doc[order], text[order]
         starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         sizes = np.diff(np.append(starts, len(value)))
-        many = np.repeat(sizes, sizes)
+        fresh = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))
+        many = np.repeat(np.add.reduceat(fresh, starts), sizes)
         keep = many > 1
         value, doc, many = value[keep], doc[keep], many[keep]
         if not len(value):
@@ -178,8 +188,9 @@ def _shared(groups: int, hot: int):
                         yield out
                     held = []
                 part = p.as_py()
-                docs = np.frombuffer(d.as_buffer(), np.int64)
-                held.append((np.frombuffer(v.as_buffer(), np.uint32), docs[np.frombuffer(i.as_buffer(), np.uint32 if len(docs) > 65535 else np.uint16)]))
+                docs = np.frombuffer(d.as_buffer(), np.int64).reshape(-1, 2)
+                index = np.frombuffer(i.as_buffer(), np.uint32 if len(docs) > 65535 else np.uint16)
+                held.append((np.frombuffer(v.as_buffer(), np.uint32), docs[index, 0], docs[index, 1]))
         if held and (out := found(part, held)) is not None:
             yield out
 
@@ -200,18 +211,27 @@ def _records(length: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(back.astype(np.int32)), ctx], names=["key", "doc", "row", "start", "n", "back", "ctx"])
 
     def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-        ends = np.cumsum(size)
-        index = np.arange(ends[-1]) - np.repeat(ends - size - start, size)
-        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[index])])
+        raw = data.tobytes()
+        return pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)], pa.binary())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"g": None, "held": [], "keys": None, "seen": {}}
+        state: dict = {"g": None, "held": [], "keys": None, "seen": {}, "copies": set()}
 
         def texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             if state["keys"] is None:
                 state["keys"] = np.sort(np.concatenate(state["held"])) if state["held"] else np.zeros(0, np.uint64)
                 state["held"] = []
             keys = state["keys"]
+            if state["copies"]:
+                ids = zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), strict=True)
+                copy = np.array([x in state["copies"] for x in ids])
+                if copy.any():
+                    size = np.diff(spans_of(batch.column("text"))[1])
+                    own = np.flatnonzero(copy & (size >= length))
+                    if len(own):
+                        zero, doc = np.zeros(len(own), np.int64), batch.column("doc").to_numpy()[own]
+                        yield rows_of(mixed(doc.view(np.uint64).copy()), doc, batch.column("row").to_numpy()[own], zero, size[own] - length + 1, zero, pa.nulls(len(own), pa.binary()))
+                    batch = batch.filter(pa.array(~copy))
             if not len(keys):
                 return
             for rows, data, offsets, owner, ahead in pieces([batch], length):
@@ -234,20 +254,29 @@ def _records(length: int, parts: int):
                 if cold.any():
                     f, n = first[cold], (last - first + 1)[cold]
                     yield rows_of(mixed(h[cold]), doc[cold], row[cold], f - base[cold], n, place[cold] - f, slices(data, f, n + length - 1))
-                if hot.any():
-                    n = (last - first + 1)[hot]
-                    which = np.repeat(np.flatnonzero(hot), n)
-                    s = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                    sums, down = prefix_sums(data)
-                    own_key = mixed((sums[s + length] - sums[s]) * down[s])
-                    seen, fresh, gone = state["seen"], [], []
-                    for i, (x, d) in enumerate(zip(own_key.tolist(), doc[which].tolist(), strict=True)):
-                        (gone if seen.setdefault(x, d) < d else fresh).append(i)
-                    for chosen, ctx in ((np.array(fresh, np.int64), True), (np.array(gone, np.int64), False)):
-                        if len(chosen):
-                            w, one = which[chosen], np.ones(len(chosen), np.int64)
-                            found = slices(data, s[chosen], one * length) if ctx else pa.nulls(len(chosen), pa.binary())
-                            yield rows_of(own_key[chosen], doc[w], row[w], s[chosen] - base[w], one, one * 0, found)
+                at = np.flatnonzero(hot)
+                for part in np.array_split(at, max(1, len(at) // HOT_ANCHORS)):
+                    if len(part):
+                        yield from singles(data, first[part], last[part], base[part], doc[part], row[part])
+
+        def singles(data, first, last, base, doc, row) -> Iterator[pa.RecordBatch]:
+            """Windows one by one: records of those that are new in the group, the others decided."""
+            n = last - first + 1
+            which = np.repeat(np.arange(len(first)), n)
+            s = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            ctx = np.lib.stride_tricks.sliding_window_view(data, length)[s]
+            key = np.zeros(len(s), np.uint64)
+            for j in range(length):
+                key *= BASE
+                key += ctx[:, j] + np.uint64(1)
+            key, own = mixed(key), doc[which]
+            seen = state["seen"]
+            new = np.array([seen.setdefault(x, d) >= d for x, d in zip(key.tolist(), own.tolist(), strict=True)])
+            for chosen, fresh in ((np.flatnonzero(new), True), (np.flatnonzero(~new), False)):
+                if len(chosen):
+                    one = np.ones(len(chosen), np.int64)
+                    found = slices(ctx[chosen].reshape(-1), np.arange(len(chosen)) * length, one * length) if fresh else pa.nulls(len(chosen), pa.binary())
+                    yield rows_of(key[chosen], own[chosen], row[which[chosen]], (s - base[which])[chosen], one, one * 0, found)
 
         for batch in batches:
             g = batch.column("g").to_numpy()
@@ -257,12 +286,15 @@ def _records(length: int, parts: int):
                 if a == b:
                     continue
                 if g[a] != state["g"]:
-                    state.update(g=g[a], held=[], keys=None, seen={})
+                    state.update(g=g[a], held=[], keys=None, seen={}, copies=set())
                 rows = batch.slice(a, b - a)
                 if texts_only[a]:
                     yield from texts(rows)
                 else:
-                    for p, x in zip(rows.column("part").to_pylist(), rows.column("keys"), strict=True):
+                    for p, x, doc, row in zip(rows.column("part").to_pylist(), rows.column("keys"), rows.column("doc").to_pylist(), rows.column("row").to_pylist(), strict=True):
+                        if p is None:
+                            state["copies"].add((doc, row))
+                            continue
                         state["held"].append(np.frombuffer(x.as_buffer(), np.uint64) | (np.uint64(p) << np.uint64(33)))
 
     return run, RECORDS
@@ -430,16 +462,22 @@ def repeated_windows(docs: DataFrame, length: int = 50, hot: int = HOT_DOCS) ->
     doc is doc_id (the largest long where null), row the hash of the text.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS_PER_TASK * groups
     texts = keyed(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "row", "text")
-    anchors = texts.mapInArrow(*_anchors(length, parts)).repartition(parts, "part").sortWithinPartitions("part")
-    shared = settle(anchors.mapInArrow(*_shared(parts, hot)), "anchors")
-
-    group = F.pmod(F.pmod(F.pmod("doc", F.lit(LEHMER)) * 48271, F.lit(LEHMER)), F.lit(parts)).cast("int")
+    anchors = texts.mapInArrow(*_anchors(length, parts)).repartition(groups, "part").sortWithinPartitions("part")
+    shared = settle(anchors.mapInArrow(*_shared(groups, hot)), "anchors")
+
+    group = F.pmod(F.pmod(F.pmod("doc", F.lit(LEHMER)) * 48271, F.lit(LEHMER)), F.lit(groups)).cast("int")
+    # Exact copies of earlier documents; the counts are aggregated before they are dealt.
+    thin = texts.select("doc", "row", F.xxhash64(F.lit(1), "text").alias("more"), F.length("text").alias("size"))
+    origins = thin.groupBy("row", "more", "size").agg(F.min("doc").alias("origin"), F.max("doc").alias("latest")).where("origin <> latest")
+    copies = thin.join(origins, ["row", "more", "size"]).where("doc <> origin").select("doc", "row").distinct()
+    copied = copies.select(group.alias("g"), F.lit(0).alias("kind"), "doc", "row", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"))
     sent = shared.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"), "part", "keys")
     own = texts.select(group.alias("g"), F.lit(1).alias("kind"), "doc", "row", "text", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"))
-    grouped = sent.unionByName(own).repartition(parts, "g").sortWithinPartitions("g", "kind", "doc")
-    records = grouped.mapInArrow(*_records(length, parts)).repartition(parts, "key").sortWithinPartitions("key", "doc", "row", "start")
+    grouped = sent.unionByName(copied).unionByName(own).repartition(groups, "g").sortWithinPartitions("g", "kind", "doc")
+    records = grouped.mapInArrow(*_records(length, parts)).repartition(groups, "key").sortWithinPartitions("key", "doc", "row", "start")
     found = settle(records.mapInArrow(*_decided(length)), "repeats")
     drop_settled(shared)
     return found

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Odd multipliers of the word and shingle hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
