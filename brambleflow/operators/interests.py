@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .ranking import ranked
+from .ranking import DIGITS, ranked
 
 #: Score of a keyword in the title and in the description; shares of similarity and tags; the most a tag counts.
 IN_TITLE, IN_DESCRIPTION, SHARES, TAG_UNIT = 2, 1, (0.7, 0.3), 6.0
@@ -90,7 +90,8 @@ def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked
     unless that leaves nothing.  Interest items that aren't candidates, max(2,
     k // 3) of them, are put in.  Returns user_id, item_id, final_score, origin, rank.
     """
-    unit = lambda df, name: df.select("user_id", "item_id", (F.col("score") / F.max("score").over(Window.partitionBy("user_id"))).alias(name))
+    # Rounded, so that the order of a sum cannot carry a value over a threshold.
+    unit = lambda df, name: df.select("user_id", "item_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("user_id")), DIGITS).alias(name))
     own = base.join(blocked.select("user_id", "item_id").distinct().withColumn("bad", F.lit(1)), ["user_id", "item_id"], "left")
     left = F.sum(F.when(F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("user_id"))
     own = own.withColumn("left", left).where("bad IS NULL OR left = 0").drop("bad", "left")
