@@ -90,8 +90,7 @@ def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked
     unless that leaves nothing.  Interest items that aren't candidates, max(2,
     k // 3) of them, are put in.  Returns user_id, item_id, final_score, origin, rank.
     """
-    # Rounded, so that the order of a sum cannot carry a value over a threshold.
-    unit = lambda df, name: df.select("user_id", "item_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("user_id")), DIGITS).alias(name))
+    unit = lambda df, name: df.select("user_id", "item_id", (F.col("score") / F.max("score").over(Window.partitionBy("user_id"))).alias(name))
     own = base.join(blocked.select("user_id", "item_id").distinct().withColumn("bad", F.lit(1)), ["user_id", "item_id"], "left")
     left = F.sum(F.when(F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("user_id"))
     own = own.withColumn("left", left).where("bad IS NULL OR left = 0").drop("bad", "left")
@@ -100,7 +99,8 @@ def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked
     met = own.join(interest_unit, ["user_id", "item_id"], "left").join(unit(negative, "negative"), ["user_id", "item_id"], "left").join(likes, ["user_id", "item_id"], "left")
     i = F.when(F.col("liked") == 1, F.greatest(F.coalesce("interest", F.lit(0.7)), F.when(F.col("interest").isNotNull(), F.lit(0.8)).otherwise(F.lit(0.7)))).otherwise(F.coalesce("interest", F.lit(0.0)))
     n, s = F.coalesce("negative", F.lit(0.0)), F.col("rank_score")
-    final = F.when(n > 0.3, 0.30 * s + 0.50 * i - 0.35 * n).when(i > 0.1, 0.35 * s + 0.50 * i - 0.10 * n + 0.05).otherwise(0.45 * s + 0.35 * i - 0.10 * n)
+    # Rounded, so that the order of a sum cannot carry a value over a threshold.
+    final = F.when(F.round(n, DIGITS) > 0.3, 0.30 * s + 0.50 * i - 0.35 * n).when(F.round(i, DIGITS) > 0.1, 0.35 * s + 0.50 * i - 0.10 * n + 0.05).otherwise(0.45 * s + 0.35 * i - 0.10 * n)
     kept = met.select("user_id", "item_id", final.alias("final_score"), F.lit("base").alias("origin"))
     more = ranked(interest_unit.join(base.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(base.select("user_id").distinct(), "user_id", "left_semi").join(blocked.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti"), ["user_id"], max(2, k // 3), score="interest")
     more = more.select("user_id", "item_id", (0.65 * F.col("interest") + 0.05).alias("final_score"), F.lit("interest").alias("origin"))

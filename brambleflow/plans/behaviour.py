@@ -284,11 +284,11 @@ _NEGATIVE = {
     "negative": "SELECT user_id, tag, s / max(s) OVER (PARTITION BY user_id) AS weight FROM (SELECT user_id, tag, sum(raw)::DOUBLE AS s FROM disliked JOIN top_tags USING (item_id) GROUP BY user_id, tag)",
 }
 _PERSONAL = _SIMILAR | _NEGATIVE | {
-    "against": "SELECT user_id, item_id, round(s / max(s) OVER (PARTITION BY user_id), 6) AS neg FROM (SELECT user_id, item_id, sum(raw * weight) AS s FROM tag_scores JOIN negative USING (tag) GROUP BY user_id, item_id)",
-    "unit_i": "SELECT user_id, item_id, round(score / max(score) OVER (PARTITION BY user_id), 6) AS i FROM interest",
+    "against": "SELECT user_id, item_id, s / max(s) OVER (PARTITION BY user_id) AS neg FROM (SELECT user_id, item_id, sum(raw * weight) AS s FROM tag_scores JOIN negative USING (tag) GROUP BY user_id, item_id)",
+    "unit_i": "SELECT user_id, item_id, score / max(score) OVER (PARTITION BY user_id) AS i FROM interest",
     "own": "SELECT s.user_id, s.item_id, similarity AS s FROM nearby s LEFT JOIN disliked d USING (user_id, item_id) QUALIFY d.item_id IS NULL OR count(*) FILTER (WHERE d.item_id IS NULL) OVER (PARTITION BY s.user_id) = 0",
     "own_i": "SELECT o.user_id, o.item_id, s, coalesce(neg, 0) AS n, CASE WHEN l.item_id IS NOT NULL THEN CASE WHEN i IS NULL THEN 0.7::DOUBLE ELSE greatest(i, 0.8::DOUBLE) END ELSE coalesce(i, 0) END AS i FROM own o LEFT JOIN unit_i USING (user_id, item_id) LEFT JOIN against USING (user_id, item_id) LEFT JOIN liked l USING (user_id, item_id)",
-    "kept": "SELECT user_id, item_id, CASE WHEN n > 0.3 THEN 0.30::DOUBLE * s + 0.50::DOUBLE * i - 0.35::DOUBLE * n WHEN i > 0.1 THEN 0.35::DOUBLE * s + 0.50::DOUBLE * i - 0.10::DOUBLE * n + 0.05::DOUBLE ELSE 0.45::DOUBLE * s + 0.35::DOUBLE * i - 0.10::DOUBLE * n END AS final_score, 'base' AS origin FROM own_i",
+    "kept": "SELECT user_id, item_id, CASE WHEN round(n, 6) > 0.3 THEN 0.30::DOUBLE * s + 0.50::DOUBLE * i - 0.35::DOUBLE * n WHEN round(i, 6) > 0.1 THEN 0.35::DOUBLE * s + 0.50::DOUBLE * i - 0.10::DOUBLE * n + 0.05::DOUBLE ELSE 0.45::DOUBLE * s + 0.35::DOUBLE * i - 0.10::DOUBLE * n END AS final_score, 'base' AS origin FROM own_i",
     "more": "SELECT user_id, item_id, 0.65::DOUBLE * i + 0.05::DOUBLE AS final_score, 'interest' AS origin FROM (SELECT u.user_id, u.item_id, round(u.i, 6) AS i FROM unit_i u ANTI JOIN nearby s ON s.user_id = u.user_id AND s.item_id = u.item_id) x ANTI JOIN disliked d ON d.user_id = x.user_id AND d.item_id = x.item_id QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC, item_id) <= 2",
     "personal": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, item_id)::INT AS rank FROM (SELECT user_id, item_id, round(final_score, 6) + 0.0 AS final_score, origin FROM (SELECT * FROM kept UNION ALL SELECT * FROM more)) QUALIFY rank <= 8",
 }
