@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, keyed, settle
+from .common import keyed, settle
 from .graph import components
 from .textblocks import blocks, gram_hashes, mixed, word_bounds, word_hashes
 
