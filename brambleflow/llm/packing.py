@@ -32,7 +32,7 @@ END_ID = 1
 K1, B = 1.5, 0.75
 #: Cells of the table of hashed document frequencies, and the rows in which it is summed.
 CELLS, SLICES = 1 << 20, 64
-#: Terms in more than this part of a shard's documents tell nothing and are not looked up.
+#: Terms in more than this part of a shard's documents have a row of weights over all its documents instead of postings.
 COMMON = 1 / 8
 #: Tokens and documents at which a shard is closed.
 SHARD_TOKENS, SHARD_DOCS = 4 << 20, 8192
@@ -126,18 +126,28 @@ class Shard:
         self.post_doc, self.post_weight = doc[order].astype(np.int32), weight[order]
         self.starts = starts
         self.uses = uses = np.diff(np.append(starts, len(term)))
-        rare = (uses > 1) & (uses <= max(2, COMMON * len(sizes)))
-        self.own_terms = [t[rare[t]] for t in np.split(number, np.cumsum(sizes)[:-1])]
+        common = uses > max(2, COMMON * len(sizes))
+        rare = (uses > 1) & ~common
+        own = np.split(number, np.cumsum(sizes)[:-1])
+        self.own_terms = [t[rare[t]] for t in own]
+        # At most 1 / COMMON numbers for each posting of such a term, however many documents there are.
+        row = np.cumsum(common) - 1
+        self.own_rows = [row[t[common[t]]] for t in own]
+        self.rows = np.zeros((int(common.sum()), len(sizes)), np.float32)
+        at = np.flatnonzero(common[number])
+        self.rows[row[number[at]], doc[at]] = weight[at]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms; those of the seed alone find nothing else."""
-        terms = self.own_terms[seed]
+        terms, shared = self.own_terms[seed], np.zeros(len(self.docs), np.float32)
+        for row in self.own_rows[seed].tolist():
+            shared += self.rows[row]
         if not len(terms):
-            return np.zeros(len(self.docs))
+            return shared.astype(np.float64)
         n = self.uses[terms]
         ends = np.cumsum(n)
         at = np.arange(ends[-1]) + np.repeat(self.starts[terms] - ends + n, n)
-        return np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(self.docs))
+        return np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(self.docs)) + shared
 
     def pack(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as lists of (document, start, length)."""

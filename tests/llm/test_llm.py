@@ -318,6 +318,32 @@ def test_packing_prefers_neighbours():
     assert {doc % 2 for doc, _, _ in first} == {0}
 
 
+def test_packing_looks_up_common_terms():
+    rng = np.random.default_rng(3)
+    for n in (5, 20, 90):
+        shard = packing.Shard()
+        chance = 0.95 * rng.random(50) ** 2
+        for i in range(n):
+            terms = np.append(np.flatnonzero(rng.random(50) < chance), [100 + i % 2, 1000 + i]).astype(np.uint64)
+            shard.add(i, np.arange(100, dtype=np.uint32), terms, rng.integers(1, 5, len(terms)))
+        idf = rng.random(packing.CELLS).astype(np.float32)
+        shard.index(idf, 30.0)
+        for seed in range(n):
+            want = np.zeros(n)
+            for d in range(n):
+                length = shard.counts[d].sum()
+                for t, tf in zip(shard.terms[d].tolist(), shard.counts[d].tolist(), strict=True):
+                    if t in shard.terms[seed]:
+                        want[d] += idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 30))
+            others = np.arange(n) != seed
+            assert np.allclose(shard.scores(seed)[others], want[others], rtol=1e-4)
+    topics = packing.Shard()
+    for i in range(20):
+        topics.add(i, np.arange(100, dtype=np.uint32), np.array([i % 2, 10 + i], np.uint64), np.ones(2, np.int64))
+    topics.index(np.ones(packing.CELLS, np.float32), 2.0)
+    assert {doc % 2 for doc, _, _ in next(topics.pack(1000))} == {0}
+
+
 def test_piece_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
