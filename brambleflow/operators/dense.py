@@ -61,12 +61,15 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, skip_same: bool = False)
     gives k rows a query at most, which a window then merges.  No row meets
     another outside a matrix product.
     """
+    found = _block_pairs(queries, items).mapInArrow(_products(k, skip_same), "query_id string, item_id string, score double")
+    return ranked(found, ["query_id"], k)
+
+
+def _block_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     packed = "block long, ids array<string>, vecs binary"
     q = queries.where(F.col("v").isNotNull()).select(F.col("query_id").alias("id"), doubles(F.col("v")).alias("v")).mapInArrow(_packed, packed)
     i = items.where(F.col("v").isNotNull()).select(F.col("item_id").alias("id"), doubles(F.col("v")).alias("v")).mapInArrow(_packed, packed)
-    pairs = q.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).crossJoin(i.select(F.col("ids").alias("i_ids"), F.col("vecs").alias("i_vecs")))
-    found = pairs.mapInArrow(_products(k, skip_same), "query_id string, item_id string, score double")
-    return ranked(found, ["query_id"], k)
+    return q.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).crossJoin(i.select(F.col("ids").alias("i_ids"), F.col("vecs").alias("i_vecs")))
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, skip_same: bool = False) -> DataFrame:
@@ -74,6 +77,44 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, skip_same: bool =
     return top_k(unit(queries), unit(items), k, skip_same)
 
 
+#: More than two roundings can move a score.
+_MARGIN = 2e-6
+
+
+def _shared_products(k: int, size: int, shares: tuple[float, float]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, i = row["q_ids"], np.array(row["i_ids"], object)
+                a = np.frombuffer(row["q_vecs"]).reshape(len(q), -1)
+                b = np.frombuffer(row["i_vecs"]).reshape(len(i), -1)
+                order = np.argsort(i.astype(str), kind="stable")
+                i, b = i[order], b[order]
+                cosines = np.round(a[:, :-size] @ b[:, :-size].T, DIGITS) + 0.0
+                scores = shares[0] * cosines + shares[1] * np.round(a[:, -size:] @ b[:, -size:].T, 12)
+                out: list[tuple[str, str, float]] = []
+                for n, own in enumerate(q):
+                    best = np.argsort(-scores[n], kind="stable")
+                    falling = -scores[n][best]
+                    best = best[: np.searchsorted(falling, falling[min(k, len(best)) - 1] + _MARGIN, "right")]
+                    equal = np.searchsorted(falling, falling[: len(best)])  # of equal scores, the first k by id
+                    out += [(own, i[j], float(cosines[n, j])) for j in best[np.arange(len(best)) - equal < k].tolist()]
+                x, y, s = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(s, pa.float64())], names=["query_id", "item_id", "score"])
+
+    return run
+
+
+def shared_candidates(queries: DataFrame, items: DataFrame, k: int, size: int, shares: tuple[float, float]) -> DataFrame:
+    """Items among which are the k best of a query by shares of cosine and of a second inner product: query_id, item_id, score (the cosine).
+
+    Both sides have v and w, and w has ``size`` numbers.  All items are scored,
+    in blocks; those within a rounding of a block's k-th score stay, too.
+    """
+    both = lambda df: df.withColumn("v", F.concat(normalized(F.col("v")), doubles(F.col("w"))))
+    return _block_pairs(both(queries), both(items)).mapInArrow(_shared_products(k, size, shares), "query_id string, item_id string, score double")
+
+
 def lsh_top_k(queries: DataFrame, items: DataFrame, k: int, bucket: float = 0.7, tables: int = 8, most: float = 1.5, seed: int = 42) -> DataFrame:
     """Approximate cosine top-k: random projections of unit vectors give candidates, scores are exact."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -5,10 +5,13 @@ A dictionary has tag, keyword; weights have user_id, tag, weight.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from .dense import shared_candidates
 from .ranking import DIGITS, ranked
 
 #: Score of a keyword in the title and in the description; shares of similarity and tags; the most a tag counts.
@@ -57,6 +60,22 @@ def weighted_tags(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return met.join(tags, "user_id").select("user_id", "item_id", (F.col("sum") / (TAG_UNIT * F.col("n"))).alias("tags"))
 
 
+def interest_candidates(users: DataFrame, features: DataFrame, scores: DataFrame, weights: DataFrame, tags: Sequence[str], k: int) -> DataFrame:
+    """(user_id, item_id, similarity): of all items with a vector, those that can be a user's k best by similarity and tags.
+
+    ``users`` has user_id, v; ``features`` item_id, v; ``tags`` are the dictionary's.
+    """
+
+    def listed(rows: DataFrame, key: str, value: Column) -> DataFrame:
+        return rows.groupBy(key).agg(F.array(*(F.sum(F.when(F.col("tag") == t, value).otherwise(0.0)) for t in tags)).alias("w"), F.count("*").alias("n"))
+
+    zeros = F.array(*[F.lit(0.0)] * len(tags))
+    own = listed(weights, "user_id", F.col("weight")).select("user_id", F.transform("w", lambda x: x / (TAG_UNIT * F.col("n"))).alias("w"))
+    q = users.join(own, "user_id", "left").select(F.col("user_id").alias("query_id"), "v", F.coalesce("w", zeros).alias("w"))
+    i = features.join(listed(scores, "item_id", F.col("raw").cast("double")), "item_id", "left").select("item_id", "v", F.coalesce("w", zeros).alias("w"))
+    return shared_candidates(q, i, k, len(tags), SHARES).select(F.col("query_id").alias("user_id"), "item_id", F.col("score").alias("similarity"))
+
+
 def interest_recommend(similar: DataFrame, scores: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """By similarity to the user's interest query (user_id, item_id, similarity) and by tags."""
     met = similar.join(weighted_tags(scores, weights), ["user_id", "item_id"], "left")

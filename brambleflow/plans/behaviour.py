@@ -129,17 +129,17 @@ def negative_profile(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "weight")
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of users with weights to all items with vectors: by the mean vector of what they liked."""
-    f = V.features(spark, d)
-    liked = _latest(spark, d).where("liked").join(f.select("item_id", F.col("text_vec").alias("v")), "item_id")
-    users = liked.groupBy("user_id").agg(averaged(F.col("v"), TEXT_SIZE).alias("v")).withColumnRenamed("user_id", "query_id")
-    out = dense.cosine_top_k(users, f.select("item_id", F.col("text_vec").alias("v")), 50)
-    return out.select(F.col("query_id").alias("user_id"), "item_id", F.col("score").alias("similarity"))
+def _tastes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Users with the mean vector of what they liked, and all items with vectors."""
+    f = V.features(spark, d).select("item_id", F.col("text_vec").alias("v"))
+    liked = _latest(spark, d).where("liked").join(f, "item_id")
+    return liked.groupBy("user_id").agg(averaged(F.col("v"), TEXT_SIZE).alias("v")), f
 
 
 def _interest(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return interests.interest_recommend(_similar(spark, d), interests.tag_scores(V.items(spark, d), V.dictionary(spark)), _weights(spark, d), k)
+    scores, weights = interests.tag_scores(V.items(spark, d), V.dictionary(spark)), _weights(spark, d)
+    similar = interests.interest_candidates(*_tastes(spark, d), scores, weights, [t for _, t, _ in V.DICTIONARY], k)
+    return interests.interest_recommend(similar, scores, weights, k)
 
 
 def interest_recommend(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +151,10 @@ def diverse_recommend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
-    """The same fifty nearest items as a query's re-ranked list."""
-    return _similar(spark, d).withColumnRenamed("similarity", "rank_score")
+    """The fifty nearest items as a query's re-ranked list."""
+    users, f = _tastes(spark, d)
+    out = dense.cosine_top_k(users.withColumnRenamed("user_id", "query_id"), f, 50)
+    return out.select(F.col("query_id").alias("user_id"), "item_id", F.col("score").alias("rank_score"))
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:

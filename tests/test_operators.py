@@ -12,6 +12,7 @@ from brambleflow.functions import text as T
 from brambleflow.functions import vectors as V
 from brambleflow.operators import bm25, dense, evaluation, feedback, fusion, interests, preparation, profiles, rerank
 from brambleflow.operators.encoders import attention_forward, encoded, hashed_terms
+from brambleflow.plans import views
 
 
 def rows(df, *order):
@@ -107,6 +108,30 @@ def test_personalize_keeps_all_when_all_are_blocked(spark):
     assert [r.item_id for r in half.collect()] == ["b"]
 
 
+def test_interest_ranks_all_items_by_similarity_and_tags(spark):
+    tags = [t for _, t, _ in views.DICTIONARY]
+    users = spark.createDataFrame([("u", [1.0, 0.0]), ("none", [0.0, 1.0])], "user_id string, v array<double>")
+    turned = {f"i{n:03}": n / 200 for n in range(150)}
+    features = spark.createDataFrame([(i, [math.cos(x), math.sin(x)]) for i, x in turned.items()], "item_id string, v array<double>")
+    raw = {("i120", "Tool"): 6, ("i090", "Tool"): 3, ("i090", "Heat"): 6, ("i002", "Age"): 1}
+    scores = spark.createDataFrame([(i, t, n) for (i, t), n in raw.items()], "item_id string, tag string, raw long")
+    weights = spark.createDataFrame([("u", "Tool", 0.9), ("u", "Heat", 1.0)], "user_id string, tag string, weight double")
+    weight = {"Tool": 0.9, "Heat": 1.0}
+    got = rows(interests.interest_recommend(interests.interest_candidates(users, features, scores, weights, tags, 20), scores, weights, 20).where("user_id = 'u'"), "rank")
+    score = {i: 0.7 * math.cos(x) + 0.3 * sum(n * weight.get(t, 0) for (j, t), n in raw.items() if j == i) / 12 for i, x in turned.items()}
+    want = sorted(score, key=lambda i: (-round(score[i], 6), i))[:20]
+    assert [i for _, i, _, _ in got] == want
+    assert "i090" in want  # beyond the fifty nearest
+
+
+def test_candidates_keep_the_first_of_equal_items(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    q = spark.createDataFrame([("q", [1.0, 0.0], [0.5])], "query_id string, v array<double>, w array<double>")
+    i = spark.createDataFrame([(f"i{n:02}", [1.0, 0.0], [1.0]) for n in range(40)], "item_id string, v array<double>, w array<double>").coalesce(1)
+    found = [r.item_id for r in dense.shared_candidates(q, i, 3, 1, (0.7, 0.3)).collect()]
+    assert {"i00", "i01", "i02"} <= set(found) and len(found) <= 3 * 7
+
+
 def test_attention_pool_is_zero_without_vectors(spark):
     pairs = spark.createDataFrame([("u", "a"), ("u", "none")], "user_id string, item_id string")
     history = spark.createDataFrame([("u", "b", 1)], "user_id string, item_id string, pos int")
