@@ -34,7 +34,7 @@ def first_n_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefix_expansion(spark: SparkSession, d: str) -> DataFrame:
-    out = profiles.prefixes(V.history(spark, d), 3, most=20)
+    out = profiles.prefixes(V.history(spark, d), 3)
     return out.select("user_id", "item_id", "ts", F.array_join("before", " ").alias("before"))
 
 

@@ -12,7 +12,7 @@ from brambleflow.functions import text as T
 from brambleflow.functions import vectors as V
 from brambleflow.operators import bm25, dense, evaluation, feedback, fusion, interests, preparation, profiles, rerank
 from brambleflow.operators.encoders import attention_forward, encoded, hashed_terms
-from brambleflow.plans import views
+from brambleflow.plans import behaviour, views
 
 
 def rows(df, *order):
@@ -73,6 +73,13 @@ def test_split_drops_short_users(spark):
     assert rows(truth, "ts") == [("b", "2", 2), ("b", "3", 3)]
 
 
+def test_prefix_expansion_has_the_whole_history(spark, tmp_path):
+    spark.range(30).selectExpr("1L AS l_orderkey", "id AS l_linenumber", "id AS l_partkey", "0L AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1).selectExpr("1L AS o_orderkey", "7L AS o_custkey", "DATE'2020-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = rows(behaviour.prefix_expansion(spark, str(tmp_path)), "ts")
+    assert got == [("7", str(n), n + 1, " ".join(str(m) for m in reversed(range(n)))) for n in range(3, 30)]
+
+
 def test_profile_renormalises_weights_of_missing_vectors(spark):
     h = spark.createDataFrame([("u", "a", 3), ("u", "gone", 2), ("u", "b", 1)], "user_id string, item_id string, ts long")
     f = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item_id string, v array<double>")
