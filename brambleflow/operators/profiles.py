@@ -15,6 +15,8 @@ from .ranking import last_n
 #: Weights of the three latest items, length of the long history, share of the short profile.
 SHORT, LONG, SHORT_SHARE = (0.55, 0.30, 0.15), 10, 0.65
 IMAGES, CLUSTER_HISTORY, MOST_CLUSTERS = 20, 50, 5
+#: Bins to which items are dealt for negatives.
+BINS = 64
 
 
 def dense_ordinal(log: DataFrame, *order: str | Column, user: str = "user_id") -> DataFrame:
@@ -122,18 +124,26 @@ def prefixes(history: DataFrame, least: int = 3, most: int | None = None) -> Dat
 def hashed_negatives(positives: DataFrame, items: DataFrame, history: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """For each user's positive, n items outside the user's history, in the order of a hash.
 
-    Items are dealt to hash slots; a positive draws from the slot of its own
-    hash and from the following ones, so no positive meets all items.
+    Items are dealt to hash bins; a positive draws from the bin of its own hash
+    and, where that has too few, from the following ones until n are found or all
+    bins are used.  Only where a bin holds little but a user's history does a
+    positive meet all items.
     """
-    spread = F.conv(F.substring(F.md5(F.concat_ws("#", "item_id", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    slots = items.select("item_id").distinct().withColumn("order", spread)
-    numbered = slots.withColumn("slot", F.row_number().over(Window.partitionBy(F.col("order") % 64).orderBy("order", "item_id"))).withColumn("bin", F.col("order") % 64)
-    start = F.conv(F.substring(F.md5(F.concat_ws("#", "user_id", "item_id", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    asked = positives.select("user_id", F.col("item_id").alias("positive"), (start % 64).alias("bin"))
-    met = asked.join(numbered.select("item_id", "bin", "slot"), "bin").where(F.col("item_id") != F.col("positive"))
-    met = met.join(history.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    pick = Window.partitionBy("user_id", "positive").orderBy(F.md5(F.concat_ws("#", "user_id", "positive", "item_id", F.lit(str(seed)))), "item_id")
-    return met.withColumn("place", F.row_number().over(pick)).where(F.col("place") <= n).select("user_id", "positive", "item_id", "place")
+    spread = lambda *key: F.conv(F.substring(F.md5(F.concat_ws("#", *key, F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % BINS
+    dealt = items.select("item_id").distinct().withColumn("bin", spread("item_id"))
+    asked = positives.select("user_id", F.col("item_id").alias("positive"), spread("user_id", "item_id").alias("bin")).distinct()
+    seen = history.select("user_id", "item_id").distinct()
+    pick = Window.partitionBy("user_id", "positive").orderBy("ahead", F.md5(F.concat_ws("#", "user_id", "positive", "item_id", F.lit(str(seed)))), "item_id")
+
+    def picked(met: DataFrame) -> DataFrame:
+        met = met.where(F.col("item_id") != F.col("positive")).join(seen, ["user_id", "item_id"], "left_anti")
+        return met.withColumn("place", F.row_number().over(pick)).where(F.col("place") <= n).select("user_id", "positive", "item_id", "place")
+
+    own = picked(asked.join(dealt, "bin").withColumn("ahead", F.lit(0)))
+    served = own.where(F.col("place") == n).select("user_id", "positive")
+    short = asked.join(served, ["user_id", "positive"], "left_anti").withColumnRenamed("bin", "start")
+    more = picked(short.crossJoin(dealt).withColumn("ahead", F.pmod(F.col("bin") - F.col("start"), F.lit(BINS))))
+    return own.join(served, ["user_id", "positive"], "left_semi").unionByName(more)
 
 
 def leave_one_pairs(history: DataFrame, n: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from datetime import datetime
 
@@ -80,6 +81,23 @@ def test_prefix_expansion_has_the_whole_history(spark, tmp_path):
     assert got == [("7", str(n), n + 1, " ".join(str(m) for m in reversed(range(n)))) for n in range(3, 30)]
 
 
+def test_negatives_go_on_to_the_following_bins(spark):
+    pair = "user_id string, item_id string"
+    items = spark.createDataFrame([(f"i{n}",) for n in range(9)], "item_id string")
+    history = spark.createDataFrame([("u", "i0"), ("u", "i1"), *[("v", f"i{n}") for n in range(7)]], pair)
+    got = rows(profiles.hashed_negatives(spark.createDataFrame([("u", "i0"), ("u", "i1"), ("v", "i3")], pair), items, history, 4), "user_id", "positive", "place")
+    assert [(u, p, n) for u, p, _, n in got] == [("u", p, n) for p in ("i0", "i1") for n in range(1, 5)] + [("v", "i3", 1), ("v", "i3", 2)]
+    assert {i for u, _, i, _ in got if u == "v"} == {"i7", "i8"} and len({r[:3] for r in got}) == 10
+    assert {i for u, _, i, _ in got if u == "u"} <= {f"i{n}" for n in range(2, 9)}
+
+    def spread(*key):
+        return int(hashlib.md5("#".join([*key, "42"]).encode()).hexdigest()[:8], 16) % profiles.BINS
+
+    for p in ("i0", "i1"):
+        order = sorted((f"i{n}" for n in range(2, 9)), key=lambda i: ((spread(i) - spread("u", p)) % profiles.BINS, hashlib.md5(f"u#{p}#{i}#42".encode()).hexdigest()))
+        assert [i for _, q, i, _ in got if q == p] == order[:4]
+
+
 def test_profile_renormalises_weights_of_missing_vectors(spark):
     h = spark.createDataFrame([("u", "a", 3), ("u", "gone", 2), ("u", "b", 1)], "user_id string, item_id string, ts long")
     f = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item_id string, v array<double>")
