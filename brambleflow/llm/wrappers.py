@@ -24,7 +24,8 @@ from __future__ import annotations
 import html as references
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,24 +48,56 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 AROUND = frozenset("nav header footer aside form script style noscript template textarea title head iframe svg button select dialog menu".split())
 #: Words of class, id or role that mark what isn't main text.
 AROUND_WORDS = frozenset("ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form header login menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that mark an element only as a whole name (long-form is text), and words of names that tell of a page's layout.
+AMBIGUOUS, LAYOUT_WORDS = frozenset(["form", "search"]), frozenset("has have no non not with without".split())
+#: Never around the main text; an article is by whole names only.
+NEVER_AROUND = frozenset(["html", "body", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: A closing slash that isn't part of an unquoted value.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"']|\s[^\s=]+)/\s*\Z")
 
 
 def element_name(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role."""
+    """The tag with the names in its class, id and role, each the words in it joined by hyphens."""
     if "=" not in attributes:
         return tag
-    words = sorted({w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())})
-    return ".".join([tag, *words])
+    names = {"-".join(_WORD.findall(x)) for m in _ATTRIBUTE.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").lower().split()}
+    return ".".join([tag, *sorted(names - {""})])
 
 
-def is_around(name: str) -> bool:
-    tag, *words = name.split(".")
-    return tag in AROUND or not AROUND_WORDS.isdisjoint(words)
+def _marks(name: str) -> set[str]:
+    """Words of a class, id or role that say that it isn't main text."""
+    if name in AROUND_WORDS:
+        return {name}
+    words = set(name.split("-"))
+    return set() if words & LAYOUT_WORDS else words & (AROUND_WORDS - AMBIGUOUS)
+
+
+@lru_cache(1 << 16)
+def around(name: str) -> str:
+    """Nothing, "header" for what is a header only, or "around"."""
+    tag, *names = name.split(".")
+    if tag in NEVER_AROUND:
+        return ""
+    marks = AROUND_WORDS.intersection(names) if tag == "article" else set().union(*map(_marks, names))
+    marks |= AROUND & {tag}
+    return "header" if marks == {"header"} else "around" if marks else ""
+
+
+def is_around(path: Sequence[str]) -> bool:
+    """Whether text in these open elements isn't main text; headings in an article's header are."""
+    article = False
+    for i, name in enumerate(path):
+        kind = around(name)
+        if kind and not (kind == "header" and article and any(n.split(".", 1)[0] in HEADINGS for n in path[i + 1 :])):
+            return True
+        article = article or name.split(".", 1)[0] == "article"
+    return False
 
 
 class Walk:
@@ -117,6 +150,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found[1]:
             yield ">", tag, ""
         elif tag in RAW:
+            if _SELF_CLOSED.search(found[3] or ""):
+                continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else size
         else:
@@ -238,12 +273,12 @@ def containers(nodes: list) -> list[str]:
     """Names of the elements that hold the main text of a wrapper's pages, best first."""
     weight: dict[str, int] = {}
     for path, repeated in _slots(nodes, Walk()):
-        if not any(map(is_around, path)):
+        if not is_around(path):
             for name in set(path):
                 weight[name] = weight.get(name, 0) + 1 + 4 * repeated
 
     def order(name: str) -> tuple:
-        tag, *words = name.split(".")
+        tag, *words = re.split("[.-]", name)
         kind = 0 if tag == "article" else 1 if tag == "main" or "main" in words else 2 if not MAIN_WORDS.isdisjoint(words) else 3 if tag in ("section", "div", "td") else 4
         return kind, -weight[name], name
 
@@ -257,7 +292,7 @@ def main_text(page: str, best: list[str]) -> str:
     fresh = True
     for kind, name, text in tokens(page):
         if kind == SLOT:
-            if any(map(is_around, walk.open)):
+            if is_around(walk.open):
                 continue
             if fresh:
                 blocks.append((tuple(walk.open), []))

@@ -431,6 +431,26 @@ def test_main_text(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body class='has-sidebar'><p>a</p></body>", "a"),
+        ("<body class='sidebar'><article><p>a</p></article></body>", "a"),
+        ("<main id='search'><p>a</p></main>", "a"),
+        ("<div class='content no-sidebar'><p>a</p><p>b</p></div>", "a\nb"),
+        ("<article class='long-form post-12'><p>a</p></article>", "a"),
+        ("<article><header><h1>t</h1><p>by x</p></header><p>a</p></article>", "t\na"),
+        ("<article><header class='entry-header'><h2>t</h2></header><p>a</p></article>", "t\na"),
+        ("<header><h1>site</h1></header><article><p>a</p></article>", "a"),
+        ("<article><p>a</p><svg/><p>b</p><iframe src='x' /><p>c</p><script async/><p>d</p></article>", "a\nb\nc\nd"),
+        ("<article><p>a</p><script src=/x/>var y;</script><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><article class='comment'><p>c</p></article><div class='site-footer'>f</div><div class='cookie_notice'>g</div></article>", "a"),
+    ],
+)
+def test_main_text_of_ambiguous_markup(page, want):
+    assert wrappers.main_text(page, wrappers.containers(wrappers.folded(wrappers.stream(page)))) == want
+
+
 def test_wrappers_have_groups_and_options():
     a = wrappers.folded(wrappers.stream("<ul><li>a</li><li>b</li><li>c</li></ul><p>x</p>"))
     b = wrappers.folded(wrappers.stream("<ul><li>a</li></ul>"))
