@@ -39,13 +39,13 @@ SHARD_TOKENS, SHARD_DOCS = 4 << 20, 8192
 
 
 def _doc_terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct term hashes of each text and their counts."""
+    """Distinct term hashes (32 bits) of each text and their counts."""
     first, last, bounds = word_bounds(data, offsets, "alnum")
-    words = word_hashes(data, first, last)
+    words = word_hashes(data, first, last).astype(np.uint32)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         own = np.sort(words[a:b])
         at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-        yield own[at], np.diff(np.append(at, len(own)))
+        yield own[at], np.diff(np.append(at, len(own))).astype(np.uint32)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ class Shard:
         starts = np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1])) if len(term) else np.zeros(0, np.int64)
         number = np.empty(len(term), np.int64)
         number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
-        weight = idf[(term & np.uint64(CELLS - 1)).astype(np.int64)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_words, 1e-6)))
+        weight = idf[term & np.uint32(CELLS - 1)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_words, 1e-6)))
         self.post_doc, self.post_weight = doc[order].astype(np.int32), weight[order]
         self.starts = starts
         self.uses = uses = np.diff(np.append(starts, len(term)))
@@ -216,11 +216,11 @@ def _pack(path: str, window: int, idf, mean_words: float, with_ids: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
 
         shard = Shard()
+        end = np.array([END_ID], np.uint32)
         for rows, data, offsets in blocks(batches):
-            ids = encoder.encode(data, offsets)
-            end = np.array([END_ID], np.uint32).tobytes()
-            for doc_id, own, (terms, counts) in zip(rows.column("doc_id").to_pylist(), ids, _doc_terms(data, offsets), strict=True):
-                shard.add(doc_id, np.frombuffer(own + end, np.uint32), terms, counts)
+            texts = rows.column("text").to_pylist()
+            for doc_id, text, (terms, counts) in zip(rows.column("doc_id").to_pylist(), texts, _doc_terms(data, offsets), strict=True):
+                shard.add(doc_id, np.concatenate([encoder.encode(text), end]), terms, counts)
                 if shard.full():
                     yield from packed(shard)
                     shard = Shard()

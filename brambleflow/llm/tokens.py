@@ -1,42 +1,24 @@
-"""Byte-level BPE ids of whole texts, with a bounded memo of pieces.
-
-A space that stands between two characters that aren't white space always begins
-a pre-token of the byte-level pattern, so texts can be cut there without changing
-an id.  New pieces are encoded together, once, and remembered until the memo is
-full, when it starts afresh.
+"""Byte-level BPE ids of whole texts.
 
 The vocabulary and its merges come from a file of the ``tokenizers`` library.
 Its merges stand in the order of their ids, as ranks do, so the ``tiktoken``
-library, which is several times faster, gives the same ids.
+library, which is faster, gives the same ids.  Strings of the file's special
+tokens become these tokens' ids, as that library has it.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
-MEMO_PIECES = 700_000
-#: Stands for the space at a cut; no UTF-8 text holds this byte.
-CUT, CUT_BYTE = 0xFF, b"\xff"
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SAFE_BEFORE = np.zeros(256, bool)
-_SAFE_BEFORE[0x21:0x7F] = True
-_SAFE_AFTER = _SAFE_BEFORE.copy()
-#: Lead bytes of characters among which there is no white space.
-_SAFE_AFTER[0xC3:0xF5] = True
-_SAFE_AFTER[0xE1:0xE4] = False
-_LEAD_TWO = np.zeros(256, bool)
-_LEAD_TWO[0xC3:0xE0] = True
-
-
-def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Places of spaces that always begin a pre-token."""
-    at = np.flatnonzero(data == 0x20)
-    at = at[(at > 1) & (at < len(data) - 1)]
-    before = _SAFE_BEFORE[data[at - 1]] | ((data[at - 1] >= 0x80) & _LEAD_TWO[data[at - 2]])
-    return at[before & _SAFE_AFTER[data[at + 1]]]
+#: Characters of white space from which a run is cut out; the pattern's matcher goes back through a whole run on its stack.
+LONG_RUN = 4096
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,63 +29,41 @@ def byte_letters() -> dict[str, int]:
 
 
 class PieceEncoder:
-    """Ids (unsigned 32-bit, little-endian bytes) of texts by a tokenizer file."""
+    """Ids of texts by a tokenizer file."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in whole["added_tokens"]) or whole["normalizer"]:
+            raise ValueError("only special tokens that stand for their own string are supported")
         letters = byte_letters()
-        special = {t for t in model["vocab"] if not set(t) <= letters.keys()} | {"<|endoftext|>"}
         ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         if any(model["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(merges)):
             raise ValueError("the merges' order isn't that of their ids")
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for t, i in ranks.items():
-            self.size[i] = len(t)
-        self.encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        """Encodes pieces that follow a safe cut and are followed by one, all at once."""
-        ids = np.array(self.encoding.encode_ordinary((b" " + b" ".join(fresh)).decode()), np.uint32)
-        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x) + 1 for x in fresh])) + 1
-        raw, start = ids.tobytes(), 0
-        for x, end in zip(fresh, (ends * 4).tolist(), strict=True):
-            self.memo[x] = raw[start:end]
-            start = end
-
-    def _edge(self, piece: bytes) -> bytes:
-        return np.array(self.encoding.encode_ordinary(piece.decode()), np.uint32).tobytes()
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Of each text of a block."""
-        marked = data.copy()
-        marked[safe_cuts(data)] = CUT
-        raw = marked.tobytes()
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        get = self.memo.get
-        texts, known, fresh = [], [], set()
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            pieces = raw[a:b].split(CUT_BYTE)
-            ids = list(map(get, pieces[1:-1]))
-            if None in ids:
-                fresh.update(p for p, i in zip(pieces[1:-1], ids, strict=True) if i is None)
-                ids = None
-            texts.append(pieces)
-            known.append(ids)
-        if fresh:
-            self._learn(list(fresh))
-        out = []
-        for pieces, ids in zip(texts, known, strict=True):
-            if ids is None:
-                ids = map(self.memo.__getitem__, pieces[1:-1])
-            last = self._edge(b" " + pieces[-1]) if len(pieces) > 1 else b""
-            out.append(b"".join([self._edge(pieces[0]), *ids, last]))
-        return out
+        self.encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special, self.strings = self.encoding.special_tokens_set, tuple(special)
+        #: The smallest type that holds every id.
+        self.kind = np.min_scalar_type(max(*ranks.values(), *special.values()))
+
+    def _parts(self, text: str) -> Iterator[np.ndarray]:
+        """A long run of white space is one pre-token; its last character goes with what follows, unless that is a special token."""
+        at = 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text) and not text.startswith(self.strings, run.end()))
+            yield self.encoding.encode_to_numpy(text[at : run.start()], allowed_special=self.special, disallowed_special=())
+            yield np.array(self.encoding._encode_single_piece(text[run.start() : end].encode()), np.uint32)
+            at = end
+        yield self.encoding.encode_to_numpy(text[at:], allowed_special=self.special, disallowed_special=())
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN:
+            return self.encoding.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+        return np.concatenate(list(self._parts(text)))
 
 
 _encoders: dict[str, PieceEncoder] = {}
