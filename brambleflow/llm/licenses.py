@@ -90,7 +90,8 @@ def candidates(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) ->
     spark = docs.sparkSession
     places = F.broadcast(spark.createDataFrame(template_places(templates), "h long, template int, place int, need int"))
     hits = keyed(docs).mapInArrow(_pair_rows, "doc_id long, row long, pos int, h long").join(places, "h")
-    voted = hits.groupBy("doc_id", "row", "template", "need", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    # A place votes once, however often a row stands in the table.
+    voted = hits.groupBy("doc_id", "row", "template", "need", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count_distinct("pos").alias("votes"))
     own = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     begins = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEAR).cast("int"), F.lit(1))
     runs = voted.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own))
