@@ -129,7 +129,8 @@ def _extend(value: int, size: int) -> int:
 class Picture:
     """A progressive JPEG's coefficients, in zigzag order, and what they give."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, most_pixels: int | None = None) -> None:
+        self.most_blocks, self.most_pixels = 8 * len(data), most_pixels
         self.quants: dict[int, np.ndarray] = {}
         self.dc: dict[int, Codes] = {}
         self.ac: dict[int, Codes] = {}
@@ -150,6 +151,8 @@ class Picture:
             mark = data[at + 1]
             at += 2
             if mark == 0xD9:
+                if not self.parts:
+                    raise ValueError("the file has no picture")
                 return
             size = int.from_bytes(data[at : at + 2], "big")
             body = data[at + 2 : at + size]
@@ -211,8 +214,15 @@ class Picture:
             raise ValueError("only 8-bit samples are read")
         self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
         self.parts = [Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
+        if not self.parts or not self.height or not self.width or any(not (1 <= p.h <= 4 and 1 <= p.v <= 4) for p in self.parts):
+            raise ValueError("the picture has no size")
+        if self.most_pixels is not None and self.height * self.width > self.most_pixels:
+            raise ValueError(f"{self.width} x {self.height} pixels are more than {self.most_pixels}")
         self.h, self.v = max(p.h for p in self.parts), max(p.v for p in self.parts)
         self.wide, self.high = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
+        # Every block takes a bit at least.
+        if self.wide * self.high * sum(p.h * p.v for p in self.parts) > self.most_blocks:
+            raise ValueError("the file is too short for its picture")
         for p in self.parts:
             p.cols = -(-(-(-self.width * p.h // self.h)) // 8)
             p.rows = -(-(-(-self.height * p.v // self.v)) // 8)
