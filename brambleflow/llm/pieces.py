@@ -8,8 +8,9 @@ from the whole piece.  Two tokens are compatible if undoing their merges, latest
 first, never meets a pair across their border that would have merged earlier.
 
 Texts are cut where a space follows something else and at line breaks: no token
-crosses these.  The test needs an order without ties, which the vocabulary's
-runs of spaces break; a piece with such a run is encoded merge by merge.
+crosses these.  Undoing merges needs an order without ties, which the runs of
+spaces in the vocabulary break: two tokens that make such a run are compatible if
+merging their joined text, which is short, gives the two again.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 a character outside the vocabulary becomes its UTF-8 bytes' ids; rows without
@@ -33,7 +34,8 @@ from .textblocks import blocks
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-MEMO_PIECES, MEMO_PAIRS = 600_000, 600_000
+#: Pieces, their bytes and pairs of tokens that a worker remembers before it starts afresh.
+MEMO_PIECES, MEMO_BYTES, MEMO_PAIRS = 600_000, 1 << 24, 600_000
 FAR = 1 << 60
 
 
@@ -90,6 +92,9 @@ class Pieces:
         if known is not None:
             return known
         key, bound, answer = u << 20 | t, FAR, True
+        both = self.text[u] + self.text[t]
+        if SPACE * 2 in both:
+            return self._remember(key, self.merged(both) == [self.text[u], self.text[t]])
         while True:
             if self.ranks.get(self.text[u] + self.text[t], FAR) < bound:
                 answer = False
@@ -101,13 +106,16 @@ class Pieces:
                 bound, u = a, self.right[u]
             else:
                 bound, t = b + 1, self.left[t]
+        return self._remember(key, answer)
+
+    def _remember(self, key: int, answer: bool) -> bool:
         if len(self.pairs) > MEMO_PAIRS:
             self.pairs.clear()
         self.pairs[key] = answer
         return answer
 
     def _by_prefixes(self, text: str) -> list[int]:
-        """Of known characters without runs of spaces."""
+        """Of known characters."""
         last = [-1] * (len(text) + 1)
         pairs, compatible = self.pairs, self.compatible
         for end, (size, token) in self.automaton.iter(text):
@@ -128,25 +136,20 @@ class Pieces:
         ids.reverse()
         return ids
 
-    def _known(self, text: str) -> list[int]:
-        if SPACE * 2 in text:
-            return [self.ids[x] for x in self.merged(text)]
-        return self._by_prefixes(text)
-
     def encode_part(self, text: str) -> list[int]:
         """The ids of a piece of text that has its leading space already."""
         text = text.replace(" ", SPACE)
         if self.known.issuperset(text):
-            return self._known(text) if text else []
+            return self._by_prefixes(text) if text else []
         ids: list[int] = []
         start = 0
         for k, c in enumerate(text):
             if c not in self.known:
                 if start < k:
-                    ids += self._known(text[start:k])
+                    ids += self._by_prefixes(text[start:k])
                 ids += [self.byte[b] for b in c.encode()]
                 start = k + 1
-        return ids + (self._known(text[start:]) if start < len(text) else [])
+        return ids + (self._by_prefixes(text[start:]) if start < len(text) else [])
 
     def decode_part(self, ids: Iterable[int]) -> bytes:
         return b"".join(self.bytes_of.get(i) or self.text[i].replace(SPACE, " ").encode() for i in ids)
@@ -163,6 +166,7 @@ class MemoEncoder:
         self.pieces = Pieces(path)
         self.ids: dict[bytes, bytes] = {}
         self.back: dict[bytes, bytes] = {}
+        self.size = 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """For each text, its ids in decimal, each followed by a comma, and what they decode to."""
@@ -182,14 +186,16 @@ class MemoEncoder:
         edge[line] = edge[line + 1] = edge[offsets] = True
         bounds = np.flatnonzero(edge).tolist()
         chunks = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        if len(self.ids) > MEMO_PIECES:
+        if len(self.ids) > MEMO_PIECES or self.size > MEMO_BYTES:
             self.ids.clear()
             self.back.clear()
+            self.size = 0
         encode, decode = self.pieces.encode_part, self.pieces.decode_part
         for chunk in set(chunks).difference(self.ids):
             ids = encode(chunk.decode())
             self.ids[chunk] = b"".join(b"%d," % i for i in ids)
             self.back[chunk] = decode(ids)
+            self.size += len(chunk)
         ids, back = list(map(self.ids.__getitem__, chunks)), list(map(self.back.__getitem__, chunks))
         rows = np.searchsorted(bounds, offsets).tolist()
         for a, b in zip(rows[:-1], rows[1:], strict=True):
