@@ -17,7 +17,8 @@ connected.  Two sets of similarity 0.75 share no band with probability 5e-6.
 
 Defined cases: a null, empty or blank text has no shingles and no links; a text
 of fewer words than a shingle is one shingle; rows without doc_id are linked
-with nothing and kept; rows that share a doc_id are one node; an empty table
+with nothing and kept; rows that share a doc_id are one node, whatever their
+texts; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -40,6 +41,8 @@ LANES = PERMS * BITS // 64
 #: Standard errors of the estimate between the threshold and the lowest estimate that is confirmed.
 SLACK = 5
 BLOCK_MEMBERS = 2048
+#: What tells classes apart, and the part of all documents above which a class is large.
+CLASS, LARGE = ["fp1", "fp2", "n_shingles"], 4096
 #: Bits of the bitmap of hashed shingles.
 BITMAP = 4096
 _mult = np.random.default_rng(20240229)
@@ -247,8 +250,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     signed = settle(rows.mapInArrow(*_sign(shingle_words)), "signatures")
     lanes = [f"s{i}" for i in range(LANES)]
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = own.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    nodes = settle(own.join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", *lanes, "bands", "bits").distinct(), "nodes")
+    # Equal sets have equal signatures, so a class is made by aggregation, which meets its copies task by task.
+    classes = settle(own.groupBy(*CLASS).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*lanes, "bands", "bits"))), "classes")
+    nodes = classes.select("id", "n_shingles", *lanes, "bands", "bits")
+    # A doc_id on rows of several classes is one node.
+    known = signed.where("doc_id IS NOT NULL").select("doc_id", *CLASS)
+    several = settle(known.groupBy("doc_id").agg(F.min(F.struct(*CLASS)).alias("low"), F.max(F.struct(*CLASS)).alias("high")).where("low <> high").select("doc_id"), "several")
+    tied = own.select("doc_id", *CLASS).join(several, "doc_id", "left_semi").join(classes.select(*CLASS, "id"), CLASS).where("doc_id <> id").select(F.col("id").alias("u"), F.col("doc_id").alias("v")).distinct()
     members = nodes.select("id", F.explode("bands").alias("h"))
     nodes = nodes.drop("bands")
     buckets = members.groupBy("h").agg(F.min("id").alias("center"), F.max("id").alias("other")).where("center <> other").select("h", "center")
@@ -262,7 +270,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     star = members.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
     a, b = nodes.alias("a"), nodes.alias("b")
     star = star.join(a, F.col("u") == F.col("a.id")).join(b, F.col("v") == F.col("b.id")).where(_different("a", "b") <= limit).select("u", "v")
-    links = _confirm(settle(star, "pairs"), sets, percent)
+    links = settle(_confirm(settle(star, "pairs"), sets, percent).union(tied), "links")
     labels = components(links)
 
     named = members.join(labels, "id", "left").select("h", "id", F.coalesce("component", "id").alias("label"))
@@ -275,7 +283,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     more = _confirm(settle(cross, "pairs"), sets, percent)
     labels = components(links.union(more))
 
-    ids = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    out = signed.select("doc_id", "row", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left").join(labels, "id", "left")
-    group = F.when(ids, F.coalesce("component", "id", "doc_id")).otherwise(F.col("doc_id"))
+    named = classes.select(*CLASS, "id", "n").join(labels, "id", "left").select(*CLASS, "n", F.coalesce("component", "id").alias("component"))
+    named = settle(named, "components")
+    out = _with_classes(signed.where("n_shingles > 0").select("doc_id", "row", *CLASS), named)
+    # A text without shingles belongs to its document, which may have others.
+    others = own.select("doc_id", *CLASS).join(several, "doc_id", "left_semi").join(named, CLASS).groupBy("doc_id").agg(F.min("component").alias("component"))
+    empty = signed.where("n_shingles = 0").select("doc_id", "row", *CLASS).join(others.hint("merge"), "doc_id", "left")
+    out = out.unionByName(empty)
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "row", "n_shingles", group.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows with their class's component.
+
+    A class of more than a LARGE-th of all documents would fill one task of a
+    join; there are fewer than LARGE of them, so they are broadcast.
+    """
+    least = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()["all"] // LARGE
+    large = F.broadcast(classes.where(F.col("n") > least).select(*(F.col(c).alias(f"l_{c}") for c in CLASS), F.col("component").alias("large")))
+    of = [F.col(c) == F.col(f"l_{c}") for c in CLASS]
+    first = rows.join(large, of, "left").drop(*(f"l_{c}" for c in CLASS))
+    rest = classes.where(F.col("n") <= least).drop("n").hint("merge")
+    done = first.where("large IS NOT NULL").withColumnRenamed("large", "component")
+    return done.unionByName(first.where("large IS NULL").drop("large").join(rest, CLASS, "left"))
