@@ -113,6 +113,30 @@ def test_near_duplicates(spark, pairs):
     assert by_id(got) == by_id(run_near_duplicates(pairs))
 
 
+def test_near_duplicates_of_a_document_with_several_texts(spark):
+    rng = random.Random(21)
+    a, b, c = (words(rng, 40, 3000) for _ in range(3))
+    for rows in ([(5, a), (3, b), (5, b), (7, a)], [(5, a), (5, b), (9, b + " x"), (8, a + " y")], [(1, a), (2, b), (2, a), (3, c), (3, b), (4, c + " z"), (3, None), (6, None)]):
+        got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(corpus(spark, rows)).collect()]
+        assert by_id(got) == by_id(run_near_duplicates(rows))
+
+
+def test_recall_just_above_the_threshold(spark):
+    rng = random.Random(31)
+    rows, n = [], 0
+    while n < 400:
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(60, 200))]
+        other = list(base)
+        for j in rng.sample(range(len(base)), rng.randrange(1, 6)):
+            other[j] = f"x{rng.randrange(9000)}"
+        x, y = shingles(" ".join(base)), shingles(" ".join(other))
+        if 75 * len(x | y) <= 100 * len(x & y) <= 80 * len(x | y):
+            rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+            n += 1
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(corpus(spark, rows)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(n)) == n
+
+
 def test_near_duplicates_in_blocks_and_chains(spark, monkeypatch):
     rng = random.Random(3)
     base = words(rng, 60, 5000).split()
@@ -168,12 +192,48 @@ def run_suffix(pairs, n=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_DOCS, 2])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_PLACES, 2])
 def test_suffix_dedup(spark, pairs, hot):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.suffix_dedup(corpus(spark, pairs), 50, True, hot).collect()]
     assert by_id(got) == by_id(run_suffix(pairs))
 
 
+def test_suffix_dedup_of_repeats_within_texts(spark):
+    rng = random.Random(12)
+    line = words(rng, 20, 500)
+    rows = [(1, "a" * 700), (2, "b" + "a" * 900 + line), (3, (line + " ") * 30), (4, (line + "; ") * 30 + "a" * 300), (5, "a" * 700), (None, line * 9), (None, (line + " ") * 30), (6, "-" * 80)]
+    rows += [(10 + i, f"{i} " + (line + " ") * (1 + i % 4) + "a" * (40 + i)) for i in range(30)]
+    for hot in (2000, 3):
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.suffix_dedup(corpus(spark, rows), 50, True, hot).collect()]
+        assert by_id(got) == by_id(run_suffix(rows))
+
+
+def test_suffix_dedup_survives_equal_hashes_of_texts(spark, monkeypatch, pairs):
+    weak = lambda docs: docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.octet_length("text").cast("long"))
+    monkeypatch.setattr(suffix_dedup, "keyed", weak)
+    monkeypatch.setattr(suffix_dedup, "fingerprints", lambda: ["row", F.lit(0).cast("long").alias("more"), F.octet_length("text").alias("size")])
+    rows = [x for x in pairs if x[0] is not None] + [(300, "x" * 99), (301, "y" * 99), (302, "z" + "y" * 98)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.suffix_dedup(corpus(spark, rows), 50, True).collect()]
+    assert by_id(got) == by_id(run_suffix(rows))
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 700])
+def test_equal_keys_of_different_windows_are_told_apart(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    rng = random.Random(3)
+    windows = [bytes(rng.choice(b"ab") for _ in range(50)) for _ in range(18)]
+    rows = sorted((key, doc, doc, 0, 1, 0, windows[2 * rng.randrange(9) + key % 2]) for key in (5, 6) for doc in range(60))
+    whole = [(7, 1, 1, 0, 3, -1, b"one text" * 9), (7, 2, 2, 0, 3, -1, b"one text" * 9), (7, 3, 3, 0, 3, -1, b"two text" * 9)]
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("back", pa.int32()), ("ctx", pa.binary())])
+    batches = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*(rows + whole), strict=True), schema.types, strict=True)], schema=schema).to_batches(max_chunksize=25)
+    got = {(r["doc"], r["n"]) for b in suffix_dedup._decided(50)[0](batches) for r in b.to_pylist()}
+    first: dict = {}
+    for key, doc, *_, ctx in rows:
+        first.setdefault((key, ctx), doc)
+    assert got == {(doc, 1) for key, doc, *_, ctx in rows if first[(key, ctx)] < doc} | {(2, 3), (3, suffix_dedup.NO_COPY)}
+
+
 def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
     rng = random.Random(9)
     long = words(rng, 3000, 9000)
@@ -231,6 +291,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(corpus(spark, rows)).count() == len(rows)
 
 
+def test_license_labels_do_not_depend_on_repeated_rows(spark):
+    rng = random.Random(7)
+    notices = [t.words.split() for t in licenses.TEMPLATES if not t.base]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(notices))
+        for _ in range(rng.randrange(0, len(w) // 2 + 1)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    found = lambda r: {(x.doc_id, x.labels, x.score) for x in licenses.scan_licenses(corpus(spark, r)).collect()}
+    once = found(rows)
+    assert once == found(rows * 2) and any(labels for _, labels, _ in once) and not all(labels for _, labels, _ in once)
+
+
 def test_license_places_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["MIT", "license", "general", "public", "apache", "x,"]) for _ in range(rng.randrange(60)))) for i in range(80)]
@@ -277,7 +351,6 @@ def test_packing(spark, pairs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BYTE_BPE)
-    whole.encode_special_tokens = True
     rows = packing.retrieval_packing(corpus(spark, pairs).coalesce(2), BYTE_BPE).collect()
     sequences: dict[int, list] = {}
     for r in rows:
@@ -308,7 +381,7 @@ def test_packing_prefers_neighbours():
     shard = packing.Shard()
     topics = ["alpha beta gamma delta", "one two three four"]
     for i in range(20):
-        terms = np.unique([hash((topics[i % 2], j)) & 0xFFFFFFFF for j in range(4)] + [10_000 + i]).astype(np.uint64)
+        terms = np.unique([hash((topics[i % 2], j)) & 0xFFFFFFFF for j in range(4)] + [10_000 + i]).astype(np.uint32)
         shard.add(i, np.arange(100, dtype=np.uint32), terms, np.ones(len(terms), np.int64))
     shard.index(np.ones(packing.CELLS, np.float32), 5.0)
     packing_common, packing.COMMON = packing.COMMON, 1.0
@@ -324,7 +397,7 @@ def test_packing_looks_up_common_terms():
         shard = packing.Shard()
         chance = 0.95 * rng.random(50) ** 2
         for i in range(n):
-            terms = np.append(np.flatnonzero(rng.random(50) < chance), [100 + i % 2, 1000 + i]).astype(np.uint64)
+            terms = np.append(np.flatnonzero(rng.random(50) < chance), [100 + i % 2, 1000 + i]).astype(np.uint32)
             shard.add(i, np.arange(100, dtype=np.uint32), terms, rng.integers(1, 5, len(terms)))
         idf = rng.random(packing.CELLS).astype(np.float32)
         shard.index(idf, 30.0)
@@ -339,7 +412,7 @@ def test_packing_looks_up_common_terms():
             assert np.allclose(shard.scores(seed)[others], want[others], rtol=1e-4)
     topics = packing.Shard()
     for i in range(20):
-        topics.add(i, np.arange(100, dtype=np.uint32), np.array([i % 2, 10 + i], np.uint64), np.ones(2, np.int64))
+        topics.add(i, np.arange(100, dtype=np.uint32), np.array([i % 2, 10 + i], np.uint32), np.ones(2, np.int64))
     topics.index(np.ones(packing.CELLS, np.float32), 2.0)
     assert {doc % 2 for doc, _, _ in next(topics.pack(1000))} == {0}
 
@@ -348,13 +421,18 @@ def test_piece_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BYTE_BPE)
-    whole.encode_special_tokens = True
     rng = random.Random(1)
     parts = [" ", "  ", "a", "It's", "\n", "é", "日", "😀", "\t", "12", "...", " ", " ", "　", "<|endoftext|>", "ing", "\x1c", "'ll", "\x85"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(50))) for _ in range(1500)]
+    spaces = ["\t", "\n", " ", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\x1c", "\u180e"]
+    for k in range(40):  # around the length from which runs are cut out
+        c = rng.choice(spaces)
+        run = "".join(rng.choice([c, " ", rng.choice(spaces)]) if k % 2 else c for _ in range(rng.choice([4095, 4096, 4097, 9000])))
+        texts.append((rng.choice(["", "a", "é", ".", "日"]) + run + rng.choice(["", "a", " b", "é", ".", "<|endoftext|>"])) * rng.choice([1, 2]))
+    texts += ["\n" * 1_000_000, "a" * 100_000, "hello <|endoftext|> world"]
     encoder = piece_encoder(BYTE_BPE)
-    got = [np.frombuffer(x, np.uint32).tolist() for _, data, offsets in blocks(pa.table({"text": texts}).to_batches()) for x in encoder.encode(data, offsets)]
-    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [encoder.encode(x).tolist() for x in texts] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts[-1]).tolist() == [31373, 220, 50256, 995]
 
 
 def test_sentence_pieces_equal_the_library(spark):
@@ -364,6 +442,8 @@ def test_sentence_pieces_equal_the_library(spark):
     rng = random.Random(6)
     parts = [" ", "  ", "a", "b", "the", "\n", "é", "日", "😀", "▁", "\t", "x", "23", ".", "ing", "\0", "<s>", "<0x0A>", " ⁇ ", "tion", "Z"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)] + [" " * k + s for k in range(1, 40) for s in ("", "a", " x", "\n")] + ["", "ab" * 3000]
+    texts += ["  " + "a" * 50_000, " " * 30_000 + "x", "ab" * 20_000 + "   "]
+    texts += ["".join(rng.choice([" " * rng.randrange(1, 40), rng.choice(["the", "ing", " of", "a", ".", "tion"])]) for _ in range(12)) for _ in range(1500)]
     encoder = MemoEncoder(PIECES)
     got = [x for _, data, offsets in blocks(pa.table({"text": texts}).to_batches()) for x in encoder.encode(data, offsets)]
     ids = library.encode(texts)
@@ -419,6 +499,28 @@ def test_decoder_reads_foreign_progressive_files(spark):
     assert decode_media(store_payloads(corpus(spark, [(1, "x"), (2, None)]))).where("rgb IS NOT NULL").count() == 2
 
 
+def test_damaged_files_give_an_error_text(spark):
+    whole = encode_bytes(bytes(range(192)))
+    frame = whole.index(b"\xff\xc2")
+    no_sampling = bytearray(whole)
+    no_sampling[frame + 11] = 0
+    huge = bytearray(whole)
+    huge[frame + 5 : frame + 9] = b"\xff\xff\xff\xff"
+    rng = random.Random(2)
+    files = [b"", b"\xff\xd8\xff\xd9", bytes(no_sampling), bytes(huge)]
+    for _ in range(60):
+        cut = bytearray(whole[: rng.randrange(2, len(whole))])
+        for _ in range(3):
+            cut[rng.randrange(2, len(cut))] = rng.randrange(256)
+        files.append(bytes(cut))
+    media = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")
+    rows = {r.doc_id: r for r in decode_media(media).collect()}
+    assert len(rows) == len(files) and all((r.rgb is None) != (r.error is None) for r in rows.values())
+    assert all(rows[i].error for i in range(4))
+    small = spark.createDataFrame([(1, bytearray(whole))], "doc_id long, media binary")
+    assert "pixels" in decode_media(small, most_pixels=10).first().error and decode_media(small, most_pixels=None).first().error is None
+
+
 PAGE = '<html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li>Menu</li></ul></nav><div class="ad banner">Buy</div><article><h1>{0}</h1><p><b>{1}<br>x<p>A &amp; b&nbsp;&#233;\n c</p><form>f</form><div class="comments"><p>reader</p></div></article><aside>s</aside><footer>&copy;</footer></body></html>'
 
 
