@@ -340,7 +340,24 @@ def test_top_k_with_small_shards_and_few_candidates(spark, monkeypatch):
         tree = kdtree.Tree(ids, v)
         for q in range(0, n, 50):
             want = sorted(((-float(v[q] @ x), i) for i, x in enumerate(v) if i != q))[:10]
-            assert tree.search(v[q], q, 10, -np.inf) == [(-s, i) for s, i in want]
+            assert tree.search(v[q], q, 10, kdtree.LEAST) == [(-s, i) for s, i in want]
+
+
+def test_top_k_of_repeated_ids_and_large_numbers(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(150)] + [(100, rng.normal(size=3).tolist()), (100, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0])]
+    rows += [(200 + i, (rng.normal(size=3) * 10.0 ** float(rng.uniform(3, 8))).tolist()) for i in range(60)] + [(300, [9e6, 9e6, -9e6]), (400, [3.0, 1e200, -1e300]), (401, [-3.0, 1e200, 1e300]), (500, [1e308, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    whole = [(i, [int(np.floor(1024 * x)) if abs(x) < 2**40 else int(x) * 1024 for x in v]) for i, v in rows if max(map(abs, v)) < 1e305]
+    want = []
+    for n, (q, a) in enumerate(whole):
+        if q % 100 == 0:
+            scores = [(-min(2**63 - 1, max(-(2**63), sum(x * y for x, y in zip(a, b, strict=True)))), i) for m, (i, b) in enumerate(whole) if m != n]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:10])]
+    for size in (8192, 20):
+        monkeypatch.setattr(kdtree, "BLOCK_QUERIES", size)
+        got = [tuple(r) for r in kdtree.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def fold_text(ids):
