@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -567,7 +569,112 @@ def test_main_text(spark):
     ],
 )
 def test_main_text_of_ambiguous_markup(page, want):
-    assert wrappers.main_text(page, wrappers.containers(wrappers.folded(wrappers.stream(page)))) == want
+    assert wrappers.main_text(page, wrappers.containers(wrappers.page_wrapper(page))) == want
+
+
+def test_the_wrapper_decides(spark):
+    """Elements without telling names: what is the same on a host's pages, and links, are not its main text."""
+    rng = random.Random(17)
+    page = "<body><div id='a'>{0}</div><div id='b'><ul>{1}</ul></div><div id='c'><div id='d'><h2>{2}</h2>{3}</div></div><div id='e'>{0}</div></body>"
+    rows, want = [], {}
+    template = words(rng, 80)
+    for i in range(9):
+        body = [words(rng, 1 + rng.randrange(30)) for _ in range(rng.randrange(1, 7))]
+        links = "".join(f"<li><a href='/{j}'>{words(rng, 9)}</a></li>" for j in range(rng.randrange(2, 9)))
+        rows.append((i, f"https://host.example/{i}", page.format(template, links, f"head {i}", "".join(f"<p>{x}</p>" for x in body))))
+        want[i] = "\n".join([f"head {i}", *body])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()} == want
+    for i, _, html in rows:  # a page alone doesn't tell its template
+        alone = wrappers.main_text(html, [])
+        assert alone != want[i] and want[i].split("\n")[-1] in alone
+
+
+def test_parts_of_a_host_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "PART_STRUCTURES", 3)
+    monkeypatch.setattr(wrappers, "PART_WRAPPERS", 2)
+    rng = random.Random(18)
+    tags = ["p", "h2", "pre", "blockquote"]
+    rows = [(i, f"http://one.example/{i}", "<body><div class='menu'>m</div><article>" + "".join(f"<{t}>{words(rng, 3)}</{t}>" for t in rng.choices(tags, k=rng.randrange(1, 9))) + "</article></body>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [json.loads(r.wrapper) for r in wrappers.infer_wrappers(df).collect()]
+    assert len(found) == 1 and found[0]["pages"][0] == 40
+    pattern = re.compile(expression_pattern(found[0]["nodes"]))
+    for _, _, html in rows:
+        assert pattern.fullmatch("".join(f"{x} " for x in wrappers.stream(html)))
+
+
+def expression_pattern(nodes):
+    """The wrapper as a pattern over tokens followed by spaces."""
+    return "".join("(?:" + (re.escape(what + " ") if isinstance(what, str) else f"(?:{expression_pattern(what)})+") + ")" + ("*" if optional else "") for what, optional in nodes)
+
+
+def test_alignment_is_longest_in_linear_space(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x, y = (rng.integers(0, 5, rng.integers(0, 40)) for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+        for cells in (1 << 20, 8):
+            monkeypatch.setattr(wrappers, "TABLE", cells)
+            found = wrappers._matches(x, y)
+            assert len(found) == table[-1][-1] and all(x[i] == y[j] for i, j in found)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(found[:-1], found[1:], strict=True))
+
+
+def test_long_pages():
+    rng = random.Random(19)
+    page = lambda: "<body><article>" + "".join(f"<{t}>x</{t}>" for t in rng.choices(["p", "h2", "pre", "ul", "dl"], k=6000)) + "</article></body>"
+    a, b = wrappers.page_wrapper(page()), wrappers.page_wrapper(page())
+    both = wrappers.merged(a, b)
+    assert wrappers.containers(both) == ["article"] and len(wrappers.main_text(page(), ["article"]).split("\n")) == 6000
+
+
+class Independent(HTMLParser):
+    """Blocks in article elements by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("nav", "footer", "aside", "script", "form") or ("class", "comments") in attrs
+        self.blocks.append("") if tag not in ("b", "i", "a", "br") else None
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("nav", "footer", "aside", "script", "form", "section")
+        self.blocks.append("") if tag not in ("b", "i", "a", "br") else None
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_main_text_against_an_independent_parser(spark):
+    rng = random.Random(20)
+    inline = lambda: rng.choice(["{}", "<b>{}</b>", "{} &amp; x", "<i>{}<br>y</i>", "<a href='/'>{}</a>", "&eacute;{}&#33;"]).format(words(rng, rng.randrange(1, 9)))
+    around = ["<nav><ul><li>{}</li></ul></nav>", "<footer>{}</footer>", "<aside><p>{}</p></aside>", "<script>var x = '{}';</script>", "<form>{}</form>"]
+    block = lambda: f"<{(t := rng.choice(['p', 'h2', 'blockquote', 'pre', 'li']))}>{inline()} {inline()}</{t}>"
+    rows = []
+    for i in range(150):
+        inner = "".join(rng.choice(around).format(words(rng, 3)) if rng.random() < 0.15 else block() for _ in range(rng.randrange(1, 12)))
+        if rng.random() < 0.3:
+            inner += f"<section class='comments'><p>{words(rng, 5)}</p></section>"
+        outer = "".join(rng.choice(around).format(words(rng, 4)) for _ in range(3))
+        rows.append((i, f"http://h{i % 4}.example/", f"<html><body>{outer}<article class='{rng.choice(['post', 'story', 'x'])}'><h1>{inline()}</h1>{inner}</article><article>{block()}</article>{outer}</body></html>"))
+    want = {}
+    for i, _, html in rows:
+        parser = Independent()
+        parser.feed(html)
+        want[i] = "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()} == want
 
 
 def test_wrappers_have_groups_and_options():
