@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .ranking import last_n, ranked
+from .ranking import DIGITS, last_n, ranked
 
 K1, B = 1.5, 0.75
 #: The least mean length, and how many titles make a user's query.
@@ -71,7 +71,24 @@ def user_queries(history: DataFrame, items: DataFrame, n: int = QUERY_TITLES) ->
 
 
 def recommend_users(history: DataFrame, items: DataFrame, k: int, n: int = QUERY_TITLES) -> DataFrame:
-    """The k best items for each user's latest titles, without these items."""
-    index = build_index(items, text="title")
+    """The k best items for each user's latest titles, without these items.
+
+    Titles repeat, so queries meet distinct titles.  The k + n best scores' titles
+    and the first k + n items of each hold all that can be among a user's k best.
+    """
+    most = k + n
+    titled = items.select("item_id", F.coalesce("title", F.lit("")).alias("title"))
+    sized = titled.groupBy("title").agg(F.count("*").alias("items")).withColumn("tokens", tokens(F.col("title"))).withColumn("dl", F.size("tokens"))
+    postings = sized.select(F.col("title").alias("item_id"), "dl", "items", F.explode("tokens").alias("token")).groupBy("item_id", "token", "dl", "items").agg(F.count("*").alias("tf"))
+    mean = F.sum(F.col("dl") * F.col("items")) / F.sum("items")
+    corpus = sized.agg(F.greatest(F.coalesce(F.sum("items"), F.lit(0)), F.lit(1)).alias("n"), F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(LEAST_MEAN)).alias("mean"))
+    index = Index(postings.drop("items"), postings.groupBy("token").agg(F.sum("items").alias("df")), corpus)
+
+    queries = user_queries(history, items, n)
+    found = scored(index, query_tokens(queries)).where("score > 0").withColumn("score", F.round("score", DIGITS))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    found = found.withColumn("place", F.dense_rank().over(best)).where(F.col("place") <= most).select("query_id", F.col("item_id").alias("title"), "score")
+    first = titled.withColumn("place", F.row_number().over(Window.partitionBy("title").orderBy("item_id"))).where(F.col("place") <= most).drop("place")
     seen = last_n(history, n).select(F.col("user_id").alias("query_id"), "item_id").distinct()
-    return search(index, user_queries(history, items, n), k, seen).withColumnRenamed("query_id", "user_id")
+    out = found.join(first, "title").join(seen, ["query_id", "item_id"], "left_anti").select("query_id", "item_id", "score")
+    return ranked(out, ["query_id"], k).withColumnRenamed("query_id", "user_id")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import cosine, dot
+from ..functions.vectors import averaged, cosine, dot, normalized, summed
 from .ranking import last_n, ranked
 
 HISTORY = 50
 LTR = [
-    "history_length", "has_history", "has_text", "has_image", "recall_score",
+    "history_length", "has_text", "has_image", "has_multi", "recall_score",
     "text_max", "text_mean", "text_min", "text_attention", "image_max", "image_mean", "image_min", "image_attention",
     "multi_max", "multi_mean", "multi_min", "multi_std", "multi_attention", "attention_std", "attention_max",
     "user_avg_sim", "mean_difference", "mean_ratio", "combined",
@@ -20,8 +20,10 @@ PAIRWISE = [
     "bm25_score", "interest_max", "text_cosine", "image_cosine", "recall_score", "from_bm25", "from_faiss", "from_both",
     "hybrid_cosine", "short_cosine", "long_cosine", "history_max", "history_mean", "token_overlap", "title_tokens",
 ]
-#: Shares of text, image and both in the combined similarity.
+#: Shares of recall score, attention and similarity to the user's mean in the combined score.
 COMBINED = (0.3, 0.4, 0.3)
+#: Rows of a training matrix at which no further user is added, candidates a user.
+MATRIX_ROWS, USER_CANDIDATES = 70_000, 100
 
 
 def token_overlap(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -37,47 +39,99 @@ def token_overlap(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataF
     return out.withColumn("overlap", F.coalesce(F.col("shared") / F.col("size"), F.lit(0.0))).drop("shared", "size")
 
 
-def history_similarities(pairs: DataFrame, history: DataFrame, features: DataFrame) -> DataFrame:
+def history_similarities(pairs: DataFrame, history: DataFrame, features: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Per pair and modality: max, mean, min, deviation of the similarities to the latest items, and attention figures.
 
-    ``features`` has item_id, text_vec, image_vec, multi_vec.
+    ``features`` has item_id, text_vec, image_vec, multi_vec (null where an item
+    lacks one), ``sizes`` their lengths.  The history's vectors have length one;
+    the candidate's text and image vectors are taken as they are, elsewhere it
+    has length one, too.  Attention is the cosine of the candidate with the
+    history pooled by the positive parts of the products.
     """
-    modes = ("text", "image", "multi")
     own = last_n(history, HISTORY).select("user_id", F.col("item_id").alias("seen"))
-    own = own.join(features.select(F.col("item_id").alias("seen"), *(F.col(f"{m}_vec").alias(f"h_{m}") for m in modes)), "seen")
-    met = pairs.select("user_id", "item_id").join(features.select("item_id", *(F.col(f"{m}_vec").alias(f"c_{m}") for m in modes)), "item_id").join(own, "user_id")
-    for m in modes:
-        met = met.withColumn(f"s_{m}", cosine(F.col(f"h_{m}"), F.col(f"c_{m}"))).withColumn(f"w_{m}", F.greatest(dot(F.col(f"h_{m}"), F.col(f"c_{m}")), F.lit(0.0)))
+    own = own.join(features.select(F.col("item_id").alias("seen"), *(normalized(F.col(f"{m}_vec")).alias(f"h_{m}") for m in sizes)), "seen")
+    # A candidate without a whole vector counts as a zero vector there.
+    candidates = features.select("item_id", *(normalized(F.col(f"{m}_vec")).alias(f"c_{m}") for m in sizes), *(F.col(f"{m}_vec").alias(f"raw_{m}") for m in sizes))
+    met = pairs.select("user_id", "item_id").join(candidates, "item_id", "left").join(own, "user_id")
+    for m in sizes:
+        met = met.withColumn(f"s_{m}", dot(F.col(f"h_{m}"), F.col("c_multi" if m == "multi" else f"raw_{m}")))
+        if m == "multi":
+            met = met.withColumn(f"s_{m}", F.when(F.col(f"h_{m}").isNotNull(), F.coalesce(f"s_{m}", F.lit(0.0))))
+        met = met.withColumn(f"w_{m}", F.when(F.col(f"h_{m}").isNotNull(), F.greatest(F.coalesce(dot(F.col(f"h_{m}"), F.col(f"c_{m}")), F.lit(0.0)), F.lit(0.0))))
     aggregates = []
-    for m in modes:
-        s, w = F.col(f"s_{m}"), F.col(f"w_{m}")
-        attention = F.when(F.sum(w) > 0, F.sum(w * s) / F.sum(w)).otherwise(F.avg(s))
-        aggregates += [F.max(s).alias(f"{m}_max"), F.avg(s).alias(f"{m}_mean"), F.min(s).alias(f"{m}_min"), F.stddev_pop(s).alias(f"{m}_std"), attention.alias(f"{m}_attention")]
+    for m, size in sizes.items():
+        s = F.col(f"s_{m}")
+        aggregates += [F.max(s).alias(f"{m}_max"), F.avg(s).alias(f"{m}_mean"), F.min(s).alias(f"{m}_min"), F.stddev_pop(s).alias(f"{m}_std")]
+        aggregates += [summed(F.col(f"h_{m}"), size, F.col(f"w_{m}")).alias(f"p_{m}"), averaged(F.col(f"h_{m}"), size).alias(f"a_{m}"), F.first(f"c_{m}").alias(f"c_{m}"), F.sum(f"w_{m}").alias(f"t_{m}")]
     total = F.sum("w_multi")
     aggregates += [
-        F.when(total > 0, F.stddev_pop("w_multi") / total).otherwise(0.0).alias("attention_std"),
-        F.when(total > 0, F.max("w_multi") / total).otherwise(1 / F.count("*")).alias("attention_max"),
+        F.when(total > 0, F.stddev_pop("w_multi") / total).otherwise(F.when(F.count("w_multi") > 0, 0.0)).alias("attention_std"),
+        F.when(total > 0, F.max("w_multi") / total).otherwise(1 / F.nullif(F.count("w_multi"), F.lit(0))).alias("attention_max"),
     ]
-    return met.groupBy("user_id", "item_id").agg(*aggregates)
+    out = met.groupBy("user_id", "item_id").agg(*aggregates)
+    pooled = lambda m: F.when(F.col(f"t_{m}") > 0, F.col(f"p_{m}")).otherwise(F.col(f"a_{m}"))
+    out = out.select("*", *(cosine(pooled(m), F.col(f"c_{m}")).alias(f"{m}_attention") for m in sizes), cosine(F.col("a_multi"), F.col("c_multi")).alias("user_avg_sim"))
+    return out.drop(*(f"{x}_{m}" for m in sizes for x in "patc"))
 
 
-def ltr_features(pairs: DataFrame, history: DataFrame, features: DataFrame) -> DataFrame:
+def ltr_features(pairs: DataFrame, history: DataFrame, features: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """(user_id, item_id, 24 features) of pairs with recall_score; what has no vector counts 0."""
-    sizes = history.groupBy("user_id").agg(F.count("*").alias("n"))
-    have = features.select("item_id", F.col("text_vec").isNotNull().cast("double").alias("has_text"), F.col("image_vec").isNotNull().cast("double").alias("has_image"))
-    out = pairs.join(sizes, "user_id", "left").join(have, "item_id", "left").join(history_similarities(pairs, history, features), ["user_id", "item_id"], "left")
+    lengths = last_n(history, HISTORY).groupBy("user_id").agg(F.count("*").alias("n"))
+    have = features.select("item_id", *(F.col(f"{m}_vec").isNotNull().cast("double").alias(f"has_{m}") for m in sizes))
+    out = pairs.join(lengths, "user_id", "left").join(have, "item_id", "left").join(history_similarities(pairs, history, features, sizes), ["user_id", "item_id"], "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     own = {
         "history_length": zero("n"),
-        "has_history": (zero("n") > 0).cast("double"),
-        "user_avg_sim": zero("multi_mean"),
         "mean_difference": zero("text_mean") - zero("image_mean"),
         "mean_ratio": zero("text_mean") / (zero("image_mean") + 1e-6),
-        "combined": COMBINED[0] * zero("text_mean") + COMBINED[1] * zero("image_mean") + COMBINED[2] * zero("multi_mean"),
+        "combined": COMBINED[0] * zero("recall_score") + COMBINED[1] * zero("multi_attention") + COMBINED[2] * zero("user_avg_sim"),
     }
     return out.select("user_id", "item_id", *(F.round(own.get(f, zero(f)), 6).alias(f) for f in LTR))
 
 
+def training_matrix(candidates: DataFrame, truth: DataFrame, most_rows: int = MATRIX_ROWS, each: int = USER_CANDIDATES) -> DataFrame:
+    """(user_id, item_id, recall_score, rank, label, group_size): a group of labelled candidates for each user of the truth.
+
+    ``candidates`` has user_id, item_id, score, rank.  Users are taken in order
+    until the rows are enough, the last one whole.
+    """
+    wanted = truth.select("user_id", "item_id").distinct().withColumn("label", F.lit(1.0))
+    rows = candidates.where(F.col("rank") <= each).join(truth.select("user_id").distinct(), "user_id", "left_semi").join(wanted, ["user_id", "item_id"], "left")
+    sizes = rows.groupBy("user_id").agg(F.count("*").alias("group_size"))
+    # Each user adds a row at least, so the running sum is over most_rows users at most.
+    before = F.coalesce(F.sum("group_size").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = sizes.orderBy("user_id").limit(most_rows).withColumn("before", before).where(F.col("before") < most_rows).drop("before")
+    return rows.join(taken, "user_id").select("user_id", "item_id", F.col("score").alias("recall_score"), "rank", F.coalesce("label", F.lit(0.0)).alias("label"), "group_size")
+
+
+#: Weights of random negatives, and unit and most of what nearness adds to hard ones.
+EASY, BM25_UNIT, DENSE_UNIT, MOST_HARD = 0.8, 10.0, 0.5, 2.0
+
+
+def mixed_negatives(pairs: DataFrame, random: DataFrame, sparse: DataFrame, near: DataFrame, history: DataFrame, each: int) -> DataFrame:
+    """(user_id, positive, item_id, kind, weight): of every kind ``each`` negatives a positive, none of the user's history.
+
+    ``random`` has user_id, positive, item_id; ``sparse`` and ``near`` are users'
+    ranked lists.  Hard negatives weigh the more, the better their score.
+    """
+    seen = history.select("user_id", "item_id").distinct()
+    own = pairs.select("user_id", F.col("item_id").alias("positive"))
+
+    def hard(found: DataFrame, kind: str, weight: Column) -> DataFrame:
+        first = ranked(found.join(seen, ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "score"), ["user_id"], each + 1)
+        met = own.join(first, "user_id").where(F.col("item_id") != F.col("positive"))
+        place = F.row_number().over(Window.partitionBy("user_id", "positive").orderBy("rank"))
+        return met.withColumn("place", place).where(F.col("place") <= each).select("user_id", "positive", "item_id", F.lit(kind).alias("kind"), F.round(1 + F.least(weight, F.lit(MOST_HARD)), 6).alias("weight"))
+
+    easy = random.select("user_id", "positive", "item_id", F.lit("random").alias("kind"), F.lit(EASY).alias("weight"))
+    return easy.unionByName(hard(sparse, "hard_bm25", F.col("score") / BM25_UNIT)).unionByName(hard(near, "hard_faiss", F.col("score") / DENSE_UNIT))
+
+
+def held_out(user: str = "user_id") -> Column:
+    """The fifth of users on which no ranker is fitted, by a hash."""
+    return F.pmod(F.crc32(F.col(user)), F.lit(5)) == 0
+
+
 def trained_ranker(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None):
     """A logistic regression without scaling, its penalty over the rows as a whole."""
     from pyspark.ml.classification import LogisticRegression

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import averaged, blended, normalized, summed
+from ..functions.vectors import averaged, blended, close, normalized, summed
 from .ranking import last_n
 
 #: Weights of the three latest items, length of the long history, share of the short profile.
@@ -81,11 +81,25 @@ def history_halves(history: DataFrame, n: int = LONG) -> DataFrame:
 
 
 def interest_set(history: DataFrame, features: DataFrame, size: int) -> DataFrame:
-    """(user_id, number, v): short, long and hybrid profile as interests 1 to 3, exact repeats left out."""
+    """(user_id, number, v): short, long and hybrid profile and those of both halves of the history as interests 1 to 5.
+
+    One that is nearly an earlier one is left out.
+    """
     profiles = interest_profiles(history, features, size)
-    rows = profiles.select("user_id", F.posexplode(F.array("short_vec", "long_vec", "hybrid_vec")).alias("number", "v")).where("v IS NOT NULL")
-    first = rows.groupBy("user_id", "v").agg((F.min("number") + 1).alias("number"))
-    return first.select("user_id", "number", "v")
+    halves = history_halves(history).join(features.select("item_id", "v"), "item_id").groupBy("user_id", "half").agg(normalized(averaged(F.col("v"), size)).alias("v"))
+    # A user's vectors are five at most.
+    halves = halves.groupBy("user_id").agg(*(F.first(F.when(F.col("half") == h, F.col("v")), ignorenulls=True).alias(f"half{h}") for h in (1, 2)))
+    every = F.array("short_vec", "long_vec", "hybrid_vec", "half1", "half2")
+    numbered = F.filter(F.transform(every, lambda v, i: F.struct((i + 1).alias("number"), v.alias("v"))), lambda x: x["v"].isNotNull())
+    none = F.filter(numbered, lambda x: F.lit(False))
+    kept = F.aggregate(numbered, none, lambda held, x: F.when(F.exists(held, lambda y: close(x["v"], y["v"])), held).otherwise(F.concat(held, F.array(x))))
+    return profiles.join(halves, "user_id", "left").select("user_id", F.explode(kept).alias("x")).select("user_id", "x.number", "x.v")
+
+
+def mean_profile(history: DataFrame, features: DataFrame, size: int) -> DataFrame:
+    """(user_id, v): mean vector of the whole history, of length one."""
+    met = history.join(features.select("item_id", "v"), "item_id")
+    return met.groupBy("user_id").agg(normalized(averaged(F.col("v"), size)).alias("v"))
 
 
 def kmeans_interests(history: DataFrame, features: DataFrame, seed: int = 42, rounds: int = 25) -> DataFrame:

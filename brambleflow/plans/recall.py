@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, fused, rounded, text_query_fused
 from ..operators import bm25, dense, fusion, ltr, profiles, rerank
-from ..operators.ranking import last_n
+from ..operators.ranking import last_n, unseen
 from . import views as V
 from .views import TEXT_SIZE, with_views
 
 K, POOL = 10, 50
+SIZES = {"text": TEXT_SIZE, "image": TEXT_SIZE, "multi": 2 * TEXT_SIZE}
 
 
 def _vectors(features: DataFrame, column: str, key: str = "item_id") -> DataFrame:
@@ -86,16 +87,59 @@ def kmeans_interests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _interests(spark: SparkSession, d: str) -> DataFrame:
-    """Short, long and hybrid profile as interests 1 to 3."""
-    p = profiles.interest_profiles(V.history(spark, d), _vectors(V.features(spark, d), "text_vec"), TEXT_SIZE)
-    rows = p.select("user_id", F.posexplode(F.array("short_vec", "long_vec", "hybrid_vec")).alias("number", "v")).where("v IS NOT NULL")
-    return rows.select("user_id", (F.col("number") + 1).alias("number"), "v")
+    """Short, long, hybrid and half profiles as interests."""
+    return profiles.interest_set(V.history(spark, d), _vectors(V.features(spark, d), "text_vec"), TEXT_SIZE)
 
 
-def two_tower_user_recall(spark: SparkSession, d: str) -> DataFrame:
-    f, history = V.features(spark, d), V.history(spark, d)
+def _two_towers(history: DataFrame, interests: DataFrame, f: DataFrame, k: int = 20) -> DataFrame:
     images = profiles.image_profile(history, _vectors(f, "image_vec"), TEXT_SIZE)
-    return dense.user_recall(_interests(spark, d), images, _vectors(f, "text_vec"), _vectors(f, "image_vec"))
+    return dense.user_recall(interests, images, _vectors(f, "text_vec"), _vectors(f, "image_vec"), k)
+
+
+def two_tower_user_recall(spark: SparkSession, d: str) -> DataFrame:
+    return _two_towers(V.history(spark, d), _interests(spark, d), V.features(spark, d))
+
+
+def two_tower_clustered_recall(spark: SparkSession, d: str) -> DataFrame:
+    """By clustered interests, as the user model gives them."""
+    return _two_towers(V.history(spark, d), kmeans_interests(spark, d), V.features(spark, d))
+
+
+def user_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Recall for all users from their train history, without what that holds."""
+    f = V.features(spark, d)
+    train, truth = profiles.leave_last_n(V.history(spark, d))
+    found = _two_towers(train, profiles.interest_set(train, _vectors(f, "text_vec"), TEXT_SIZE), f, POOL)
+    return unseen(found.join(truth.select("user_id").distinct(), "user_id", "left_semi"), train)
+
+
+def training_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal rank fusion of BM25 and proxy recall over a user's ten latest train items, without these."""
+    sparse, dense_ = _training_lists(spark, d)
+    return fusion.rrf(sparse, dense_, 20).select(F.col("query_id").alias("user_id"), "item_id", "final_score", F.coalesce("bm25_rank", F.lit(0)).alias("bm25_rank"), F.coalesce("faiss_rank", F.lit(0)).alias("faiss_rank"), "recall_source", "rank")
+
+
+def _training_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    f, items = V.features(spark, d), V.items(spark, d)
+    train, _ = profiles.leave_last_n(V.history(spark, d))
+    recent = last_n(train, profiles.LONG)
+    sparse = bm25.recommend_users(train, items, K, profiles.LONG).withColumnRenamed("user_id", "query_id")
+    interests = profiles.interest_set(train, _vectors(f, "text_vec"), TEXT_SIZE)
+    near = dense.proxy_recall(interests, _vectors(f, "text_vec"), recent, K).withColumnRenamed("user_id", "query_id")
+    return sparse, near
+
+
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """For each held-out item: negatives by hash, by BM25 and by nearness to the interests, with their weights."""
+    f, items = V.features(spark, d), V.items(spark, d)
+    history = V.history(spark, d)
+    train, _ = profiles.leave_last_n(history)
+    pairs = _pairs(spark, d)
+    sparse = bm25.recommend_users(train, items, 50, profiles.LONG)
+    interests = profiles.interest_set(train, _vectors(f, "text_vec"), TEXT_SIZE)
+    near = dense.proxy_recall(interests, _vectors(f, "text_vec"), train, K)
+    random = profiles.hashed_negatives(pairs, f.select("item_id"), history, 1)
+    return ltr.mixed_negatives(pairs, random, sparse, near, history, 1)
 
 
 def proxy_recall_maxmerge(spark: SparkSession, d: str) -> DataFrame:
@@ -151,13 +195,23 @@ def rerank_user_cosine(spark: SparkSession, d: str) -> DataFrame:
 def _ltr_rows(spark: SparkSession, d: str) -> DataFrame:
     f = V.features(spark, d).withColumnRenamed("v", "multi_vec")
     train, _ = profiles.leave_last_n(V.history(spark, d))
-    return ltr.ltr_features(_pairs(spark, d).withColumn("recall_score", F.lit(0.0)), train, f)
+    recalled = user_candidates(spark, d).select("user_id", "item_id", F.col("score").alias("recall_score"))
+    pairs = _pairs(spark, d).join(recalled, ["user_id", "item_id"], "left").withColumn("recall_score", F.coalesce("recall_score", F.lit(0.0)))
+    return ltr.ltr_features(pairs, train, f, SIZES)
 
 
 def ltr24_features(spark: SparkSession, d: str) -> DataFrame:
     return _ltr_rows(spark, d)
 
 
+def ltr_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of labelled candidates with their features."""
+    f = V.features(spark, d).withColumnRenamed("v", "multi_vec")
+    train, truth = profiles.leave_last_n(V.history(spark, d))
+    rows = ltr.training_matrix(user_candidates(spark, d), truth, most_rows=4000, each=20)
+    return rows.select("user_id", "item_id", "label", "group_size").join(ltr.ltr_features(rows.select("user_id", "item_id", "recall_score"), train, f, SIZES), ["user_id", "item_id"])
+
+
 def pairwise15_features(spark: SparkSession, d: str) -> DataFrame:
     return _pairwise(spark, d, _pairs(spark, d))
 
@@ -167,22 +221,25 @@ def _pairwise(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     train, _ = profiles.leave_last_n(V.history(spark, d))
     text, image = _vectors(f, "text_vec"), _vectors(f, "image_vec")
     recent = last_n(train, profiles.LONG)
-    queries = bm25.user_queries(train, items)
+    queries = bm25.user_queries(train, items, profiles.LONG)
     index = bm25.build_index(items, text="title")
     scores = bm25.score_pairs(index, queries, pairs.withColumnRenamed("user_id", "query_id")).withColumnRenamed("query_id", "user_id").withColumnRenamed("score", "bm25")
     p = profiles.interest_profiles(train, text, TEXT_SIZE)
+    interests = profiles.interest_set(train, text, TEXT_SIZE).groupBy("user_id").agg(F.collect_list("v").alias("interests"))
     mean_text = profiles.mean_of_units(recent, text, TEXT_SIZE).withColumnRenamed("v", "mt")
     mean_image = profiles.mean_of_units(recent, image, TEXT_SIZE).withColumnRenamed("v", "mi")
     seen = recent.select("user_id", F.col("item_id").alias("seen")).join(text.withColumnRenamed("item_id", "seen").withColumnRenamed("v", "h"), "seen")
     near = pairs.join(text, "item_id").join(seen, "user_id").groupBy("user_id", "item_id").agg(F.max(cosine(F.col("h"), F.col("v"))).alias("hmax"), F.avg(cosine(F.col("h"), F.col("v"))).alias("hmean"))
     overlap = ltr.token_overlap(pairs, queries.withColumnRenamed("query_id", "user_id"), items)
     n_tokens = bm25.query_tokens(items.select(F.col("item_id").alias("query_id"), F.col("title").alias("text"))).groupBy("query_id").agg(F.sum("qf").alias("n")).withColumnRenamed("query_id", "item_id")
-    out = pairs.join(scores, ["user_id", "item_id"], "left").join(p, "user_id", "left").join(mean_text, "user_id", "left").join(mean_image, "user_id", "left")
+    out = pairs.join(scores, ["user_id", "item_id"], "left").join(p, "user_id", "left").join(interests, "user_id", "left").join(mean_text, "user_id", "left").join(mean_image, "user_id", "left")
     out = out.join(near, ["user_id", "item_id"], "left").join(overlap, ["user_id", "item_id"], "left").join(n_tokens, "item_id", "left").join(f.select("item_id", "text_vec", "image_vec"), "item_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     short, long, both = (cosine(F.col(c), F.col("text_vec")) for c in ("short_vec", "long_vec", "hybrid_vec"))
     found = F.coalesce(F.col("bm25"), F.lit(0.0)) > 0
-    values = [F.log1p(zero(F.col("bm25"))), F.greatest(short, long, both), cosine(F.col("mt"), F.col("text_vec")), cosine(F.col("mi"), F.col("image_vec")), F.lit(0.0), found.cast("double"), F.lit(0.0), F.lit(0.0), both, short, long, zero(F.col("hmax")), zero(F.col("hmean")), zero(F.col("overlap")), zero(F.col("n").cast("double")) / 20]
+    near_interest = zero(F.array_max(F.transform("interests", lambda v: cosine(v, F.col("text_vec")))))
+    by_vector = F.round(near_interest, 6) > 0
+    values = [F.log1p(zero(F.col("bm25"))), near_interest, cosine(F.col("mt"), F.col("text_vec")), cosine(F.col("mi"), F.col("image_vec")), F.lit(0.0), found.cast("double"), by_vector.cast("double"), (found & by_vector).cast("double"), both, short, long, zero(F.col("hmax")), zero(F.col("hmean")), zero(F.col("overlap")), zero(F.col("n").cast("double")) / 20]
     return out.select("user_id", "item_id", *(F.round(v, 6).alias(n) for v, n in zip(values, ltr.PAIRWISE, strict=True)))
 
 
@@ -196,21 +253,45 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lr_rerank(spark: SparkSession, d: str) -> DataFrame:
-    rows = _training(spark, d).persist()
-    return ltr.reranked(ltr.trained_ranker(rows, ltr.PAIRWISE), rows, K)
+    """Fitted on the users of four of five hash parts, applied to those of the fifth."""
+    rows = _training(spark, d)
+    return ltr.reranked(ltr.trained_ranker(rows.where(~ltr.held_out()), ltr.PAIRWISE), rows.where(ltr.held_out()), K)
+
+
+def lr_weighted_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted with hard negatives and their weights."""
+    negatives = hard_negatives(spark, d)
+    labelled = _pairs(spark, d).select("user_id", "item_id", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight"))
+    labelled = labelled.unionByName(negatives.groupBy("user_id", "item_id").agg(F.lit(0.0).alias("label"), F.max("weight").alias("weight")))
+    rows = _pairwise(spark, d, labelled.select("user_id", "item_id")).join(labelled, ["user_id", "item_id"])
+    return ltr.reranked(ltr.trained_ranker(rows.where(~ltr.held_out()), ltr.PAIRWISE, weight="weight"), rows.where(ltr.held_out()), K)
 
 
 def gbt_ltr(spark: SparkSession, d: str) -> DataFrame:
-    rows = _training(spark, d).persist()
-    return ltr.boosted_order(ltr.boosted_ranker(rows, ltr.PAIRWISE), rows, K)
+    """Fitted on groups of candidates of four of five hash parts of the users, applied to those of the fifth."""
+    rows = ltr_matrix(spark, d)
+    return ltr.boosted_order(ltr.boosted_ranker(rows.where(~ltr.held_out()), ltr.LTR), rows.where(ltr.held_out()), K)
+
+
+def gbt_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the boosted order and of the recall order over the held-out users' groups."""
+    from ..operators import evaluation
+    from ..operators.ranking import ranked
+
+    _, truth = profiles.leave_last_n(V.history(spark, d))
+    order = gbt_ltr(spark, d)
+    held = ltr_matrix(spark, d).where(ltr.held_out())
+    recall = ranked(held.select("user_id", "item_id", F.col("recall_score").alias("score")), ["user_id"], K)
+    own = truth.join(held.select("user_id").distinct(), "user_id", "left_semi")
+    return evaluation.evaluate(order, own, model="boosted").unionByName(evaluation.evaluate(recall, own, model="recall"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_search_topk, bm25_user_recommend, doc_freq, token_overlap, dense_topk_cosine, lsh_topk, fusion_concat_norm, vector_mean_profile, short_long_hybrid_profile, kmeans_interests,
-        two_tower_user_recall, proxy_recall_maxmerge, rerank_two_signal, rerank_attention4, rerank_attention3_clipped, rerank_text_attention, attention_pool_score, rerank_user_cosine,
-        ltr24_features, pairwise15_features, lr_rerank, gbt_ltr,
+        two_tower_user_recall, two_tower_clustered_recall, user_candidates, training_candidates, hard_negatives, proxy_recall_maxmerge, rerank_two_signal, rerank_attention4, rerank_attention3_clipped, rerank_text_attention, attention_pool_score, rerank_user_cosine,
+        ltr24_features, ltr_matrix, pairwise15_features, lr_rerank, lr_weighted_rerank, gbt_ltr, gbt_ndcg,
     )
 } | {f"fusion_{m}": _fused(m) for m in fusion.MODES}
 
@@ -267,10 +348,14 @@ def profile_views(source: str) -> dict[str, str]:
         "short_p": UNIT.format("short_vec", mean_profile(source, "text_vec", SHORT_W, 3)),
         "long_p": UNIT.format("long_vec", mean_profile(source, "text_vec", "1.0::DOUBLE", 10)),
         "profiles": UNIT.replace("SELECT user_id,", "SELECT user_id, short_vec, long_vec,").format("hybrid_vec", "SELECT user_id, short_vec, long_vec, CASE WHEN short_vec IS NULL THEN long_vec WHEN long_vec IS NULL THEN short_vec ELSE list_transform(list_zip(short_vec, long_vec), lambda p: 0.65::DOUBLE * p[1] + (1 - 0.65::DOUBLE) * p[2]) END AS m FROM short_p FULL JOIN long_p USING (user_id)"),
-        "interests": "SELECT user_id, 1 AS number, short_vec AS v FROM profiles WHERE short_vec IS NOT NULL UNION ALL SELECT user_id, 2, long_vec FROM profiles WHERE long_vec IS NOT NULL UNION ALL SELECT user_id, 3, hybrid_vec FROM profiles WHERE hybrid_vec IS NOT NULL",
+        "half": f"SELECT *, CASE WHEN pos <= n // 2 THEN 4 ELSE 5 END AS number FROM (SELECT user_id, item_id, pos, count(*) OVER (PARTITION BY user_id) AS n FROM {source} WHERE pos <= 10) WHERE n >= 4",
+        "half_p": UNIT.replace("SELECT user_id,", "SELECT user_id, number,").format("v", "SELECT user_id, number, list(m ORDER BY j) AS m FROM (SELECT user_id, number, j, avg(x) AS m FROM (SELECT user_id, number, unnest(text_vec) AS x, generate_subscripts(text_vec, 1) AS j FROM half JOIN features USING (item_id)) GROUP BY user_id, number, j) GROUP BY user_id, number"),
+        "every_i": "SELECT user_id, 1 AS number, short_vec AS v FROM profiles WHERE short_vec IS NOT NULL UNION ALL SELECT user_id, 2, long_vec FROM profiles WHERE long_vec IS NOT NULL UNION ALL SELECT user_id, 3, hybrid_vec FROM profiles WHERE hybrid_vec IS NOT NULL UNION ALL SELECT user_id, number, v FROM half_p",
+        "interests": "SELECT * FROM every_i a WHERE NOT EXISTS (SELECT 1 FROM every_i b WHERE b.user_id = a.user_id AND b.number < a.number AND len(list_filter(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]) > 1e-8 + 1e-5 * abs(p[2]))) = 0)",
     }
 
 
+HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 R6 = "list_transform({}, lambda x: round(x, 6) + 0.0)"
 _POOL = {
     "pool": top(f"(SELECT q.item_id AS query_id, i.item_id, {cos('q.text_vec', 'i.text_vec')} AS score FROM features q JOIN features i ON q.item_id <> i.item_id)", "query_id", POOL),
@@ -295,25 +380,56 @@ _ATTENTION = _TRAINED | {
 }
 
 
-def _ltr_sql() -> str:
+def _pooled(m: str, column: str) -> str:
+    """The candidate's cosine with the history pooled by w_<m>, or by its mean."""
+    return f"SELECT user_id, item_id, {cos('p', 'c')} AS {m}_attention, {cos('a', 'c')} AS {m}_average FROM (SELECT user_id, item_id, any_value(c) AS c, list(m ORDER BY j) AS a, list(CASE WHEN t > 0 THEN p ELSE m END ORDER BY j) AS p FROM (SELECT user_id, item_id, j, any_value(c) AS c, sum(x * w) AS p, avg(x) AS m, sum(w) AS t FROM (SELECT user_id, item_id, w_{m} AS w, c_{m} AS c, unnest(h_{m}) AS x, generate_subscripts(h_{m}, 1) AS j FROM met) GROUP BY user_id, item_id, j) GROUP BY user_id, item_id)"
+
+
+def _ltr_views(pairs: str) -> dict[str, str]:
+    """Views up to ``ltr`` for pairs with recall_score."""
     m = {"text": "text_vec", "image": "image_vec", "multi": "v"}
-    sims = ", ".join(f"{cos('h.' + c, 'c.' + c)} AS s_{k}, greatest(list_dot_product(h.{c}, c.{c}), 0) AS w_{k}" for k, c in m.items())
-    agg = ", ".join(f"max(s_{k}) AS {k}_max, avg(s_{k}) AS {k}_mean, min(s_{k}) AS {k}_min, stddev_pop(s_{k}) AS {k}_std, CASE WHEN sum(w_{k}) > 0 THEN sum(w_{k} * s_{k}) / sum(w_{k}) ELSE avg(s_{k}) END AS {k}_attention" for k in m)
-    more = {
-        "met": f"SELECT p.user_id, p.item_id, {sims} FROM pairs p JOIN features c ON c.item_id = p.item_id JOIN recent r ON r.user_id = p.user_id AND r.pos <= 50 JOIN features h ON h.item_id = r.item_id",
-        "aggs": f"SELECT user_id, item_id, {agg}, CASE WHEN sum(w_multi) > 0 THEN stddev_pop(w_multi) / sum(w_multi) ELSE 0 END AS attention_std, CASE WHEN sum(w_multi) > 0 THEN max(w_multi) / sum(w_multi) ELSE 1.0::DOUBLE / count(*) END AS attention_max FROM met GROUP BY user_id, item_id",
-        "sizes": "SELECT user_id, count(*)::DOUBLE AS history_length FROM train GROUP BY user_id",
-    }
+    unit = lambda c: f"list_transform({c}, lambda x: x / sqrt(list_dot_product({c}, {c})))"
     z = lambda c: f"coalesce({c}, 0)"
-    special = {"has_history": "(coalesce(history_length, 0) > 0)::INT", "has_text": "1", "has_image": "1", "recall_score": "0", "user_avg_sim": z("multi_mean"), "mean_difference": f"{z('text_mean')} - {z('image_mean')}", "mean_ratio": f"{z('text_mean')} / ({z('image_mean')} + 1e-6)", "combined": f"0.3::DOUBLE * {z('text_mean')} + 0.4::DOUBLE * {z('image_mean')} + 0.3::DOUBLE * {z('multi_mean')}"}
+    agg = ", ".join(f"max(s_{k}) AS {k}_max, avg(s_{k}) AS {k}_mean, min(s_{k}) AS {k}_min, stddev_pop(s_{k}) AS {k}_std" for k in m)
+    sims = ", ".join(f"list_dot_product(h_{k}, {'c_multi' if k == 'multi' else 'r_' + k}) AS s_{k}, greatest(list_dot_product(h_{k}, c_{k}), 0) AS w_{k}" for k in m)
+    special = {"history_length": z("n"), "has_text": "1", "has_image": "1", "has_multi": "1", "user_avg_sim": z("multi_average"), "mean_difference": f"{z('text_mean')} - {z('image_mean')}", "mean_ratio": f"{z('text_mean')} / ({z('image_mean')} + 1e-6)", "combined": f"0.3::DOUBLE * recall_score + 0.4::DOUBLE * {z('multi_attention')} + 0.3::DOUBLE * {z('multi_average')}"}
     cols = ", ".join(f"round(({special.get(f, z(f))})::DOUBLE, 6) + 0.0 AS {f}" for f in ltr.LTR)
-    return with_views(f"SELECT user_id, item_id, {cols} FROM pairs LEFT JOIN aggs USING (user_id, item_id) LEFT JOIN sizes USING (user_id)", **_TRAINED, **more)
+    return {
+        "asked": pairs,
+        "units": "SELECT item_id, " + ", ".join(f"{unit(c)} AS u_{k}, {c} AS r_{k}" for k, c in m.items()) + " FROM features",
+        "both_v": "SELECT p.user_id, p.item_id, " + ", ".join(f"c.u_{k} AS c_{k}, c.r_{k} AS r_{k}, h.u_{k} AS h_{k}" for k in m) + " FROM asked p JOIN units c ON c.item_id = p.item_id JOIN recent r ON r.user_id = p.user_id AND r.pos <= 50 JOIN units h ON h.item_id = r.item_id",
+        "met": f"SELECT *, {sims} FROM both_v",
+        "aggs": f"SELECT user_id, item_id, {agg}, CASE WHEN sum(w_multi) > 0 THEN stddev_pop(w_multi) / sum(w_multi) ELSE 0 END AS attention_std, CASE WHEN sum(w_multi) > 0 THEN max(w_multi) / sum(w_multi) ELSE 1.0::DOUBLE / count(*) END AS attention_max FROM met GROUP BY user_id, item_id",
+        **{f"pool_{k}": _pooled(k, c) for k, c in m.items()},
+        "lengths": "SELECT user_id, least(count(*), 50) AS n FROM train GROUP BY user_id",
+        "ltr": f"SELECT user_id, item_id, {cols} FROM asked LEFT JOIN aggs USING (user_id, item_id) LEFT JOIN lengths USING (user_id) " + " ".join(f"LEFT JOIN pool_{k} USING (user_id, item_id)" for k in m),
+    }
+
+
+def two_tower_views(source: str, k: int) -> dict[str, str]:
+    """Views up to ``towers``: the k best of both towers' lists."""
+    return profile_views(source) | {
+        "image_p": UNIT.format("v", mean_profile(source, "image_vec", "1.0::DOUBLE", 20)),
+        "texts": "SELECT *, row_number() OVER (PARTITION BY user_id, number ORDER BY score DESC, item_id) AS r FROM (SELECT user_id, number, f.item_id, round(" + cos("i.v", "f.text_vec") + f", 6) AS score FROM interests i JOIN features f ON true) QUALIFY r <= {k}",
+        "text_list": f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(sum(1 / (60.0::DOUBLE + (number - 1) * {k} + r)), 6) AS score FROM texts GROUP BY user_id, item_id)",
+        "image_list": "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, f.item_id, round(" + cos("i.v", "f.image_vec") + f", 6) AS score FROM image_p i JOIN features f ON true) QUALIFY rank <= {k}",
+        "both_lists": "SELECT * FROM text_list UNION ALL SELECT * FROM image_list",
+        "towers": top("(SELECT user_id, item_id, sum(1 / (60.0::DOUBLE + rank)) AS score FROM both_lists GROUP BY user_id, item_id)", "user_id", k),
+    }
+
+
+_CANDIDATES = _TRAINED | two_tower_views("recent", POOL) | {"candidates": "SELECT c.* FROM towers c WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = c.user_id AND t.item_id = c.item_id) AND user_id IN (SELECT user_id FROM truth)"}
+_RECALLED = "SELECT p.user_id, p.item_id, coalesce(score, 0) AS recall_score FROM pairs p LEFT JOIN candidates c ON c.user_id = p.user_id AND c.item_id = p.item_id"
+_TRAIN_LISTS = _TRAINED | bm25_views("SELECT item_id, title AS text FROM items", USER_TEXT.replace("pos <= 5", "pos <= 10").format("recent")) | profile_views("recent") | {
+    "near_i": "SELECT *, row_number() OVER (PARTITION BY user_id, number ORDER BY score DESC, item_id) AS r FROM (SELECT user_id, number, f.item_id, round(" + cos("i.v", "f.text_vec") + ", 6) AS score FROM interests i JOIN features f ON true) QUALIFY r <= 30",
+}
 
 
 def _pairwise_sql() -> str:
     unit = lambda c: f"list_transform({c}, lambda x: x / sqrt(list_dot_product({c}, {c})))"
     mean = lambda c, name: UNIT.format(name, f"SELECT user_id, list(m ORDER BY j) AS m FROM (SELECT user_id, j, avg(x) AS m FROM (SELECT user_id, unnest({unit(c)}) AS x, generate_subscripts({c}, 1) AS j FROM recent JOIN features USING (item_id) WHERE pos <= 10) GROUP BY user_id, j) GROUP BY user_id")
-    more = bm25_views("SELECT item_id, title AS text FROM items", USER_TEXT.format("recent")) | profile_views("recent") | {
+    more = bm25_views("SELECT item_id, title AS text FROM items", USER_TEXT.replace("pos <= 5", "pos <= 10").format("recent")) | profile_views("recent") | {
+        "nearest_i": f"SELECT p.user_id, p.item_id, max({cos('i.v', 'c.text_vec')}) AS imax FROM pairs p JOIN features c ON c.item_id = p.item_id JOIN interests i ON i.user_id = p.user_id GROUP BY p.user_id, p.item_id",
         "mt": mean("text_vec", "mt"),
         "mi": mean("image_vec", "mi"),
         "near": f"SELECT p.user_id, p.item_id, max({cos('h.text_vec', 'c.text_vec')}) AS hmax, avg({cos('h.text_vec', 'c.text_vec')}) AS hmean FROM pairs p JOIN features c ON c.item_id = p.item_id JOIN recent r ON r.user_id = p.user_id AND r.pos <= 10 JOIN features h ON h.item_id = r.item_id GROUP BY p.user_id, p.item_id",
@@ -321,9 +437,9 @@ def _pairwise_sql() -> str:
         "qsize": "SELECT query_id AS user_id, sum(qf) AS size FROM qtok GROUP BY query_id",
     }
     c = lambda a, b="f.text_vec": cos(a, b)
-    values = ["ln(1 + coalesce(s.score, 0))", f"greatest({c('short_vec')}, {c('long_vec')}, {c('hybrid_vec')})", c("mt"), c("mi", "f.image_vec"), "0", "(coalesce(s.score, 0) > 0)::INT", "0", "0", c("hybrid_vec"), c("short_vec"), c("long_vec"), "coalesce(hmax, 0)", "coalesce(hmean, 0)", "coalesce(shared / size, 0)", "coalesce(dl, 0) / 20.0::DOUBLE"]
+    values = ["ln(1 + coalesce(s.score, 0))", "coalesce(imax, 0)", c("mt"), c("mi", "f.image_vec"), "0", "(coalesce(s.score, 0) > 0)::INT", "(round(coalesce(imax, 0), 6) > 0)::INT", "(coalesce(s.score, 0) > 0 AND round(coalesce(imax, 0), 6) > 0)::INT", c("hybrid_vec"), c("short_vec"), c("long_vec"), "coalesce(hmax, 0)", "coalesce(hmean, 0)", "coalesce(shared / size, 0)", "coalesce(dl, 0) / 20.0::DOUBLE"]
     cols = ", ".join(f"round(({v})::DOUBLE, 6) + 0.0 AS {n}" for v, n in zip(values, ltr.PAIRWISE, strict=True))
-    return with_views(f"SELECT p.user_id, p.item_id, {cols} FROM pairs p LEFT JOIN scored s ON s.query_id = p.user_id AND s.item_id = p.item_id LEFT JOIN profiles USING (user_id) LEFT JOIN mt USING (user_id) LEFT JOIN mi USING (user_id) LEFT JOIN near n ON n.user_id = p.user_id AND n.item_id = p.item_id LEFT JOIN shared h ON h.user_id = p.user_id AND h.item_id = p.item_id LEFT JOIN qsize z ON z.user_id = p.user_id LEFT JOIN dl ON dl.item_id = p.item_id LEFT JOIN features f ON f.item_id = p.item_id", **_TRAINED, **more)
+    return with_views(f"SELECT p.user_id, p.item_id, {cols} FROM pairs p LEFT JOIN scored s ON s.query_id = p.user_id AND s.item_id = p.item_id LEFT JOIN profiles USING (user_id) LEFT JOIN nearest_i x ON x.user_id = p.user_id AND x.item_id = p.item_id LEFT JOIN mt USING (user_id) LEFT JOIN mi USING (user_id) LEFT JOIN near n ON n.user_id = p.user_id AND n.item_id = p.item_id LEFT JOIN shared h ON h.user_id = p.user_id AND h.item_id = p.item_id LEFT JOIN qsize z ON z.user_id = p.user_id LEFT JOIN dl ON dl.item_id = p.item_id LEFT JOIN features f ON f.item_id = p.item_id", **_TRAINED, **more)
 
 
 _KS = "greatest(15, least(60, trunc(30 * (1.5::DOUBLE - {} / (vb + vf + 1e-9)))::INT))"
@@ -361,14 +477,24 @@ ORACLES = {
     ),
     "vector_mean_profile": with_views(f"SELECT user_id, {R6.format('long_vec')} AS v FROM long_p", long_p=profile_views("latest")["long_p"]),
     "short_long_hybrid_profile": with_views(f"SELECT user_id, {R6.format('short_vec')} AS short_vec, {R6.format('long_vec')} AS long_vec, {R6.format('hybrid_vec')} AS hybrid_vec FROM profiles", **profile_views("latest")),
-    "two_tower_user_recall": with_views(
-        top("(SELECT user_id, item_id, sum(1 / (60.0::DOUBLE + rank)) AS score FROM both_lists GROUP BY user_id, item_id)", "user_id", 20),
-        **profile_views("latest"),
-        image_p=UNIT.format("v", mean_profile("latest", "image_vec", "1.0::DOUBLE", 20)),
-        texts="SELECT *, row_number() OVER (PARTITION BY user_id, number ORDER BY score DESC, item_id) AS r FROM (SELECT user_id, number, f.item_id, round(" + cos("i.v", "f.text_vec") + ", 6) AS score FROM interests i JOIN features f ON true) QUALIFY r <= 20",
-        text_list="SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(sum(1 / (60.0::DOUBLE + (number - 1) * 20 + r)), 6) AS score FROM texts GROUP BY user_id, item_id)",
-        image_list="SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, f.item_id, round(" + cos("i.v", "f.image_vec") + ", 6) AS score FROM image_p i JOIN features f ON true) QUALIFY rank <= 20",
-        both_lists="SELECT * FROM text_list UNION ALL SELECT * FROM image_list",
+    "two_tower_user_recall": with_views("SELECT * FROM towers", **two_tower_views("latest", 20)),
+    "user_candidates": with_views("SELECT * FROM candidates", **_CANDIDATES),
+    "training_candidates": with_views(
+        _RECORDS.replace("rank <= 10", "rank <= 20").replace("SELECT *, row_number", "SELECT query_id AS user_id, item_id, final_score, bm25_rank, faiss_rank, recall_source, row_number"), **_TRAIN_LISTS,
+        sparse="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(score, 6) AS score FROM scored s WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.user_id = s.query_id AND r.item_id = s.item_id AND pos <= 10)) QUALIFY rank <= 10",
+        dense="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id AS query_id, item_id, max(score) AS score FROM near_i n WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.user_id = n.user_id AND r.item_id = n.item_id AND pos <= 10) GROUP BY user_id, item_id) QUALIFY rank <= 10",
+        parts="SELECT query_id, item_id, rank, 'bm25' AS source, 1 / (60.0::DOUBLE + rank) AS part FROM sparse UNION ALL SELECT query_id, item_id, rank, 'faiss', 1 / (60.0::DOUBLE + rank) FROM dense",
+    ),
+    "hard_negatives": with_views(
+        "SELECT user_id, positive, item_id, 'random' AS kind, 0.8::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY ahead, md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM drawn) WHERE place <= 1 UNION ALL SELECT user_id, positive, item_id, kind, round(1 + least(score / unit, 2.0::DOUBLE), 6) AS weight FROM (SELECT p.user_id, p.item_id AS positive, h.item_id, kind, unit, score FROM pairs p JOIN hard h ON h.user_id = p.user_id AND h.item_id <> p.item_id QUALIFY row_number() OVER (PARTITION BY p.user_id, p.item_id, kind ORDER BY score DESC, h.item_id) <= 1)",
+        **_TRAIN_LISTS,
+        asked=f"SELECT user_id, item_id AS positive, {HEX.format("concat_ws('#', user_id, item_id, '42')")} % 64 AS bin FROM pairs",
+        slots=f"SELECT item_id, {HEX.format("concat_ws('#', item_id, '42')")} % 64 AS bin FROM features",
+        seen_all="SELECT DISTINCT user_id, item_id FROM history",
+        drawn="SELECT a.user_id, a.positive, s.item_id, (s.bin - a.bin + 64) % 64 AS ahead FROM asked a JOIN slots s ON s.item_id <> a.positive ANTI JOIN seen_all h ON h.user_id = a.user_id AND h.item_id = s.item_id",
+        sparse="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id AS user_id, item_id, round(score, 6) AS score FROM scored s WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.user_id = s.query_id AND r.item_id = s.item_id AND pos <= 10)) QUALIFY rank <= 50",
+        dense="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, max(score) AS score FROM near_i n WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = n.user_id AND r.item_id = n.item_id) GROUP BY user_id, item_id) QUALIFY rank <= 10",
+        hard="SELECT x.* FROM (SELECT user_id, item_id, score, 'hard_bm25' AS kind, 10.0::DOUBLE AS unit FROM sparse UNION ALL SELECT user_id, item_id, score, 'hard_faiss', 0.5::DOUBLE FROM dense) x ANTI JOIN seen_all h ON h.user_id = x.user_id AND h.item_id = x.item_id",
     ),
     "proxy_recall_maxmerge": with_views(
         top("(SELECT user_id, item_id, max(score) AS score FROM texts t WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = t.user_id AND h.item_id = t.item_id) GROUP BY user_id, item_id)", "user_id", K),
@@ -381,6 +507,14 @@ ORACLES = {
     "rerank_text_attention": with_views("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, item_id)::INT AS rank FROM (SELECT query_id, item_id, round(0.35::DOUBLE * text_score + 0.2::DOUBLE * clip_score + 0.25::DOUBLE * (text_score <> 0)::INT + 0.2::DOUBLE * text_score, 6) + 0.0 AS rank_score FROM cands) QUALIFY rank <= 8", **_POOL),
     "attention_pool_score": with_views(f"SELECT user_id, item_id, round(coalesce({cos('o.p', 'o.c')}, 0), 6) AS attention FROM pairs LEFT JOIN pooled o USING (user_id, item_id)", **_ATTENTION),
     "rerank_user_cosine": with_views(top(f"(SELECT p.user_id, p.item_id, {cos('u.hybrid_vec', 'f.text_vec')} AS score FROM pairs p JOIN profiles u USING (user_id) JOIN features f ON f.item_id = p.item_id WHERE u.hybrid_vec IS NOT NULL)", "user_id", 8), **_TRAINED, **profile_views("recent")),
-    "ltr24_features": _ltr_sql(),
+    "ltr24_features": with_views("SELECT * FROM ltr", **_CANDIDATES, **_ltr_views(_RECALLED)),
+    "ltr_matrix": with_views(
+        "SELECT l.*, label, group_size FROM ltr l JOIN rows_ USING (user_id, item_id)", **_CANDIDATES,
+        grouped="SELECT user_id, count(*) AS group_size FROM candidates WHERE rank <= 20 GROUP BY user_id",
+        taken="SELECT user_id, group_size FROM grouped QUALIFY coalesce(sum(group_size) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 4000",
+        wanted="SELECT DISTINCT user_id, item_id FROM truth",
+        rows_="SELECT c.user_id, c.item_id, c.score AS recall_score, (w.item_id IS NOT NULL)::INT::DOUBLE AS label, group_size FROM candidates c JOIN taken USING (user_id) LEFT JOIN wanted w ON w.user_id = c.user_id AND w.item_id = c.item_id WHERE rank <= 20",
+        **_ltr_views("SELECT user_id, item_id, recall_score FROM rows_"),
+    ),
     "pairwise15_features": _pairwise_sql(),
 }
