@@ -188,10 +188,10 @@ def catalog_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 def augment_similar_users(spark: SparkSession, d: str) -> DataFrame:
     history, f = V.history(spark, d), V.features(spark, d)
-    users = profiles.weighted_profile(history, f.select("item_id", F.col("text_vec").alias("v")), TEXT_SIZE, None, 10)
+    users = profiles.mean_profile(history, f.select("item_id", F.col("text_vec").alias("v")), TEXT_SIZE)
     near = dense.cosine_top_k(users.withColumnRenamed("user_id", "query_id"), users.withColumnRenamed("user_id", "item_id"), 5, skip_same=True)
     neighbours = near.select(F.col("query_id").alias("user_id"), F.col("item_id").alias("other"), "rank")
-    return preparation.similar_user_additions(history, neighbours, least=20, most=3).withColumn("place", F.col("place").cast("long"))
+    return preparation.similar_user_additions(history, neighbours, least=20, most=3, items=f).withColumn("place", F.col("place").cast("long"))
 
 
 def augment_semantic(spark: SparkSession, d: str) -> DataFrame:
@@ -276,9 +276,10 @@ def _long(k: int) -> str:
 _SIMILAR = {
     "liked": "SELECT user_id, item_id FROM feedback WHERE liked",
     "mean_v": "SELECT user_id, list(m ORDER BY j) AS v FROM (SELECT user_id, j, avg(x) AS m FROM (SELECT user_id, unnest(text_vec) AS x, generate_subscripts(text_vec, 1) AS j FROM liked JOIN features USING (item_id)) GROUP BY user_id, j) GROUP BY user_id",
-    "nearby": "SELECT user_id, item_id, similarity FROM (SELECT u.user_id, f.item_id, round(" + R.cos("u.v", "f.text_vec") + ", 6) + 0.0 AS similarity FROM mean_v u JOIN features f ON true) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, item_id) <= 50",
+    "every_near": "SELECT u.user_id, f.item_id, round(" + R.cos("u.v", "f.text_vec") + ", 6) + 0.0 AS similarity FROM mean_v u JOIN features f ON true",
+    "nearby": "SELECT * FROM every_near QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, item_id) <= 50",
     "wtags": "SELECT user_id, item_id, sum(raw * weight) / (6.0::DOUBLE * any_value(n)) AS tags FROM tag_scores JOIN weights USING (tag) JOIN (SELECT user_id, count(*) AS n FROM weights GROUP BY user_id) USING (user_id) GROUP BY user_id, item_id",
-    "interest": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rank FROM (SELECT user_id, item_id, round(0.7::DOUBLE * similarity + 0.3::DOUBLE * coalesce(tags, 0), 6) + 0.0 AS score FROM nearby LEFT JOIN wtags USING (user_id, item_id)) QUALIFY rank <= 20",
+    "interest": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rank FROM (SELECT user_id, item_id, round(0.7::DOUBLE * similarity + 0.3::DOUBLE * coalesce(tags, 0), 6) + 0.0 AS score FROM every_near LEFT JOIN wtags USING (user_id, item_id)) QUALIFY rank <= 20",
 }
 _NEGATIVE = {
     "disliked": "SELECT user_id, item_id FROM feedback WHERE coalesce(NOT liked, false) OR coalesce(rating <= 2, false)",
@@ -294,18 +295,18 @@ _PERSONAL = _SIMILAR | _NEGATIVE | {
     "more": "SELECT user_id, item_id, 0.65::DOUBLE * i + 0.05::DOUBLE AS final_score, 'interest' AS origin FROM (SELECT u.user_id, u.item_id, round(u.i, 6) AS i FROM unit_i u ANTI JOIN nearby s ON s.user_id = u.user_id AND s.item_id = u.item_id) x ANTI JOIN disliked d ON d.user_id = x.user_id AND d.item_id = x.item_id QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC, item_id) <= 2",
     "personal": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, item_id)::INT AS rank FROM (SELECT user_id, item_id, round(final_score, 6) + 0.0 AS final_score, origin FROM (SELECT * FROM kept UNION ALL SELECT * FROM more)) QUALIFY rank <= 8",
 }
-_HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 ORACLES = {
     "dense_ordinal": with_views("SELECT user_id, item_id, ts FROM history"),
     "leave_last_n_split": with_views("SELECT *, 'train' AS part FROM train UNION ALL SELECT *, 'truth' FROM truth"),
     "kcore_filter": with_views("SELECT user_id, item_id, ts FROM sized WHERE n BETWEEN 5 AND 30"),
     "first_n_users": with_views("SELECT user_id, item_id, ts FROM history WHERE user_id IN (SELECT DISTINCT user_id FROM history ORDER BY user_id LIMIT 50)"),
-    "prefix_expansion": with_views("SELECT user_id, item_id, ts, array_to_string(list_reverse(b), ' ') AS before FROM (SELECT *, list(item_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS b FROM history) WHERE ts > 3"),
+    "prefix_expansion": with_views("SELECT user_id, item_id, ts, array_to_string(list_reverse(b), ' ') AS before FROM (SELECT *, list(item_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM history) WHERE ts > 3"),
     "negatives_md5": with_views(
-        "SELECT user_id, positive, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM met) WHERE place <= 4",
-        asked=f"SELECT user_id, item_id AS positive, {_HEX.format("concat_ws('#', user_id, item_id, '42')")} % 64 AS bin FROM (SELECT DISTINCT user_id, item_id FROM truth)",
-        slots=f"SELECT DISTINCT item_id, {_HEX.format("concat_ws('#', item_id, '42')")} % 64 AS bin FROM items",
-        met="SELECT a.user_id, a.positive, s.item_id FROM asked a JOIN slots s USING (bin) WHERE s.item_id <> a.positive AND NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = a.user_id AND h.item_id = s.item_id)",
+        "SELECT user_id, positive, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY ahead, md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM met) WHERE place <= 4",
+        asked=f"SELECT user_id, item_id AS positive, {R.HEX.format("concat_ws('#', user_id, item_id, '42')")} % 64 AS bin FROM (SELECT DISTINCT user_id, item_id FROM truth)",
+        slots=f"SELECT DISTINCT item_id, {R.HEX.format("concat_ws('#', item_id, '42')")} % 64 AS bin FROM items",
+        seen_all="SELECT DISTINCT user_id, item_id FROM history",
+        met="SELECT a.user_id, a.positive, s.item_id, (s.bin - a.bin + 64) % 64 AS ahead FROM asked a JOIN slots s ON s.item_id <> a.positive ANTI JOIN seen_all h ON h.user_id = a.user_id AND h.item_id = s.item_id",
     ),
     "cooc_pairs_leave_one": with_views("SELECT user_id, item_id, ts, string_agg(other, ' ' ORDER BY other_ts) AS others FROM (SELECT a.user_id, a.item_id, a.ts, b.item_id AS other, b.ts AS other_ts FROM history a JOIN history b ON a.user_id = b.user_id AND a.ts <> b.ts QUALIFY row_number() OVER (PARTITION BY a.user_id, a.ts ORDER BY b.ts) <= 5) GROUP BY user_id, item_id, ts"),
     "metrics_at_k": with_views(f"{_long(5)} UNION ALL {_long(10)}", **_RECS, m5=_metrics(5), m10=_metrics(10)),
@@ -343,13 +344,13 @@ ORACLES = {
     "anti_existing": with_views("SELECT item_id, title FROM items ANTI JOIN features USING (item_id)"),
     "catalog_dedupe_first": with_views("SELECT item_id, title, brand FROM items QUALIFY row_number() OVER (PARTITION BY title ORDER BY item_id) = 1"),
     "augment_similar_users": with_views(
-        "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at, item_id) AS place FROM (SELECT n.user_id, h.item_id, min((n.rank, h.ts)) AS first_at FROM near n JOIN few USING (user_id) JOIN history h ON h.user_id = n.other WHERE NOT EXISTS (SELECT 1 FROM history o WHERE o.user_id = n.user_id AND o.item_id = h.item_id) GROUP BY n.user_id, h.item_id) QUALIFY place <= 3",
-        long_p=R.profile_views("latest")["long_p"],
+        "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at, item_id) AS place FROM (SELECT n.user_id, h.item_id, min((-n.rank, h.ts)) AS first_at FROM near n JOIN few USING (user_id) JOIN history h ON h.user_id = n.other WHERE h.item_id IN (SELECT item_id FROM features) AND NOT EXISTS (SELECT 1 FROM history o WHERE o.user_id = n.user_id AND o.item_id = h.item_id) GROUP BY n.user_id, h.item_id) QUALIFY place <= 3",
+        long_p=R.UNIT.format("long_vec", "SELECT user_id, list(m ORDER BY j) AS m FROM (SELECT user_id, j, avg(x) AS m FROM (SELECT user_id, unnest(text_vec) AS x, generate_subscripts(text_vec, 1) AS j FROM history JOIN features USING (item_id)) GROUP BY user_id, j) GROUP BY user_id"),
         near="SELECT user_id, other, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, other) AS rank FROM (SELECT a.user_id, b.user_id AS other, round(" + R.cos("a.long_vec", "b.long_vec") + ", 6) AS score FROM long_p a JOIN long_p b ON a.user_id <> b.user_id) QUALIFY rank <= 5",
         few="SELECT user_id FROM history GROUP BY user_id HAVING count(*) < 20",
     ),
     "augment_semantic": with_views(
-        "SELECT user_id, other AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at, other) AS place FROM (SELECT l.user_id, n.other, min((l.pos, n.rank)) AS first_at FROM latest l JOIN near n ON n.item_id = l.item_id WHERE l.pos <= 5 AND NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = l.user_id AND h.item_id = n.other) GROUP BY l.user_id, n.other) QUALIFY place <= 5",
+        "SELECT user_id, other AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at, other) AS place FROM (SELECT l.user_id, n.other, min((l.pos, -n.rank)) AS first_at FROM latest l JOIN near n ON n.item_id = l.item_id WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = l.user_id AND h.item_id = n.other) GROUP BY l.user_id, n.other) QUALIFY place <= 5",
         near="SELECT item_id, other, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other) AS rank FROM (SELECT a.item_id, b.item_id AS other, round(" + R.cos("a.text_vec", "b.text_vec") + ", 6) AS score FROM features a JOIN features b ON a.item_id <> b.item_id) QUALIFY rank <= 5",
     ),
     "intent_fallback_words": "SELECT item_id::VARCHAR AS query_id, CASE WHEN t = '' THEN 'fashion' ELSE array_to_string(string_split(t, ' ')[1:8], ' ') END AS words FROM (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM benchmark)",
