@@ -58,6 +58,39 @@ def search_string(enhanced: Column, category: Column, attributes: list[Column],
     return F.coalesce(filled(F.trim(enhanced)), parts)
 
 
+def hashed_vector(c: Column, size: int) -> Column:
+    """A native stand-in for a text encoder: counts of tokens by hash, of length one; null without tokens."""
+    from .vectors import normalized
+
+    buckets = F.transform(tokens(c), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size)
+    counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), size), lambda v, b: F.transform(v, lambda x, i: x + (i == b).cast("double")))
+    return F.when(F.size(buckets) > 0, normalized(counts))
+
+
+def tag_display(tag: Column, names: dict[str, str], keywords: dict[str, list[str]]) -> Column:
+    """A tag's display name: its own, else that of the last tag with it as a keyword, else itself."""
+    reverse = {word.lower(): t for t, words in keywords.items() for word in words}
+    literal = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.create_map().cast("map<string,string>")
+    return F.coalesce(literal(names)[tag], literal(reverse)[F.lower(tag)], tag)
+
+
+def reason_pills(tags: Column, personalization: Column, negative: Column) -> Column:
+    """Up to three reasons: the two best tags of 0.08 or more (structs of tag and score), gain over 0.12, loss over 0.18."""
+    best = F.slice(F.filter(tags, lambda x: x["score"] >= 0.08), 1, 2)
+    matched = F.when(F.size(best) > 0, F.concat(F.lit("matches "), F.array_join(F.transform(best, lambda x: x["tag"]), " / ")))
+    gain = F.when(personalization > 0.12, F.concat(F.lit("personalised +"), F.format_string("%.2f", personalization)))
+    loss = F.when(negative > 0.18, F.concat(F.lit("dislikes -"), F.format_string("%.2f", negative)))
+    return F.slice(F.array_compact(F.array(matched, gain, loss)), 1, 3)
+
+
+def chat_response(category: Column, attributes: list[Column], occasion: Column, found: Column) -> Column:
+    """What is said with results: the understood wish and how many items were found."""
+    wish = F.concat_ws(" ", filled(F.concat_ws(", ", *(filled(a) for a in attributes))), F.coalesce(filled(category), F.lit("item")))
+    purpose = F.when((occasion != "") & (occasion != "general"), F.concat(F.lit(" for "), occasion)).otherwise("")
+    result = F.when(found > 0, F.concat(F.lit(" Found "), found.cast("string"), F.lit(" matching items."))).otherwise(F.lit(" Nothing matches; try other words or fewer conditions."))
+    return F.concat(F.lit("You are looking for "), wish, purpose, F.lit("."), result)
+
+
 def url_extension(url: Column) -> Column:
     """The image extension of a URL's path, .jpg where it has none."""
     found = F.regexp_extract(F.lower(F.regexp_replace(url, r"[?#].*$", "")), r"(\.(?:jpg|jpeg|png|webp))$", 1)

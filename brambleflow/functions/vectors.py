@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +20,24 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def divided(v: Column, n: Column) -> Column:
+    """Elements by a number that is computed once a row, not once an element."""
+    return F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, m: x / m)
+
+
 def normalized(v: Column) -> Column:
     """Length one; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    return bound(doubles(v), lambda w: F.when(norm(w) > 0, divided(w, norm(w))).otherwise(w))
 
 
 def normalized_soft(v: Column, epsilon: float = 1e-8) -> Column:
     """Divided by its length plus epsilon."""
-    n = norm(v) + F.lit(epsilon)
-    return F.transform(doubles(v), lambda x: x / n)
+    return bound(doubles(v), lambda w: divided(w, norm(w) + F.lit(epsilon)))
 
 
 def cosine(a: Column, b: Column) -> Column:

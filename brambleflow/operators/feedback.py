@@ -87,6 +87,27 @@ def updated_weights(weights: DataFrame, feedback: DataFrame, item_tags: DataFram
     return both.select("user_id", "tag", F.when(F.col("p").isNull(), F.col("weight")).otherwise(new).alias("weight"))
 
 
+def recalculated(weights: DataFrame, feedback: DataFrame, item_tags: DataFrame, categories: DataFrame, n: int = 100) -> DataFrame:
+    """Weights after a batch of each user's n latest feedback rows."""
+    return updated_weights(weights, newest(feedback, n, "interacted_at", "item_id"), item_tags, categories)
+
+
+def recorded(exposures: DataFrame, shown: DataFrame) -> DataFrame:
+    """Exposures (user_id, item_id, shown_at, interacted) with shown lists (user_id, item_ids, shown_at) appended."""
+    new = shown.select("user_id", F.explode("item_ids").alias("item_id"), "shown_at", F.lit(False).alias("interacted"))
+    return exposures.select("user_id", "item_id", "shown_at", "interacted").unionByName(new)
+
+
+def rated(feedback: DataFrame, least: int, n: int = 100) -> DataFrame:
+    """Each user's n newest items rated ``least`` or more."""
+    return newest(feedback.where(F.col("rating") >= least), n, "interacted_at", "item_id")
+
+
+def user_item_matrix(feedback: DataFrame, least: int = 1) -> DataFrame:
+    """(user_id, item_id, rating) of ratings of ``least`` or more."""
+    return feedback.where(F.col("rating") >= least).select("user_id", "item_id", "rating")
+
+
 def stepped(weight: Column, sign: Column) -> Column:
     """A weight after one event: with a single event a tag's share is one half."""
     moved = STAYS * weight + F.when(sign > 0, F.lit(GAIN / 2)).otherwise(F.lit(-LOSS / 2))

@@ -77,6 +77,14 @@ def hybrid(sparse: DataFrame, dense: DataFrame, k: int) -> DataFrame:
     return _records(rows.join(ranks, ["query_id", "item_id"]), share * F.col("scaled") + HYBRID[2] * F.col("rrf"), k)
 
 
+def by_strategy(searches: DataFrame, sparse: DataFrame, dense: DataFrame, k: int) -> DataFrame:
+    """Records of searches (query_id, strategy): hybrid ones from both lists, the others from the dense one alone."""
+    wants = lambda s: searches.where((F.col("strategy") == "hybrid") == F.lit(s)).select("query_id")
+    both = rrf(sparse.join(wants(True), "query_id", "left_semi"), dense.join(wants(True), "query_id", "left_semi"), k)
+    alone = rrf(sparse.limit(0), dense.join(wants(False), "query_id", "left_semi"), k)
+    return both.unionByName(alone)
+
+
 MODES = {"rrf": rrf, "adaptive": rrf_adaptive, "weighted": weighted, "hybrid": hybrid}
 
 

@@ -126,6 +126,53 @@ def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked
     return ranked(kept.unionByName(more), ["user_id"], k, score="final_score")
 
 
+#: Shares of base score, interest and dislike in the report's order.
+REPORT = (0.64, 0.31, 0.17)
+
+
+def report_personalized(base: DataFrame, interest: DataFrame, negative: DataFrame, k: int) -> DataFrame:
+    """A user's candidates (user_id, item_id, rank_score) in the report's order.
+
+    ``interest`` and ``negative`` have user_id, item_id, score, each taken against
+    the largest among the candidates.  Returns user_id, item_id, generic_score,
+    personalization_score, negative_score, final_score, rank.
+    """
+    met = base.join(interest.withColumnRenamed("score", "i"), ["user_id", "item_id"], "left").join(negative.withColumnRenamed("score", "n"), ["user_id", "item_id"], "left")
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.max(c).over(Window.partitionBy("user_id")), F.lit(0.0)), F.lit(0.0))
+    out = met.select("user_id", "item_id", F.col("rank_score").alias("generic_score"), share("i").alias("personalization_score"), share("n").alias("negative_score"))
+    a, b, c = REPORT
+    out = out.withColumn("final_score", a * F.col("generic_score") + b * F.col("personalization_score") - c * F.col("negative_score"))
+    return ranked(out, ["user_id"], k, score="final_score")
+
+
+def keywords_of(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(tag, keyword) of tags; one that the dictionary lacks is its own keyword in lower case."""
+    return tags.select("tag").distinct().join(dictionary.select("tag", "keyword"), "tag", "left").select("tag", F.coalesce("keyword", F.lower("tag")).alias("keyword"))
+
+
+def registered(asked: DataFrame, have: DataFrame, categories: DataFrame, weight: float = 0.5, replace: bool = False) -> DataFrame:
+    """Interests (user_id, category, tag, weight) with those asked for (user_id, tag) that a user lacks.
+
+    Tags are trimmed, blank ones skipped, unknown ones of category Custom.  With
+    ``replace``, the users' former interests go.
+    """
+    new = asked.select("user_id", F.trim("tag").alias("tag")).where("tag <> ''").distinct()
+    named = new.join(categories.groupBy("tag").agg(F.min("category").alias("category")), "tag", "left")
+    new = named.select("user_id", F.coalesce("category", F.lit("Custom")).alias("category"), "tag", F.lit(weight).alias("weight"))
+    own = have.select("user_id", "category", "tag", "weight")
+    if replace:
+        own = own.join(asked.select("user_id").distinct(), "user_id", "left_anti")
+    return own.unionByName(new.join(own.select("user_id", "tag"), ["user_id", "tag"], "left_anti"))
+
+
+def accounts(users: DataFrame, interests: DataFrame) -> DataFrame:
+    """(user_id, nickname, n_interests, interests): a user's tags by weight; login compares the hash of the password."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "tag")))
+    own = interests.groupBy("user_id").agg(F.transform(listed, lambda x: x["tag"]).alias("interests"))
+    out = users.join(own, "user_id", "left").withColumn("interests", F.coalesce("interests", F.array().cast("array<string>")))
+    return out.select("user_id", "nickname", F.size("interests").cast("long").alias("n_interests"), "interests")
+
+
 def rank_changes(before: DataFrame, after: DataFrame, k: int) -> DataFrame:
     """(user_id, changed_items, overlap_count, top1_changed) of two ranked lists."""
     a = before.where(F.col("rank") <= k).select("user_id", "item_id", F.col("rank").alias("a"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import behaviour, recall
+from . import behaviour, recall, service
 
-QUERIES = {**recall.QUERIES, **behaviour.QUERIES}
-ORACLES = {**recall.ORACLES, **behaviour.ORACLES}
+QUERIES = {**recall.QUERIES, **behaviour.QUERIES, **service.QUERIES}
+ORACLES = {**recall.ORACLES, **behaviour.ORACLES, **service.ORACLES}
