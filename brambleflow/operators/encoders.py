@@ -47,6 +47,45 @@ def encoded(df: DataFrame, text: str, load: Callable[[], Encode], into: str = "v
     return df.withColumn(into, run(F.col(text)))
 
 
+EncodeImages = Callable[[list[bytes]], np.ndarray]
+
+
+def hashed_bytes(size: int = 64) -> EncodeImages:
+    """A stand-in for an image encoder: byte counts of length one."""
+
+    def encode(files: list[bytes]) -> np.ndarray:
+        out = np.stack([np.bincount(np.frombuffer(f, np.uint8) % size, minlength=size) for f in files]).astype(np.float32)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    return encode
+
+
+def encoded_images(df: DataFrame, content: str, load: Callable[[], EncodeImages], into: str = "v", batch: int = 20) -> DataFrame:
+    """With the vectors of a column of image files; an empty or null file gives null."""
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for part in parts:
+            files = part.tolist()
+            out: list = [None] * len(files)
+            some = [i for i, f in enumerate(files) if f]
+            for start in range(0, len(some), batch):
+                own = some[start : start + batch]
+                for i, v in zip(own, encode([files[i] for i in own]), strict=True):
+                    out[i] = v
+            yield pd.Series(out)
+
+    return df.withColumn(into, run(F.col(content)))
+
+
+def multimodal_features(items: DataFrame, images: DataFrame, load_text: Callable[[], Encode], load_image: Callable[[], EncodeImages]) -> DataFrame:
+    """(item_id, text_vec, image_vec, v): vectors of items (item_id, text) with an image (item_id, content), and both in a row."""
+    met = items.select("item_id", "text").join(images.select("item_id", "content"), "item_id")
+    out = encoded_images(encoded(met, "text", load_text, "text_vec"), "content", load_image, "image_vec").drop("text", "content")
+    return out.where("text_vec IS NOT NULL AND image_vec IS NOT NULL").withColumn("v", F.concat("text_vec", "image_vec"))
+
+
 def answered(df: DataFrame, prompt: Column, load: Callable[[], Callable[[list[str]], list[str | None]]], fallback: Column, into: str) -> DataFrame:
     """With a language model's answers, or the fallback where there is none."""
 

@@ -162,7 +162,9 @@ def boosted_ranker(rows: DataFrame, features: list[str], label: str = "label", t
 
 
 def boosted_order(model, rows: DataFrame, k: int) -> DataFrame:
-    out = model.transform(rows).withColumn("score", F.col("prediction"))
+    """By a model's prediction; a feature that the rows lack counts 0."""
+    missing = [c for c in model.stages[0].getInputCols() if c not in rows.columns]
+    out = model.transform(rows.select("*", *(F.lit(0.0).alias(c) for c in missing))).withColumn("score", F.col("prediction"))
     return ranked(out.select("user_id", "item_id", "score"), ["user_id"], k)
 
 

@@ -14,7 +14,7 @@ from .ranking import last_n
 
 #: Weights of the three latest items, length of the long history, share of the short profile.
 SHORT, LONG, SHORT_SHARE = (0.55, 0.30, 0.15), 10, 0.65
-IMAGES, CLUSTER_HISTORY, MOST_CLUSTERS = 20, 50, 5
+IMAGES, CLUSTER_HISTORY, MOST_CLUSTERS, STARTS = 20, 50, 5, 10
 #: Bins to which items are dealt for negatives.
 BINS = 64
 
@@ -106,8 +106,9 @@ def kmeans_interests(history: DataFrame, features: DataFrame, seed: int = 42, ro
     """(user_id, number, v): centres of a user's latest item vectors.
 
     Up to five distinct vectors stand for themselves; more are clustered into
-    ceil(sqrt(n / 2)) groups, two to five.  A user's latest items are few, so a
-    group is small whatever the corpus.
+    ceil(sqrt(n / 2)) groups, two to five: the best of STARTS runs from random
+    vectors.  A user's latest items are few, so a group is small whatever the
+    corpus.
     """
     rows = last_n(history, CLUSTER_HISTORY).join(features.select("item_id", "v"), "item_id").select("user_id", "pos", "v")
 
@@ -117,11 +118,19 @@ def kmeans_interests(history: DataFrame, features: DataFrame, seed: int = 42, ro
         if len(x) > MOST_CLUSTERS:
             k = int(np.clip(np.ceil(np.sqrt(len(x) / 2)), 2, min(MOST_CLUSTERS, len(x) - 1)))
             rng = np.random.default_rng(seed)
-            c = x[rng.choice(len(x), k, replace=False)]
-            for _round in range(rounds):
-                own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-                c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
-            x = c
+            best = np.inf
+            for _start in range(STARTS):
+                c = x[rng.choice(len(x), k, replace=False)]
+                for _round in range(rounds):
+                    own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                    new = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
+                    if np.array_equal(new, c):
+                        break
+                    c = new
+                spread = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+                if spread < best - 1e-12:
+                    best, centre = spread, c
+            x = centre
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "number": range(1, len(x) + 1), "v": list(x)})
 
     return rows.groupBy("user_id").applyInPandas(centres, "user_id string, number int, v array<double>")
