@@ -61,8 +61,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of WINDOW tokens."""
-    return retrieval_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), WINDOW, with_ids=False)
+    """Pieces of documents in windows of WINDOW tokens, with their ids."""
+    return retrieval_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), WINDOW)
 
 
 STAGES = [
