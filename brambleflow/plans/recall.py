@@ -255,7 +255,16 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 def lr_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Fitted on the users of four of five hash parts, applied to those of the fifth."""
     rows = _training(spark, d)
-    return ltr.reranked(ltr.trained_ranker(rows.where(~ltr.held_out()), ltr.PAIRWISE), rows.where(ltr.held_out()), K)
+    return ltr.reranked(_fitted(rows, lambda x: ltr.trained_ranker(x, ltr.PAIRWISE)), rows.where(ltr.held_out()), K)
+
+
+def _fitted(rows: DataFrame, fit):
+    """A model of the rows that aren't held out, which stay cached while it is made."""
+    own = rows.where(~ltr.held_out()).persist()
+    try:
+        return fit(own)
+    finally:
+        own.unpersist()
 
 
 def lr_weighted_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -264,13 +273,13 @@ def lr_weighted_rerank(spark: SparkSession, d: str) -> DataFrame:
     labelled = _pairs(spark, d).select("user_id", "item_id", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight"))
     labelled = labelled.unionByName(negatives.groupBy("user_id", "item_id").agg(F.lit(0.0).alias("label"), F.max("weight").alias("weight")))
     rows = _pairwise(spark, d, labelled.select("user_id", "item_id")).join(labelled, ["user_id", "item_id"])
-    return ltr.reranked(ltr.trained_ranker(rows.where(~ltr.held_out()), ltr.PAIRWISE, weight="weight"), rows.where(ltr.held_out()), K)
+    return ltr.reranked(_fitted(rows, lambda x: ltr.trained_ranker(x, ltr.PAIRWISE, weight="weight")), rows.where(ltr.held_out()), K)
 
 
 def gbt_ltr(spark: SparkSession, d: str) -> DataFrame:
     """Fitted on groups of candidates of four of five hash parts of the users, applied to those of the fifth."""
     rows = ltr_matrix(spark, d)
-    return ltr.boosted_order(ltr.boosted_ranker(rows.where(~ltr.held_out()), ltr.LTR), rows.where(ltr.held_out()), K)
+    return ltr.boosted_order(_fitted(rows, lambda x: ltr.boosted_ranker(x, ltr.LTR)), rows.where(ltr.held_out()), K)
 
 
 def gbt_ndcg(spark: SparkSession, d: str) -> DataFrame:
