@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brambleflow.llm import kdtree, licenses, minhash, packing, quality, suffix_dedup, wrappers
+from brambleflow.llm import kdtree, licenses, minhash, packing, quality, queries, suffix_dedup, wrappers
 from brambleflow.llm.common import shared_dir
 from brambleflow.llm.jpeg import Picture, decode_bytes, encode_bytes
 from brambleflow.llm.line_dedup import line_dedup
@@ -410,6 +411,58 @@ def test_packing_prefers_neighbours():
     assert {doc % 2 for doc, _, _ in first} == {0}
 
 
+def test_packing_fills_windows_as_a_plain_search_does():
+    """Every choice against BM25 over all unused documents, computed one by one."""
+    rng = np.random.default_rng(11)
+    shard = packing.Shard()
+    for i in range(160):
+        terms = np.unique(np.append(rng.integers(0, 60, rng.integers(0, 14)), rng.integers(1000 * (i % 5), 1000 * (i % 5) + 30, 6))).astype(np.uint32)
+        shard.add(i, np.arange(rng.integers(1, 300), dtype=np.uint32), terms, rng.integers(1, 5, len(terms)).astype(np.uint32))
+    idf = rng.random(packing.CELLS).astype(np.float32)
+    shard.index(idf, 12.0)
+
+    def score(seed, d):
+        length = int(shard.counts[d].sum())
+        return sum(float(idf[t]) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 12)) for t, tf in zip(shard.terms[d].tolist(), shard.counts[d].tolist(), strict=True) if t in shard.terms[seed])
+
+    unused, placed, rest, total = set(range(160)), [0] * 160, None, 0
+    for sequence in shard.pack(512):
+        assert sum(n for *_, n in sequence) == 512 or total + 512 > shard.tokens
+        for at, (doc, start, n) in enumerate(sequence):
+            if rest is not None:
+                assert at == 0 and (doc, start) == rest
+            elif at == 0:
+                assert doc == min(unused)
+            else:
+                best = max(score(sequence[0][0], d) for d in unused)
+                assert score(sequence[0][0], doc) >= best - 1e-4 if best > 1e-6 else doc == min(unused)
+            unused.discard(doc)
+            assert start == placed[doc]
+            placed[doc] += n
+            rest = (doc, placed[doc]) if placed[doc] < len(shard.docs[doc][1]) else None
+            total += n
+    assert total == shard.tokens and not unused
+
+
+def test_packing_deals_like_documents_together(spark):
+    rng = random.Random(23)
+    topics = [[f"t{t}x{j}" for j in range(60)] for t in range(40)]
+    rows = [(i, " ".join(rng.choices(topics[i % 40], k=50) + rng.choices(["the", "of", "and", "in"], k=30))) for i in range(800)] + [(i, None) for i in range(800, 810)]
+    rows.append((900, "alone"))
+    from brambleflow.llm.common import keyed
+
+    docs = keyed(corpus(spark, rows)).repartition(5)
+    figures = packing.corpus_figures(docs)
+    dealt = docs.mapInArrow(packing._dealt(BYTE_BPE, spark.sparkContext.broadcast(figures)), packing.DEALT).select("doc_id", "key", "part").collect()
+    groups: dict = {}
+    for r in dealt:
+        groups.setdefault(r.key, []).append(r.doc_id)
+    assert len(dealt) == len(rows) and {r.key for r in dealt if r.doc_id >= 800} == {-1}
+    met = sum(a % 40 == b % 40 for key, ids in groups.items() if key >= 0 for a in ids for b in ids if a < b)
+    every = sum(1 for key, ids in groups.items() if key >= 0 for a in ids for b in ids if a < b)
+    assert met > 0.9 * every and met > 0.05 * 40 * 20 * 19 / 2
+
+
 def test_packing_looks_up_common_terms():
     rng = np.random.default_rng(3)
     for n in (5, 20, 90):
@@ -729,6 +782,40 @@ def test_empty_tables(spark):
     assert quality.score_quality(df, quality.train_quality(df, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
 
 
+def test_empty_tables_through_the_pipeline(spark):
+    import corpus_pipeline as p
+
+    folder = shared_dir(spark) + "/empty-tables"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    assert p.run(spark, folder).count() == 0
+
+
+def test_quality_of_very_long_texts(spark):
+    rng = random.Random(13)
+    df = corpus(spark, [(1, words(rng, 200_000, 900)), (2, "x" * 500_000), (3, "a\n" * 200_000), (4, ""), (5, "!" * 300_000)])
+    scores = {r.doc_id: r.score for r in quality.score_quality(df, quality.train_quality(df, spark.createDataFrame([(1, 1), (2, 0), (3, 0), (5, 0)], "doc_id long, quality int"))).collect()}
+    assert len(scores) == 5 and all(0 <= x <= 1 for x in scores.values())
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = duck.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    df = queries.queries()[name](spark, SMALL)
+    assert sorted(df.columns) == sorted(columns)
+    assert by_id(tuple(r[c] for c in columns) for r in df.collect()) == by_id(want.fetchall())
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
@@ -763,4 +850,5 @@ def test_pipeline_stage_by_stage(spark):
             assert after.keys() == {i for i, _, _, kept in run_near_duplicates(before) if kept}
         else:
             assert sum(len(t) for t in after.values()) == sum(n - gone for _, n, gone, _, _ in run_suffix(before))
-    assert p.run(spark, folder).select("doc_id").distinct().count() == now.count()
+    packed = p.run(spark, folder)
+    assert packed.select("doc_id").distinct().count() == now.count() and packed.where("size(ids) <> length").count() == 0
