@@ -77,7 +77,7 @@ def updated_weights(weights: DataFrame, feedback: DataFrame, item_tags: DataFram
     A tag's share of the feedback is its sum against twice the largest of its
     category, for and against apart.
     """
-    own = feedback_scores(feedback).join(item_tags, "item_id").join(F.broadcast(categories.select("tag", "category")), "tag")
+    own = feedback_scores(feedback).join(item_tags, "item_id").join(categories.select("tag", "category"), "tag")
     sums = own.groupBy("user_id", "category", "tag").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0 OR neg > 0")
     most = Window.partitionBy("user_id", "category")
     share = lambda c: F.coalesce(F.least(F.col(c) / F.nullif(2 * F.max(c).over(most), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
@@ -131,7 +131,7 @@ def top_categories(weights: DataFrame, categories: DataFrame, n: int = 5) -> Dat
     """(user_id, category, total, rank): a user's strongest categories."""
     from .ranking import ranked
 
-    sums = weights.join(F.broadcast(categories), "tag").groupBy("user_id", "category").agg(F.sum("weight").alias("total"))
+    sums = weights.join(categories, "tag").groupBy("user_id", "category").agg(F.sum("weight").alias("total"))
     return ranked(sums, ["user_id"], n, score="total", item="category")
 
 

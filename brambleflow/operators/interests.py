@@ -22,10 +22,10 @@ DIVERSITY = 0.3
 def tag_scores(items: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(item_id, tag, raw) with raw > 0: keywords found in lower-cased title and description.
 
-    The dictionary is a table of fixed, small size.  Texts that repeat are met once.
+    Texts that repeat are met once; whether the dictionary is broadcast is Spark's choice by its size.
     """
     texts = items.select("item_id", F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-    words = F.broadcast(dictionary.select("tag", F.lower("keyword").alias("keyword")).distinct())
+    words = dictionary.select("tag", F.lower("keyword").alias("keyword")).distinct()
     met = texts.select("t", "d").distinct().join(words, F.col("t").contains(F.col("keyword")) | F.col("d").contains(F.col("keyword")))
     part = IN_TITLE * F.col("t").contains(F.col("keyword")).cast("int") + IN_DESCRIPTION * F.col("d").contains(F.col("keyword")).cast("int")
     return texts.join(met.groupBy("t", "d", "tag").agg(F.sum(part).alias("raw")), ["t", "d"]).select("item_id", "tag", "raw")
@@ -33,7 +33,7 @@ def tag_scores(items: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def title_tags(items: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(item_id, tag) of keywords in the title."""
-    words = F.broadcast(dictionary.select("tag", F.lower("keyword").alias("keyword")).distinct())
+    words = dictionary.select("tag", F.lower("keyword").alias("keyword")).distinct()
     titles = items.select(F.lower(F.coalesce("title", F.lit(""))).alias("t")).distinct()
     met = titles.join(words, F.col("t").contains(F.col("keyword"))).select("t", "tag").distinct()
     return items.select("item_id", F.lower(F.coalesce("title", F.lit(""))).alias("t")).join(met, "t").select("item_id", "tag")

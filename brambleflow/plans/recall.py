@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import hashed_vector, item_text
 from ..functions.vectors import cosine, fused, rounded, text_query_fused
 from ..operators import bm25, dense, fusion, ltr, profiles, rerank
 from ..operators.ranking import last_n, unseen
 from . import views as V
 from .views import TEXT_SIZE, with_views
 
-K, POOL = 10, 50
+K, POOL, HASHED = 10, 50, 64
 SIZES = {"text": TEXT_SIZE, "image": TEXT_SIZE, "multi": 2 * TEXT_SIZE}
 
 
@@ -159,8 +160,21 @@ def rerank_two_signal(spark: SparkSession, d: str) -> DataFrame:
     return rerank.two_signals(_candidates(spark, d), 8).select("query_id", "item_id", "rank_score", "display_score", "rank")
 
 
+def text_vectors(spark: SparkSession, d: str, key: str = "item_id") -> DataFrame:
+    """Vectors of the items' texts by the native encoder."""
+    text = item_text(F.col("title"), F.col("brand"), F.col("category"), F.col("description"))
+    return V.items(spark, d).select(F.col("item_id").alias(key), hashed_vector(text, HASHED).alias("v")).where("v IS NOT NULL")
+
+
+def _with_text_scores(spark: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
+    """With bert_score: the similarity of texts where it is among the query's 50 best, else 0."""
+    asked = text_vectors(spark, d, "query_id").join(candidates.select("query_id").distinct(), "query_id", "left_semi")
+    near = dense.cosine_top_k(asked, text_vectors(spark, d), POOL, skip_same=True).select("query_id", "item_id", F.col("score").alias("bert_score"))
+    return candidates.join(near, ["query_id", "item_id"], "left").withColumn("bert_score", F.coalesce("bert_score", F.lit(0.0)))
+
+
 def rerank_attention4(spark: SparkSession, d: str) -> DataFrame:
-    out = rerank.by_attention(_candidates(spark, d).withColumn("bert_score", F.lit(0.0)), ["text_score", "clip_score", "fusion_score", "bert_score"], rerank.FOUR, 8)
+    out = rerank.by_attention(_with_text_scores(spark, d, _candidates(spark, d)), ["text_score", "clip_score", "fusion_score", "bert_score"], rerank.FOUR, 8)
     return out.select("query_id", "item_id", "rank_score", "attention_w", "rank")
 
 
@@ -306,6 +320,7 @@ QUERIES = {
 
 # SQL.
 
+HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 
 
@@ -331,6 +346,16 @@ def cos(a: str, b: str) -> str:
     return f"coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0)"
 
 
+ITEM_TEXT = "SELECT item_id, trim(concat_ws(' ', title, brand, category, description)) AS text FROM items"
+
+
+def hashed_vectors(source: str, key: str) -> str:
+    """Counts of hashed tokens, of length one."""
+    counted = f"SELECT {key}, bucket, count(*)::DOUBLE AS c FROM (SELECT {key}, {HEX.format('token')} % {HASHED} AS bucket FROM (SELECT {key}, unnest({TOKENS.format('text')}) AS token FROM ({source}))) GROUP BY ALL"
+    listed = f"SELECT k.{key}, list(coalesce(c, 0) ORDER BY b) AS m FROM (SELECT DISTINCT {key}, b FROM ({counted}), range({HASHED}) r(b)) k LEFT JOIN ({counted}) x ON x.{key} = k.{key} AND x.bucket = k.b GROUP BY k.{key}"
+    return f"SELECT {key}, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM ({listed})"
+
+
 DOCS, SEARCHES = "SELECT doc_id::VARCHAR AS item_id, text FROM documents", "SELECT item_id::VARCHAR AS query_id, text FROM benchmark"
 USER_TEXT = "SELECT user_id AS query_id, string_agg(title, ' ' ORDER BY pos) AS text FROM {} JOIN items USING (item_id) WHERE pos <= 5 GROUP BY user_id"
 _LISTS = bm25_views(DOCS, SEARCHES) | {
@@ -364,7 +389,6 @@ def profile_views(source: str) -> dict[str, str]:
     }
 
 
-HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 R6 = "list_transform({}, lambda x: round(x, 6) + 0.0)"
 _POOL = {
     "pool": top(f"(SELECT q.item_id AS query_id, i.item_id, {cos('q.text_vec', 'i.text_vec')} AS score FROM features q JOIN features i ON q.item_id <> i.item_id)", "query_id", POOL),
@@ -511,7 +535,11 @@ ORACLES = {
         texts="SELECT *, row_number() OVER (PARTITION BY user_id, number ORDER BY score DESC, item_id) AS r FROM (SELECT user_id, number, f.item_id, round(" + cos("i.v", "f.text_vec") + ", 6) AS score FROM interests i JOIN features f ON true) QUALIFY r <= 30",
     ),
     "rerank_two_signal": with_views("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, item_id)::INT AS rank FROM (SELECT query_id, item_id, round(0.6::DOUBLE * text_score + 0.4::DOUBLE * clip_score, 6) + 0.0 AS rank_score, round(0.5::DOUBLE * text_score + 0.3::DOUBLE * clip_score + 0.2::DOUBLE * text_score, 6) AS display_score FROM cands) QUALIFY rank <= 8", **_POOL),
-    "rerank_attention4": with_views(_attention(["text_score", "clip_score", "fusion_score", "0.0::DOUBLE"], rerank.FOUR, 8, False), **_POOL),
+    "rerank_attention4": with_views(
+        _attention(["text_score", "clip_score", "fusion_score", "coalesce(bert, 0)"], rerank.FOUR, 8, False).replace("FROM cands", "FROM cands LEFT JOIN berts USING (query_id, item_id)"), **_POOL,
+        item_vec=hashed_vectors(ITEM_TEXT, "item_id"),
+        berts="SELECT q.item_id AS query_id, i.item_id, round(" + cos("q.v", "i.v") + ", 6) + 0.0 AS bert FROM item_vec q JOIN item_vec i ON q.item_id <> i.item_id WHERE q.item_id IN (SELECT query_id FROM cands) QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY bert DESC, i.item_id) <= 50",
+    ),
     "rerank_attention3_clipped": with_views(_attention(["fusion_score", "text_score", "clip_score"], rerank.THREE, K, True), **_POOL),
     "rerank_text_attention": with_views("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, item_id)::INT AS rank FROM (SELECT query_id, item_id, round(0.35::DOUBLE * text_score + 0.2::DOUBLE * clip_score + 0.25::DOUBLE * (text_score <> 0)::INT + 0.2::DOUBLE * text_score, 6) + 0.0 AS rank_score FROM cands) QUALIFY rank <= 8", **_POOL),
     "attention_pool_score": with_views(f"SELECT user_id, item_id, round(coalesce({cos('o.p', 'o.c')}, 0), 6) AS attention FROM pairs LEFT JOIN pooled o USING (user_id, item_id)", **_ATTENTION),

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import rounded
-from ..operators import bm25, dense, evaluation, feedback, fusion, interests, preparation, profiles
+from ..functions.vectors import cosine, rounded
+from ..operators import bm25, dense, evaluation, feedback, fusion, interests, preparation, profiles, rerank
 from ..operators.ranking import last_n, ranked
 from . import behaviour as B
 from . import recall as R
 from . import views as V
 from .views import TEXT_SIZE, with_views
 
-K, POOL, HASHED = 10, 50, 64
+K, POOL, HASHED = 10, 50, R.HASHED
 
 
 def _item_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _encoded(texts: DataFrame, key: str) -> DataFrame:
 
 
 def text_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _encoded(_item_texts(spark, d), "item_id").select("item_id", rounded(F.col("v")).alias("v"))
+    return R.text_vectors(spark, d).select("item_id", rounded(F.col("v")).alias("v"))
 
 
 def bert_search(spark: SparkSession, d: str) -> DataFrame:
@@ -50,10 +50,10 @@ def bert_user_recommend(spark: SparkSession, d: str) -> DataFrame:
 def text_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of a search by the strategy that it asks for: hybrid fusion or the dense list alone, by turns."""
     index = bm25.build_index(_item_texts(spark, d))
-    searches = V.searches(spark, d).withColumn("strategy", F.when(F.pmod(F.crc32("query_id"), F.lit(2)) == 0, "hybrid").otherwise("dense"))
+    searches = V.searches(spark, d).withColumn("strategy", F.when(F.md5("query_id") < "8", "hybrid").otherwise("dense"))
     near = bert_search(spark, d)
     sparse = bm25.search(index, searches.where("strategy = 'hybrid'"), POOL)
-    return fusion.by_strategy(searches, sparse, near, K)
+    return fusion.by_strategy(searches, sparse, near, K).select(*R._SHOWN).fillna(0, ["bm25_rank", "faiss_rank"])
 
 
 def _model_lists(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -76,6 +76,30 @@ def compare_models(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _attentive(spark: SparkSession, d: str) -> DataFrame:
+    """Recalled candidates re-ranked by attention to the train history and mean similarity with it."""
+    f = R._vectors(V.features(spark, d), "text_vec")
+    train, _ = profiles.leave_last_n(V.history(spark, d))
+    pairs = R.user_candidates(spark, d).where(F.col("rank") <= 20).select("user_id", "item_id")
+    recent = last_n(train, K)
+    own = recent.select("user_id", F.col("item_id").alias("seen")).join(f.select(F.col("item_id").alias("seen"), F.col("v").alias("h")), "seen")
+    mean = pairs.join(f, "item_id").join(own, "user_id").groupBy("user_id", "item_id").agg(F.avg(cosine(F.col("h"), F.col("v"))).alias("mean_similarity"))
+    scored = rerank.attention_pooled(pairs, recent, f, TEXT_SIZE).join(mean, ["user_id", "item_id"], "left").fillna(0.0, ["mean_similarity"])
+    return rerank.user_attention(scored, K)
+
+
+def rerank_user_attention(spark: SparkSession, d: str) -> DataFrame:
+    return _attentive(spark, d).select("user_id", "item_id", "score", "rank")
+
+
+def compare_text_and_attention(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of text retrieval and of recall with attention."""
+    train, truth = profiles.leave_last_n(V.history(spark, d))
+    lists = {"bert": _by_text(spark, d, train, K), "attention": _attentive(spark, d)}
+    both = [evaluation.evaluate(recs, truth, [K], name) for name, recs in lists.items()]
+    return both[0].unionByName(both[1])
+
+
 def model_deltas(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.deltas(compare_models(spark, d), "bm25")
 
@@ -250,7 +274,7 @@ def interest_queries(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_vectors, bert_search, bert_user_recommend, text_candidates, compare_models, model_deltas, compare_fusion_modes, retrieval_dataset, evaluated_items, image_downloads, feature_progress,
+        text_vectors, bert_search, bert_user_recommend, text_candidates, compare_models, model_deltas, compare_fusion_modes, rerank_user_attention, compare_text_and_attention, retrieval_dataset, evaluated_items, image_downloads, feature_progress,
         complete_candidates, distinct_users, tag_display, tag_keywords, report_personalised, reason_pills, chat_responses, registered_interests, replaced_interests, account_info, recorded_exposures,
         recalculated_weights, preference_vectors, rated_items, user_item_matrix, report_weights, interest_queries,
     )
@@ -258,14 +282,7 @@ QUERIES = {
 
 # SQL.
 
-ITEM_TEXT = "SELECT item_id, trim(concat_ws(' ', title, brand, category, description)) AS text FROM items"
-
-
-def _vectors_sql(source: str, key: str) -> str:
-    """Counts of hashed tokens, of length one."""
-    counted = f"SELECT {key}, bucket, count(*)::DOUBLE AS c FROM (SELECT {key}, {R.HEX.format('token')} % {HASHED} AS bucket FROM (SELECT {key}, unnest({R.TOKENS.format('text')}) AS token FROM ({source}))) GROUP BY ALL"
-    listed = f"SELECT k.{key}, list(coalesce(c, 0) ORDER BY b) AS m FROM (SELECT DISTINCT {key}, b FROM ({counted}), range({HASHED}) r(b)) k LEFT JOIN ({counted}) x ON x.{key} = k.{key} AND x.bucket = k.b GROUP BY k.{key}"
-    return f"SELECT {key}, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM ({listed})"
+ITEM_TEXT, _vectors_sql = R.ITEM_TEXT, R.hashed_vectors
 
 
 _BERT = {"item_vec": _vectors_sql(ITEM_TEXT, "item_id")}
@@ -311,6 +328,14 @@ _FUSED = _LISTS | {
     " UNION ALL SELECT 'weighted', user_id, item_id, 0.5::DOUBLE * s + 0.3::DOUBLE / (60 + rank) + 0.2::DOUBLE / rank FROM scaled UNION ALL SELECT 'hybrid', user_id, item_id, CASE WHEN source = 'bm25' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END * s + 0.3::DOUBLE * r FROM scaled JOIN rs USING (user_id, item_id)",
     "recs": "SELECT *, row_number() OVER (PARTITION BY model, user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT model, user_id, item_id, round(sum(part), 6) AS score FROM parts GROUP BY model, user_id, item_id) QUALIFY rank <= 10",
 }
+_ATTENTIVE = R._CANDIDATES | {
+    "asked_a": "SELECT user_id, item_id FROM candidates WHERE rank <= 20",
+    "met_a": "SELECT p.user_id, p.item_id, c.text_vec AS c, h.text_vec AS h, greatest(list_dot_product(h.text_vec, c.text_vec), 0) AS w0, " + R.cos("h.text_vec", "c.text_vec") + " AS s FROM asked_a p JOIN features c ON c.item_id = p.item_id JOIN recent r ON r.user_id = p.user_id AND r.pos <= 10 JOIN features h ON h.item_id = r.item_id",
+    "wts_a": "SELECT *, CASE WHEN sum(w0) OVER u > 0 THEN w0 / sum(w0) OVER u ELSE 1.0::DOUBLE / count(*) OVER u END AS w FROM met_a WINDOW u AS (PARTITION BY user_id, item_id)",
+    "pooled_a": "SELECT user_id, item_id, list(x ORDER BY j) AS p, any_value(c) AS c FROM (SELECT user_id, item_id, j, sum(x * w) AS x, any_value(c) AS c FROM (SELECT user_id, item_id, w, c, unnest(h) AS x, generate_subscripts(h, 1) AS j FROM wts_a) GROUP BY user_id, item_id, j) GROUP BY user_id, item_id",
+    "mean_a": "SELECT user_id, item_id, avg(s) AS s FROM met_a GROUP BY user_id, item_id",
+    "l_attention": _top_users("SELECT user_id, item_id, round(0.6::DOUBLE * greatest(coalesce(" + R.cos("o.p", "o.c") + ", 0), 0) + 0.4::DOUBLE * coalesce(s, 0), 6) + 0.0 AS score FROM asked_a LEFT JOIN pooled_a o USING (user_id, item_id) LEFT JOIN mean_a USING (user_id, item_id)"),
+}
 _REPORT = B._SIMILAR | B._NEGATIVE | {
     "i_raw": "SELECT user_id, item_id, sum(raw * weight) AS i FROM tag_scores JOIN weights USING (tag) GROUP BY user_id, item_id",
     "n_raw": "SELECT user_id, item_id, sum(raw * weight) AS n FROM tag_scores JOIN negative USING (tag) GROUP BY user_id, item_id",
@@ -330,6 +355,15 @@ ORACLES = {
     "text_vectors": with_views(f"SELECT item_id, {R.R6.format('v')} AS v FROM item_vec", **_BERT),
     "bert_search": with_views(R.top("(SELECT q.query_id, i.item_id, " + R.cos("q.v", "i.v") + " AS score FROM query_vec q JOIN item_vec i ON true)", "query_id", K), **_BERT, query_vec=_vectors_sql(R.SEARCHES, "query_id")),
     "bert_user_recommend": with_views("SELECT user_id, item_id, score, rank::INT AS rank FROM l_bert", **{k: v.replace("FROM train", "FROM history") if k == "recent" else v for k, v in _MODELS.items() if k in ("recent", "item_vec", "user_vec", "l_bert")}),
+    "text_candidates": with_views(
+        R._RECORDS, **_BERT, **R.bm25_views(ITEM_TEXT, R.SEARCHES),
+        query_vec=_vectors_sql(R.SEARCHES, "query_id"),
+        near=R.top("(SELECT q.query_id, i.item_id, " + R.cos("q.v", "i.v") + " AS score FROM query_vec q JOIN item_vec i ON true)", "query_id", K),
+        sparse=R.top("scored", "query_id", POOL),
+        parts="SELECT query_id, item_id, rank, 'faiss' AS source, 1 / (60.0::DOUBLE + rank) AS part FROM near UNION ALL SELECT query_id, item_id, rank, 'bm25', 1 / (60.0::DOUBLE + rank) FROM sparse WHERE md5(query_id) < '8'",
+    ),
+    "rerank_user_attention": with_views("SELECT user_id, item_id, score, rank::INT AS rank FROM l_attention", **_ATTENTIVE),
+    "compare_text_and_attention": with_views(_metric_rows([10], "recs"), **{**_ATTENTIVE, **{k: v for k, v in _MODELS.items() if k in ("item_vec", "user_vec", "l_bert")}}, recs="SELECT 'bert' AS model, user_id, item_id, rank FROM l_bert UNION ALL SELECT 'attention', user_id, item_id, rank FROM l_attention"),
     "compare_models": with_views(_metric_rows([5, 10], "recs"), **_MODELS),
     "model_deltas": with_views("SELECT m.model, m.metric, m.k, m.value, round(m.value - o.value, 6) + 0.0 AS difference, round((m.value - o.value) / greatest(o.value, 1e-6), 6) + 0.0 AS improvement FROM metrics m JOIN metrics o ON o.model = 'bm25' AND o.metric = m.metric AND o.k = m.k WHERE m.model <> 'bm25'", **_MODELS, metrics=_metric_rows([5, 10], "recs")),
     "compare_fusion_modes": with_views(_metric_rows([10], "recs"), **_FUSED),
