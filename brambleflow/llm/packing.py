@@ -1,13 +1,18 @@
 """Lexical retrieval packing: windows filled with the seed's BM25 neighbours.
 
 Document frequencies are counted over the whole corpus in a table of hashed
-terms of fixed size, the only thing that is broadcast.  A task streams its
-documents into shards of bounded size.  A shard has an inverted index with BM25
-weights; each window begins with what is left of the document that the last one
-cut, or with the first unused document, and takes that seed's best unused
-neighbours (any unused one where no neighbour is left) until it is full; the
-document that doesn't fit is cut.  So only a shard's end is not a full window:
-it is cut into lengths that are powers of two, which need no padding.
+terms of fixed size, the only thing that is broadcast.  Documents are dealt by
+content: each by one of its terms, drawn by a hash that all documents share and
+the likelier the rarer the term, so that two documents meet the likelier the more
+of their weighted terms they have in common.  A term of very many documents has
+several dealings.  A task streams what it is dealt into shards of bounded size.
+
+A shard has an inverted index with BM25 weights; each window begins with what is
+left of the document that the last one cut, or with the first unused document,
+and takes that seed's best unused neighbours (any unused one where no neighbour
+is left) until it is full; the document that doesn't fit is cut.  So only a
+shard's end is not a full window: it is cut into lengths that are powers of two,
+which need no padding.
 
 Defined cases: a null or empty text is its end id alone; rows without doc_id and
 rows that repeat one are packed like all others; an empty table gives an empty
@@ -18,24 +23,29 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed
-from .textblocks import blocks, word_bounds, word_hashes
+from .textblocks import BASE, blocks, mixed, word_bounds, word_hashes
 from .tokens import piece_encoder
 
 WINDOW = 2048
 END_ID = 1
 K1, B = 1.5, 0.75
+#: Bytes of a block of texts, so that its words' figures stay in the processor's cache.
+BLOCK = 1 << 17
 #: Cells of the table of hashed document frequencies, and the rows in which it is summed.
 CELLS, SLICES = 1 << 20, 64
 #: Terms in more than this part of a shard's documents have a row of weights over all its documents instead of postings.
 COMMON = 1 / 8
 #: Tokens and documents at which a shard is closed.
 SHARD_TOKENS, SHARD_DOCS = 4 << 20, 8192
+#: Documents of one term that are dealt together.
+DEALT_DOCS = 1024
 
 
 def _doc_terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -51,7 +61,7 @@ def _doc_terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(CELLS, np.int64)
     docs = words = 0
-    for rows, data, offsets in blocks(batches):
+    for rows, data, offsets in blocks(batches, limit=BLOCK):
         docs += rows.num_rows
         first, last, bounds = word_bounds(data, offsets, "alnum")
         own = (word_hashes(data, first, last) & np.uint64(CELLS - 1)).astype(np.int64)
@@ -79,11 +89,17 @@ def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 COUNTS = "part int, cells binary, docs long, words long"
 
 
-def corpus_idf(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """BM25's idf by hashed term over all documents, and the mean document length.
+class Corpus(NamedTuple):
+    """Of each cell: BM25's idf, the turn of its term in drawing (the least is drawn), its dealings; and the mean document length."""
 
-    The driver receives SLICES rows, together one table of CELLS numbers.
-    """
+    idf: np.ndarray
+    turn: np.ndarray
+    parts: np.ndarray
+    mean_words: float
+
+
+def corpus_figures(docs: DataFrame) -> Corpus:
+    """Over all documents; the driver receives SLICES rows, together one table of CELLS numbers."""
     counted = docs.select("text").mapInArrow(_count, COUNTS).repartition(SLICES, "part").mapInArrow(_sum, COUNTS).collect()
     df = np.zeros((SLICES, CELLS // SLICES), np.int64)
     n = words = 0
@@ -92,7 +108,11 @@ def corpus_idf(docs: DataFrame) -> tuple[np.ndarray, float]:
         n += row.docs
         words += row.words
     df = df.reshape(-1)
-    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), words / max(n, 1)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    chance = (mixed(np.arange(CELLS, dtype=np.uint64) + BASE) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    # What stands in one document brings it near no other.
+    turn = np.where(df > 1, -np.log1p(-chance) / idf**2, np.inf)
+    return Corpus(idf.astype(np.float32), turn.astype(np.float32), np.maximum(1, -(-df // DEALT_DOCS)), words / max(n, 1))
 
 
 class Shard:
@@ -123,7 +143,7 @@ class Shard:
         number = np.empty(len(term), np.int64)
         number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
         weight = idf[term & np.uint32(CELLS - 1)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_words, 1e-6)))
-        self.post_doc, self.post_weight = doc[order].astype(np.int32), weight[order]
+        self.post_doc, self.post_weight = doc[order], weight[order].astype(np.float64)
         self.starts = starts
         self.uses = uses = np.diff(np.append(starts, len(term)))
         common = uses > max(2, COMMON * len(sizes))
@@ -146,7 +166,8 @@ class Shard:
             return shared.astype(np.float64)
         n = self.uses[terms]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[terms] - ends + n, n)
+        at = np.repeat(self.starts[terms] - ends + n, n)
+        at += np.arange(len(at))
         return np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(self.docs)) + shared
 
     def pack(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -190,16 +211,47 @@ class Shard:
             yield sequence
 
 
-def _pack(path: str, window: int, idf, mean_words: float, with_ids: bool):
+DEALT = "key int, part long, doc_id long, row long, ids binary, terms binary, counts binary"
+
+
+def _dealt(path: str, corpus):
+    """Documents as ids and terms, with the cell of the term by which they are dealt."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = piece_encoder(path)
+        turn, parts = corpus.value.turn, corpus.value.parts
+        for rows, data, offsets in blocks(batches, limit=BLOCK):
+            row = rows.column("row").to_numpy()
+            key, ids, terms, counts = np.full(rows.num_rows, -1, np.int32), [], [], []
+            for i, (text, (own, n)) in enumerate(zip(rows.column("text").to_pylist(), _doc_terms(data, offsets), strict=True)):
+                ids.append(encoder.encode(text).astype(encoder.kind).tobytes())
+                terms.append(own.tobytes())
+                counts.append(n.tobytes())
+                if len(own):
+                    cells = own & np.uint32(CELLS - 1)
+                    turns = turn[cells]
+                    first = int(turns.argmin())
+                    if turns[first] < np.inf:
+                        key[i] = cells[first]
+            spread = mixed(row.view(np.uint64) ^ rows.column("doc_id").fill_null(-1).to_numpy().view(np.uint64))
+            part = (spread % np.where(key < 0, 1 << 16, parts[key]).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), rows.column("doc_id"), rows.column("row"), *(pa.array(x, pa.binary()) for x in (ids, terms, counts))], names=["key", "part", "doc_id", "row", "ids", "terms", "counts"])
+
+    return run
+
+
+def _pack(path: str, window: int, corpus, with_ids: bool):
+    """Over rows sorted by key and part: pieces of sequences."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = piece_encoder(path)
+        kind = piece_encoder(path).kind
         base, number = TaskContext.get().partitionId() << 32, 0
 
         def packed(shard: Shard) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            shard.index(idf.value, mean_words)
+            shard.index(corpus.value.idf, corpus.value.mean_words)
             rows: list[tuple] = []
             for sequence in shard.pack(window):
                 offset = 0
@@ -217,10 +269,10 @@ def _pack(path: str, window: int, idf, mean_words: float, with_ids: bool):
 
         shard = Shard()
         end = np.array([END_ID], np.uint32)
-        for rows, data, offsets in blocks(batches):
-            texts = rows.column("text").to_pylist()
-            for doc_id, text, (terms, counts) in zip(rows.column("doc_id").to_pylist(), texts, _doc_terms(data, offsets), strict=True):
-                shard.add(doc_id, np.concatenate([encoder.encode(text), end]), terms, counts)
+        for batch in batches:
+            for doc_id, ids, terms, counts in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("ids", "terms", "counts")), strict=True):
+                whole = np.concatenate([np.frombuffer(ids.as_buffer(), kind).astype(np.uint32), end])
+                shard.add(doc_id, whole, *(np.frombuffer(x.as_buffer(), np.uint32).copy() for x in (terms, counts)))
                 if shard.full():
                     yield from packed(shard)
                     shard = Shard()
@@ -241,8 +293,8 @@ def retrieval_packing(docs: DataFrame, tokenizer: str, window: int = WINDOW, wit
     ids_crc32, doc_tokens (with the end id), sequence_id, offset in the sequence
     and, if asked for, ids.
     """
-    rows = keyed(docs).select("doc_id", "text")
-    idf, mean_words = corpus_idf(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    rows = keyed(docs)
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_figures(rows))
+    dealt = rows.mapInArrow(_dealt(tokenizer, corpus), DEALT).repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "row")
     columns = ", ".join(f"{x} long" for x in NAMES[:-1])
-    return rows.mapInArrow(_pack(tokenizer, window, shared, mean_words, with_ids), f"{columns}, ids array<int>").drop(*([] if with_ids else ["ids"]))
+    return dealt.mapInArrow(_pack(tokenizer, window, corpus, with_ids), f"{columns}, ids array<int>").drop(*([] if with_ids else ["ids"]))

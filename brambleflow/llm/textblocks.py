@@ -27,6 +27,7 @@ for _low, _high in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
 _ALNUM[ord("A") : ord("Z") + 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
 #: Bytes of words: everything but ASCII white space; digits, letters (A-Z are lower-cased) and everything beyond ASCII.
 WORD_BYTES = {"space": ~_SPACE, "alnum": _ALNUM}
 
@@ -62,14 +63,16 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = WORD_BYTES[kind][data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
+    turns = np.empty(len(data) + 1, bool)
+    np.not_equal(inside[1:], inside[:-1], out=turns[1:-1])
+    turns[0], turns[-1] = inside[0], inside[-1]
+    # A word that would go on from one row to the next ends and begins there.
     edges = offsets[(offsets > 0) & (offsets < len(data))]
-    starts[edges] = inside[edges]
-    ends[edges - 1] = inside[edges - 1]
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    through = np.unique(edges[inside[edges] & inside[edges - 1]])
+    at = np.flatnonzero(turns)
+    if len(through):
+        at = np.sort(np.concatenate([at, through, through]))
+    first, last = at[0::2], at[1::2]
     return first, last, np.searchsorted(first, offsets)
 
 
@@ -104,10 +107,16 @@ def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     if not len(first):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    raw = (sums[last] - sums[first]) * down[first]
-    return mixed(raw ^ ((last - first).astype(np.uint64) * MIX_B))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    own = _LOWER_VALUE[data]
+    own *= up[: len(data)]
+    np.cumsum(own, out=sums[1:])
+    raw = sums[last]
+    raw -= sums[first]
+    raw *= down[first]
+    raw ^= (last - first).astype(np.uint64) * MIX_B
+    return mixed(raw)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
