@@ -47,6 +47,8 @@ from .textblocks import BASE, blocks, mixed, powers, spans_of
 HOT_PLACES = 2_000
 #: Windows and bytes of whole texts that a group remembers before it starts afresh.
 SEEN_WINDOWS, SEEN_BYTES = 1 << 18, 1 << 24
+#: Bytes of a block of texts, so that its figures stay in the processor's cache.
+BLOCK = 1 << 17
 #: Anchors that a task holds before it passes them on.
 FLUSH = 1 << 18
 CHUNK_BYTES = 1 << 19
@@ -106,7 +108,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 def pieces(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
     """Blocks as (rows, bytes, offsets, row of each piece, place of the first byte); a very long text comes in pieces that overlap by length - 1."""
-    for rows, data, offsets in blocks(batches):
+    for rows, data, offsets in blocks(batches, limit=BLOCK):
         if len(data) <= PIECE:
             yield rows, data, offsets, np.arange(rows.num_rows), 0
         else:
