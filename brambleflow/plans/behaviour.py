@@ -353,6 +353,11 @@ ORACLES = {
         "SELECT user_id, other AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at, other) AS place FROM (SELECT l.user_id, n.other, min((l.pos, -n.rank)) AS first_at FROM latest l JOIN near n ON n.item_id = l.item_id WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = l.user_id AND h.item_id = n.other) GROUP BY l.user_id, n.other) QUALIFY place <= 5",
         near="SELECT item_id, other, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other) AS rank FROM (SELECT a.item_id, b.item_id AS other, round(" + R.cos("a.text_vec", "b.text_vec") + ", 6) AS score FROM features a JOIN features b ON a.item_id <> b.item_id) QUALIFY rank <= 5",
     ),
+    "synthetic_histories": with_views(
+        "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rank, item_id) AS ts FROM pools JOIN anchors USING (anchor) QUALIFY ts <= 8",
+        pools="SELECT anchor, item_id, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, item_id) AS rank FROM (SELECT a.item_id AS anchor, b.item_id, round(" + R.cos("a.text_vec", "b.text_vec") + ", 6) + 0.0 AS score FROM features a JOIN features b ON true) QUALIFY rank <= 20",
+        anchors="SELECT anchor, 'synthetic_' || md5(anchor) AS user_id FROM (SELECT DISTINCT anchor FROM pools) ORDER BY md5(concat_ws('#', anchor, '42')), anchor LIMIT 80",
+    ),
     "intent_fallback_words": "SELECT item_id::VARCHAR AS query_id, CASE WHEN t = '' THEN 'fashion' ELSE array_to_string(string_split(t, ' ')[1:8], ' ') END AS words FROM (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM benchmark)",
     "json_salvage": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "anonymised_users": "SELECT c_custkey AS user_id, sha256(c_name) AS name_hash, length(trim(c_name)) >= 3 AND regexp_matches(c_name, '[A-Za-z0-9]') AS valid FROM customer",
