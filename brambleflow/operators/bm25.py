@@ -17,19 +17,32 @@ LEAST_MEAN, QUERY_TITLES = 1e-6, 5
 
 @dataclass
 class Index:
-    """Postings (item_id, token, tf, dl), document frequencies (token, df) and the corpus row (n, mean)."""
+    """Tokens as they stand (item_id, token, dl, items: how many items the text is of) and the corpus row (n, mean)."""
 
-    postings: DataFrame
-    frequencies: DataFrame
+    words: DataFrame
     corpus: DataFrame
 
+    def postings(self, asked: DataFrame | None = None) -> DataFrame:
+        """(item_id, token, tf, dl, items), of asked tokens (token) only if these are given."""
+        words = self.words if asked is None else self.words.join(asked.select("token").distinct(), "token", "left_semi")
+        return words.groupBy("item_id", "token", "dl", "items").agg(F.count("*").alias("tf"))
+
+    @property
+    def frequencies(self) -> DataFrame:
+        """(token, df): in how many items a token stands."""
+        return frequencies(self.postings())
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.sum("items").alias("df"))
+
 
 def build_index(docs: DataFrame, item: str = "item_id", text: str = "text") -> Index:
     """Empty documents count for the mean length, as all others do."""
     sized = docs.select(F.col(item).alias("item_id"), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = sized.select("item_id", "dl", F.explode("tokens").alias("token")).groupBy("item_id", "token", "dl").agg(F.count("*").alias("tf"))
+    words = sized.select("item_id", "dl", F.explode("tokens").alias("token"), F.lit(1).cast("long").alias("items"))
     corpus = sized.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(LEAST_MEAN)).alias("mean"))
-    return Index(postings, postings.groupBy("token").agg(F.count("*").alias("df")), corpus)
+    return Index(words, corpus)
 
 
 def query_tokens(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -40,13 +53,14 @@ def query_tokens(queries: DataFrame, query: str = "query_id", text: str = "text"
 def scored(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, item_id, score) of all items that share a token with a query.
 
-    Only tokens that queries have meet their postings; the corpus row is one row.
+    Only tokens that queries have are counted at all; the corpus row is one row.
     """
-    asked = queries.join(index.frequencies, "token").crossJoin(F.broadcast(index.corpus))
+    postings = index.postings(queries)
+    asked = queries.join(frequencies(postings), "token").crossJoin(F.broadcast(index.corpus))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.select("query_id", "token", "mean", (F.col("qf") * idf).alias("weight"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return asked.join(index.postings, "token").groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))
+    return asked.join(postings, "token").groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))
 
 
 def search(index: Index, queries: DataFrame, k: int, exclude: DataFrame | None = None) -> DataFrame:
@@ -79,10 +93,10 @@ def recommend_users(history: DataFrame, items: DataFrame, k: int, n: int = QUERY
     most = k + n
     titled = items.select("item_id", F.coalesce("title", F.lit("")).alias("title"))
     sized = titled.groupBy("title").agg(F.count("*").alias("items")).withColumn("tokens", tokens(F.col("title"))).withColumn("dl", F.size("tokens"))
-    postings = sized.select(F.col("title").alias("item_id"), "dl", "items", F.explode("tokens").alias("token")).groupBy("item_id", "token", "dl", "items").agg(F.count("*").alias("tf"))
+    words = sized.select(F.col("title").alias("item_id"), "dl", "items", F.explode("tokens").alias("token"))
     mean = F.sum(F.col("dl") * F.col("items")) / F.sum("items")
     corpus = sized.agg(F.greatest(F.coalesce(F.sum("items"), F.lit(0)), F.lit(1)).alias("n"), F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(LEAST_MEAN)).alias("mean"))
-    index = Index(postings.drop("items"), postings.groupBy("token").agg(F.sum("items").alias("df")), corpus)
+    index = Index(words, corpus)
 
     queries = user_queries(history, items, n)
     found = scored(index, query_tokens(queries)).where("score > 0").withColumn("score", F.round("score", DIGITS))
