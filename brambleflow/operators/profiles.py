@@ -15,8 +15,8 @@ from .ranking import last_n
 #: Weights of the three latest items, length of the long history, share of the short profile.
 SHORT, LONG, SHORT_SHARE = (0.55, 0.30, 0.15), 10, 0.65
 IMAGES, CLUSTER_HISTORY, MOST_CLUSTERS, STARTS = 20, 50, 5, 10
-#: Bins to which items are dealt for negatives.
-BINS = 64
+#: The fewest bins to which items are dealt for negatives, the items of a bin of large catalogues, the bins that are tried at once.
+BINS, BIN_ITEMS, REACH = 64, 32, 4
 
 
 def dense_ordinal(log: DataFrame, *order: str | Column, user: str = "user_id") -> DataFrame:
@@ -147,14 +147,17 @@ def prefixes(history: DataFrame, least: int = 3, most: int | None = None) -> Dat
 def hashed_negatives(positives: DataFrame, items: DataFrame, history: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """For each user's positive, n items outside the user's history, in the order of a hash.
 
-    Items are dealt to hash bins; a positive draws from the bin of its own hash
-    and, where that has too few, from the following ones until n are found or all
-    bins are used.  Only where a bin holds little but a user's history does a
-    positive meet all items.
+    Items are dealt to hash bins, the more items the more bins; a positive draws
+    from the bin of its own hash and, where that has too few, from the following
+    ones until n are found or all bins are used.  It meets the items of REACH
+    bins; only where these hold little but a user's history does it meet all.
     """
-    spread = lambda *key: F.conv(F.substring(F.md5(F.concat_ws("#", *key, F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % BINS
-    dealt = items.select("item_id").distinct().withColumn("bin", spread("item_id"))
-    asked = positives.select("user_id", F.col("item_id").alias("positive"), spread("user_id", "item_id").alias("bin")).distinct()
+    hashed = lambda *key: F.conv(F.substring(F.md5(F.concat_ws("#", *key, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    each = items.select("item_id").distinct()
+    bins = F.broadcast(each.agg(F.greatest(F.lit(BINS), F.floor(F.count("*") / BIN_ITEMS)).cast("long").alias("bins")))
+    dealt = each.crossJoin(bins).select("item_id", (hashed("item_id") % F.col("bins")).alias("bin"))
+    asked = positives.select("user_id", F.col("item_id").alias("positive"), hashed("user_id", "item_id").alias("own")).distinct().crossJoin(bins)
+    asked = asked.select("user_id", "positive", "bins", (F.col("own") % F.col("bins")).alias("start"))
     seen = history.select("user_id", "item_id").distinct()
     pick = Window.partitionBy("user_id", "positive").orderBy("ahead", F.md5(F.concat_ws("#", "user_id", "positive", "item_id", F.lit(str(seed)))), "item_id")
 
@@ -162,10 +165,11 @@ def hashed_negatives(positives: DataFrame, items: DataFrame, history: DataFrame,
         met = met.where(F.col("item_id") != F.col("positive")).join(seen, ["user_id", "item_id"], "left_anti")
         return met.withColumn("place", F.row_number().over(pick)).where(F.col("place") <= n).select("user_id", "positive", "item_id", "place")
 
-    own = picked(asked.join(dealt, "bin").withColumn("ahead", F.lit(0)))
+    reach = asked.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(REACH - 1)))).withColumn("bin", F.pmod(F.col("start") + F.col("ahead"), F.col("bins")))
+    own = picked(reach.join(dealt, "bin"))
     served = own.where(F.col("place") == n).select("user_id", "positive")
-    short = asked.join(served, ["user_id", "positive"], "left_anti").withColumnRenamed("bin", "start")
-    more = picked(short.crossJoin(dealt).withColumn("ahead", F.pmod(F.col("bin") - F.col("start"), F.lit(BINS))))
+    short = asked.join(served, ["user_id", "positive"], "left_anti")
+    more = picked(short.crossJoin(dealt).withColumn("ahead", F.pmod(F.col("bin") - F.col("start"), F.col("bins"))))
     return own.join(served, ["user_id", "positive"], "left_semi").unionByName(more)
 
 

@@ -303,10 +303,11 @@ ORACLES = {
     "prefix_expansion": with_views("SELECT user_id, item_id, ts, array_to_string(list_reverse(b), ' ') AS before FROM (SELECT *, list(item_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM history) WHERE ts > 3"),
     "negatives_md5": with_views(
         "SELECT user_id, positive, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY ahead, md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM met) WHERE place <= 4",
-        asked=f"SELECT user_id, item_id AS positive, {R.HEX.format("concat_ws('#', user_id, item_id, '42')")} % 64 AS bin FROM (SELECT DISTINCT user_id, item_id FROM truth)",
-        slots=f"SELECT DISTINCT item_id, {R.HEX.format("concat_ws('#', item_id, '42')")} % 64 AS bin FROM items",
+        nb="SELECT greatest(64, count(DISTINCT item_id) // 32) AS bins FROM items",
+        asked=f"SELECT user_id, item_id AS positive, {R.HEX.format("concat_ws('#', user_id, item_id, '42')")} % bins AS bin FROM (SELECT DISTINCT user_id, item_id FROM truth), nb",
+        slots=f"SELECT DISTINCT item_id, {R.HEX.format("concat_ws('#', item_id, '42')")} % bins AS bin FROM items, nb",
         seen_all="SELECT DISTINCT user_id, item_id FROM history",
-        met="SELECT a.user_id, a.positive, s.item_id, (s.bin - a.bin + 64) % 64 AS ahead FROM asked a JOIN slots s ON s.item_id <> a.positive ANTI JOIN seen_all h ON h.user_id = a.user_id AND h.item_id = s.item_id",
+        met="SELECT a.user_id, a.positive, s.item_id, (s.bin - a.bin + bins) % bins AS ahead FROM nb, asked a JOIN slots s ON s.item_id <> a.positive ANTI JOIN seen_all h ON h.user_id = a.user_id AND h.item_id = s.item_id",
     ),
     "cooc_pairs_leave_one": with_views("SELECT user_id, item_id, ts, string_agg(other, ' ' ORDER BY other_ts) AS others FROM (SELECT a.user_id, a.item_id, a.ts, b.item_id AS other, b.ts AS other_ts FROM history a JOIN history b ON a.user_id = b.user_id AND a.ts <> b.ts QUALIFY row_number() OVER (PARTITION BY a.user_id, a.ts ORDER BY b.ts) <= 5) GROUP BY user_id, item_id, ts"),
     "metrics_at_k": with_views(f"{_long(5)} UNION ALL {_long(10)}", **_RECS, m5=_metrics(5), m10=_metrics(10)),

@@ -521,10 +521,11 @@ ORACLES = {
     "hard_negatives": with_views(
         "SELECT user_id, positive, item_id, 'random' AS kind, 0.8::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY ahead, md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM drawn) WHERE place <= 1 UNION ALL SELECT user_id, positive, item_id, kind, round(1 + least(score / unit, 2.0::DOUBLE), 6) AS weight FROM (SELECT p.user_id, p.item_id AS positive, h.item_id, kind, unit, score FROM pairs p JOIN hard h ON h.user_id = p.user_id AND h.item_id <> p.item_id QUALIFY row_number() OVER (PARTITION BY p.user_id, p.item_id, kind ORDER BY score DESC, h.item_id) <= 1)",
         **_TRAIN_LISTS,
-        asked=f"SELECT user_id, item_id AS positive, {HEX.format("concat_ws('#', user_id, item_id, '42')")} % 64 AS bin FROM pairs",
-        slots=f"SELECT item_id, {HEX.format("concat_ws('#', item_id, '42')")} % 64 AS bin FROM features",
+        nb="SELECT greatest(64, count(DISTINCT item_id) // 32) AS bins FROM features",
+        asked=f"SELECT user_id, item_id AS positive, {HEX.format("concat_ws('#', user_id, item_id, '42')")} % bins AS bin FROM pairs, nb",
+        slots=f"SELECT item_id, {HEX.format("concat_ws('#', item_id, '42')")} % bins AS bin FROM features, nb",
         seen_all="SELECT DISTINCT user_id, item_id FROM history",
-        drawn="SELECT a.user_id, a.positive, s.item_id, (s.bin - a.bin + 64) % 64 AS ahead FROM asked a JOIN slots s ON s.item_id <> a.positive ANTI JOIN seen_all h ON h.user_id = a.user_id AND h.item_id = s.item_id",
+        drawn="SELECT a.user_id, a.positive, s.item_id, (s.bin - a.bin + bins) % bins AS ahead FROM nb, asked a JOIN slots s ON s.item_id <> a.positive ANTI JOIN seen_all h ON h.user_id = a.user_id AND h.item_id = s.item_id",
         sparse="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id AS user_id, item_id, round(score, 6) AS score FROM scored s WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.user_id = s.query_id AND r.item_id = s.item_id AND pos <= 10)) QUALIFY rank <= 50",
         dense="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, max(score) AS score FROM near_i n WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = n.user_id AND r.item_id = n.item_id) GROUP BY user_id, item_id) QUALIFY rank <= 10",
         hard="SELECT x.* FROM (SELECT user_id, item_id, score, 'hard_bm25' AS kind, 10.0::DOUBLE AS unit FROM sparse UNION ALL SELECT user_id, item_id, score, 'hard_faiss', 0.5::DOUBLE FROM dense) x ANTI JOIN seen_all h ON h.user_id = x.user_id AND h.item_id = x.item_id",
