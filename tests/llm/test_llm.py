@@ -308,6 +308,43 @@ def test_license_labels_do_not_depend_on_repeated_rows(spark):
     assert once == found(rows * 2) and any(labels for _, labels, _ in once) and not all(labels for _, labels, _ in once)
 
 
+def test_license_notices_against_brute_force(spark):
+    """Labels and score of altered notices against every window of the text."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(14)
+    notices = [(t.label, t.words.split()) for t in licenses.TEMPLATES if not t.base]
+    rows = []
+    for i in range(150):
+        w = [f"y{rng.randrange(50)}" for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(1, 3)):
+            own = list(rng.choice(notices)[1])
+            for j in rng.sample(range(len(own)), rng.randrange(0, max(1, len(own) // 3) + 1)):
+                own[j] = f"x{rng.randrange(99)}"
+            w += own + [f"y{rng.randrange(50)}" for _ in range(rng.randrange(5, 30))]
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r for r in licenses.scan_licenses(corpus(spark, rows)).collect()}
+    exact = 0
+    for i, text in rows:
+        w = text.split()
+
+        def found(most):
+            """Labels of notices that stand in windows with up to so many further words, and the best cover."""
+            best = {}
+            for label, t in notices:
+                part = max(sum(m.size for m in SequenceMatcher(None, t, w[s : s + len(t) + more], autojunk=False).get_matching_blocks()) / len(t) for s in range(len(w)) for more in range(most + 1))
+                best[label] = max(best.get(label, 0), part)
+            return {label for label, x in best.items() if x >= licenses.MIN_COVER}, max(best.values())
+
+        base = {label for p, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) if f" {p} " in f" {text} "}
+        own = set(filter(None, got[i].labels.split(",")))
+        (least, low), (most, high) = found(0), found(3 * licenses.NEAR)
+        assert base | least <= own <= base | most
+        assert got[i].score == 1.0 if base else (low if least else 0.0) <= got[i].score <= (high if most else 0.0)
+        exact += own == base | least
+    assert exact > 0.9 * len(rows)
+
+
 def test_license_places_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["MIT", "license", "general", "public", "apache", "x,"]) for _ in range(rng.randrange(60)))) for i in range(80)]
