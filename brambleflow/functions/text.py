@@ -78,8 +78,10 @@ def reason_pills(tags: Column, personalization: Column, negative: Column) -> Col
     """Up to three reasons: the two best tags of 0.08 or more (structs of tag and score), gain over 0.12, loss over 0.18."""
     best = F.slice(F.filter(tags, lambda x: x["score"] >= 0.08), 1, 2)
     matched = F.when(F.size(best) > 0, F.concat(F.lit("matches "), F.array_join(F.transform(best, lambda x: x["tag"]), " / ")))
-    gain = F.when(personalization > 0.12, F.concat(F.lit("personalised +"), F.format_string("%.2f", personalization)))
-    loss = F.when(negative > 0.18, F.concat(F.lit("dislikes -"), F.format_string("%.2f", negative)))
+    hundredths = lambda c: F.floor(c * 100 + 0.5)
+    shown = lambda c: F.format_string("%d.%02d", F.floor(hundredths(c) / 100), hundredths(c) % 100)
+    gain = F.when(personalization > 0.12, F.concat(F.lit("personalised +"), shown(personalization)))
+    loss = F.when(negative > 0.18, F.concat(F.lit("dislikes -"), shown(negative)))
     return F.slice(F.array_compact(F.array(matched, gain, loss)), 1, 3)
 
 

@@ -351,6 +351,7 @@ _SAID = sorted({t for _, t, _ in V.DICTIONARY} | {w.upper() for _, _, words in V
 _SAID_SQL = "SELECT unnest([" + ", ".join(f"'{s}'" for s in _SAID) + "]) AS tag"
 _NEW = "SELECT a.user_id, coalesce(c.category, 'Custom') AS category, a.tag, 0.5::DOUBLE AS weight FROM asked a LEFT JOIN categories c USING (tag)"
 
+_HUNDREDTHS = "printf('%d.%02d', floor({0} * 100 + 0.5::DOUBLE)::INT // 100, floor({0} * 100 + 0.5::DOUBLE)::INT % 100)"
 ORACLES = {
     "text_vectors": with_views(f"SELECT item_id, {R.R6.format('v')} AS v FROM item_vec", **_BERT),
     "bert_search": with_views(R.top("(SELECT q.query_id, i.item_id, " + R.cos("q.v", "i.v") + " AS score FROM query_vec q JOIN item_vec i ON true)", "query_id", K), **_BERT, query_vec=_vectors_sql(R.SEARCHES, "query_id")),
@@ -384,7 +385,7 @@ ORACLES = {
     "tag_keywords": with_views(f"SELECT s.tag, coalesce(d.keyword, lower(s.tag)) AS keyword FROM ({_SAID_SQL}) s LEFT JOIN dictionary d USING (tag)"),
     "report_personalised": with_views("SELECT * FROM report", **_REPORT),
     "reason_pills": with_views(
-        "SELECT user_id, item_id, concat_ws('; ', CASE WHEN t IS NOT NULL THEN 'matches ' || t END, CASE WHEN personalization_score > 0.12 THEN 'personalised +' || printf('%.2f', personalization_score) END, CASE WHEN negative_score > 0.18 THEN 'dislikes -' || printf('%.2f', negative_score) END) AS pills FROM report LEFT JOIN best USING (user_id, item_id)", **_REPORT,
+        f"SELECT user_id, item_id, concat_ws('; ', CASE WHEN t IS NOT NULL THEN 'matches ' || t END, CASE WHEN personalization_score > 0.12 THEN 'personalised +' || {_HUNDREDTHS.format('personalization_score')} END, CASE WHEN negative_score > 0.18 THEN 'dislikes -' || {_HUNDREDTHS.format('negative_score')} END) AS pills FROM report LEFT JOIN best USING (user_id, item_id)", **_REPORT,
         best="SELECT user_id, item_id, string_agg(tag, ' / ' ORDER BY rank) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY score DESC, tag) AS rank FROM (SELECT user_id, item_id, tag, round(raw * weight, 6) AS score FROM report JOIN tag_scores USING (item_id) JOIN weights USING (user_id, tag)) QUALIFY rank <= 2) WHERE score >= 0.08 GROUP BY user_id, item_id",
     ),
     "chat_responses": "SELECT p_partkey AS item_id, 'You are looking for ' || concat_ws(' ', concat_ws(', ', p_brand, CASE WHEN p_size > 25 THEN p_name END), p_type) || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' for ' || lower(p_brand) END || '.' || CASE WHEN p_size % 3 > 0 THEN ' Found ' || (p_size % 3) || ' matching items.' ELSE ' Nothing matches; try other words or fewer conditions.' END AS response FROM part",
