@@ -263,3 +263,26 @@ def test_negatives_of_many_bins(spark, monkeypatch):
         want += [(user, positive, n, k + 1) for k, (*_, n) in enumerate(free[:4])]
     got = [tuple(r) for r in profiles.hashed_negatives(positives, items, history, 4).select("user_id", "positive", "item_id", "place").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_merged_feedback_keeps_the_latest_known_values(spark, tmp_path):
+    from brambleflow.streaming.interest_stream import merged_feedback
+
+    schema = "user_id string, item_id string, ts long, event_id long, liked boolean, rating int, comment_text string"
+    first = [("u", "a", 1, 1, True, None, "good"), ("u", "b", 1, 2, False, 1, None)]
+    second = [("u", "a", 2, 3, None, 4, None), ("v", "a", 2, 4, True, None, None)]
+    for name, part in (("1", first), ("2", second)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    whole = spark.createDataFrame(first + second, schema)
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("1", "2"):
+        for file in (tmp_path / name).glob("*.parquet"):
+            file.rename(source / f"{name}-{file.name}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = merged_feedback(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    last = max((tmp_path / "out").glob("v=*"), key=lambda p: int(p.name[2:]))
+    columns = ["user_id", "item_id", "liked", "rating", "comment_text"]
+    assert rows(spark.read.parquet(str(last)).select(columns), "user_id", "item_id") == rows(feedback.latest_feedback(whole).select(columns), "user_id", "item_id")
