@@ -46,12 +46,14 @@ from .textblocks import BASE, blocks, mixed, powers, spans_of
 #: Places of one anchor, copies of a text counted once, above which its windows are dealt one by one.
 HOT_PLACES = 2_000
 #: Windows and bytes of whole texts that a group remembers before it starts afresh.
-SEEN_WINDOWS, SEEN_BYTES = 1 << 18, 1 << 24
+SEEN_WINDOWS, SEEN_BYTES = 1 << 17, 1 << 23
 #: Bytes of a block of texts, so that its figures stay in the processor's cache.
 BLOCK = 1 << 17
 #: Anchors that a task holds before it passes them on.
 FLUSH = 1 << 18
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
+#: Places of anchors that a task holds before it reduces those of hot ones to one a group.
+HELD_ANCHORS = 1 << 21
 #: Parts of the anchors that a task takes one after another.
 PARTS_PER_TASK = 4
 #: Such anchors whose windows are dealt out at once.
@@ -156,26 +158,40 @@ def _anchors(length: int, parts: int):
     return run, "part int, vals binary, idx binary, docs binary"
 
 
-def _shared(hot: int):
+def _shared(hot: int, most: int = HELD_ANCHORS):
     """Over rows sorted by part: to each group of documents, the values that several texts hold, and which of these stand very often."""
 
-    def found(part: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
-        value, group, text, more = (np.concatenate(x) for x in zip(*held, strict=True))
+    def judged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Places sorted by value; the first place of each value, text and group; each value's number, and whether it is shared and hot."""
+        value, group, text, more, sure = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((group, more, text, value))
-        value, group, text, more = value[order], group[order], text[order], more[order]
+        value, group, text, more, sure = value[order], group[order], text[order], more[order], sure[order]
         first = np.append(True, value[1:] != value[:-1])
         fresh = first | np.append(True, (text[1:] != text[:-1]) | (more[1:] != more[:-1]))
         own = np.flatnonzero(fresh | np.append(True, group[1:] != group[:-1]))
         # A text's places are those of one of its copies: the fewest of a group.
         texts = np.minimum.reduceat(np.diff(np.append(own, len(value))), np.flatnonzero(fresh[own]))
         starts = np.flatnonzero(first[fresh])
-        several = np.diff(np.append(starts, len(texts))) > 1
-        many = np.add.reduceat(texts, starts) > hot
-        which = (np.cumsum(first) - 1)[own]
-        own, which = own[several[which]], which[several[which]]
+        known = np.logical_or.reduceat(sure, np.flatnonzero(first))
+        several = (np.diff(np.append(starts, len(texts))) > 1) | known
+        return value, group, text, more, own, np.cumsum(first) - 1, several, several & ((np.add.reduceat(texts, starts) > hot) | known)
+
+    def thinned(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        """Of values that are shared and hot already, one place a group."""
+        value, group, text, more, _, which, _, many = judged(held)
+        sure = many[which]
+        cold, warm = np.flatnonzero(~sure), np.flatnonzero(sure)
+        warm = warm[np.lexsort((group[warm], value[warm]))]
+        new = np.append(True, (value[warm][1:] != value[warm][:-1]) | (group[warm][1:] != group[warm][:-1]))[: len(warm)]
+        keep = np.concatenate([cold, warm[new]])
+        return [(value[keep], group[keep], text[keep], more[keep], sure[keep])]
+
+    def found(part: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
+        value, group, _, _, own, which, several, many = judged(held)
+        own = own[several[which[own]]]
         if not len(own):
             return None
-        to, key = group[own].astype(np.int32), (value[own].astype(np.uint64) << np.uint64(1)) | many[which].astype(np.uint64)
+        to, key = group[own].astype(np.int32), (value[own].astype(np.uint64) << np.uint64(1)) | many[which[own]].astype(np.uint64)
         order = np.lexsort((key, to))
         to, key = to[order], key[order]
         fresh = np.append(True, (to[1:] != to[:-1]) | (key[1:] != key[:-1]))
@@ -185,17 +201,22 @@ def _shared(hot: int):
         return pa.RecordBatch.from_arrays([pa.array(to[edges]), pa.array(np.full(len(edges), part, np.int32)), pa.array(blobs, pa.binary())], names=["g", "part", "keys"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
+        part, held, size, limit = None, [], 0, most
         for batch in batches:
             for p, v, i, d in zip(*(batch.column(c) for c in ("part", "vals", "idx", "docs")), strict=True):
                 if p.as_py() != part and held:
                     if (out := found(part, held)) is not None:
                         yield out
-                    held = []
+                    held, size, limit = [], 0, most
                 part = p.as_py()
                 docs = np.frombuffer(d.as_buffer(), np.int64).reshape(-1, 3)
                 index = np.frombuffer(i.as_buffer(), np.uint32 if len(docs) > 65535 else np.uint16)
-                held.append((np.frombuffer(v.as_buffer(), np.uint32), *docs[index].T))
+                held.append((np.frombuffer(v.as_buffer(), np.uint32), *docs[index].T, np.zeros(len(index), bool)))
+                size += len(index)
+                if size > limit:
+                    held = thinned(held)
+                    size = len(held[0][0])
+                    limit = max(most, 2 * size)
         if held and (out := found(part, held)) is not None:
             yield out
 

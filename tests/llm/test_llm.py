@@ -23,7 +23,7 @@ from brambleflow.llm.line_dedup import line_dedup
 from brambleflow.llm.media import decode_media, media_digests, payload_of, store_payloads
 from brambleflow.llm.pieces import MemoEncoder, decode_pieces, encode_pieces
 from brambleflow.llm.textblocks import blocks
-from brambleflow.llm.tokens import piece_encoder
+from brambleflow.llm.tokens import LONG_RUN, piece_encoder
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, row string, h1 string, keep string, kept string, id string, part string"
@@ -221,6 +221,23 @@ def test_suffix_dedup_survives_equal_hashes_of_texts(spark, monkeypatch, pairs):
     assert by_id(got) == by_id(run_suffix(rows))
 
 
+def test_hot_anchors_are_thinned_without_effect():
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(60):
+        n = int(rng.integers(1, 200))
+        docs = np.stack([rng.integers(0, 7, 12), rng.integers(0, 40, 12), rng.integers(0, 2, 12)], axis=1)
+        value = np.where(rng.random(n) < 0.6, rng.integers(0, 4, n), rng.integers(0, 300, n)).astype(np.uint32)
+        rows.append((int(len(rows) >= 40), value.tobytes(), rng.integers(0, 12, n).astype(np.uint16).tobytes(), docs.astype(np.int64).tobytes()))
+    columns = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "vals", "idx", "docs"])
+    for hot in (3, 40):
+        found = [[b.to_pylist() for b in suffix_dedup._shared(hot, most)[0](iter([batch.slice(i, 7) for i in range(0, 60, 7)]))] for most in (1 << 30, 100)]
+        assert found[0] == found[1] and len(found[0]) == 2
+        hots = np.concatenate([np.frombuffer(r["keys"], np.uint64) & np.uint64(1) for b in found[0] for r in b])
+        assert 0 < hots.sum() < len(hots)
+
+
 @pytest.mark.parametrize("chunk", [1 << 19, 700])
 def test_equal_keys_of_different_windows_are_told_apart(monkeypatch, chunk):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
@@ -536,7 +553,7 @@ def test_piece_encoder_equals_the_library():
     spaces = ["\t", "\n", " ", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\x1c", "\u180e"]
     for k in range(40):  # around the length from which runs are cut out
         c = rng.choice(spaces)
-        run = "".join(rng.choice([c, " ", rng.choice(spaces)]) if k % 2 else c for _ in range(rng.choice([4095, 4096, 4097, 9000])))
+        run = "".join(rng.choice([c, " ", rng.choice(spaces)]) if k % 2 else c for _ in range(rng.choice([LONG_RUN - 1, LONG_RUN, LONG_RUN + 1, 9000])))
         texts.append((rng.choice(["", "a", "é", ".", "日"]) + run + rng.choice(["", "a", " b", "é", ".", "<|endoftext|>"])) * rng.choice([1, 2]))
     texts += ["\n" * 1_000_000, "a" * 100_000, "hello <|endoftext|> world"]
     encoder = piece_encoder(BYTE_BPE)
