@@ -41,7 +41,7 @@ BLOCK = 1 << 17
 #: Cells of the table of hashed document frequencies, and the rows in which it is summed.
 CELLS, SLICES = 1 << 20, 64
 #: Terms in more than this part of a shard's documents have a row of weights over all its documents instead of postings.
-COMMON = 1 / 8
+COMMON = 1 / 16
 #: Tokens and documents at which a shard is closed.
 SHARD_TOKENS, SHARD_DOCS = 4 << 20, 8192
 #: Documents of one term that are dealt together.

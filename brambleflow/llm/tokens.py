@@ -17,7 +17,7 @@ import numpy as np
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of white space from which a run is cut out; the pattern's matcher goes back through a whole run on its stack.
-LONG_RUN = 4096
+LONG_RUN = 1 << 16
 _LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
