@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import keyed
-from .textblocks import BLOCK_BYTES, blocks
+from .textblocks import BASE, BLOCK_BYTES, blocks, span_hashes
 from .tokens import PATTERN
 
 #: Columns of the matrices; a longer pre-token goes over a heap.
 WIDTHS = (4, 8, 16, 32, 64, 128, 256)
 #: Rows of a matrix, so that it stays within the cache.
 MATRIX_ROWS = 1 << 12
-#: Pre-tokens and their bytes that a worker remembers before it starts afresh.
-MEMO_PIECES, MEMO_BYTES = 600_000, 1 << 24
+#: Pre-tokens and ids of theirs that a worker remembers before it starts afresh.
+MEMO_PIECES, MEMO_IDS = 1_000_000, 1 << 23
 NO_RANK = np.int32((1 << 31) - 1)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: A word that follows a space: a part may end before that space.
@@ -84,39 +84,44 @@ def character_classes(pattern: str = PATTERN) -> np.ndarray:
     return out
 
 
-class PairTable:
-    """Ranks of pairs of ids, in an open hash table: (left, right) to the merged token's id."""
+class HashTable:
+    """Whole numbers by 64-bit keys, with open addressing."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> None:
-        bits = max(4, int(4 * max(len(rank), 1) - 1).bit_length())
+    def __init__(self, most: int) -> None:
+        bits = max(4, (4 * max(most, 1) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
-        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = self._slots(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[at] < 0)
-            _, first = np.unique(at[free], return_index=True)
-            taken = free[first]
-            self.keys[at[taken]], self.ranks[at[taken]] = keys[taken], rank[taken]
-            keys, at, rank = np.delete(keys, taken), np.delete(at, taken), np.delete(rank, taken)
-            at = at + 1 & self.mask
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        return (keys * BASE >> self.shift).astype(np.int64)
 
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs, NO_RANK where they make no token (negative ids never do)."""
-        keys = (left.astype(np.int64) << 32 | right.astype(np.int64)).ravel()
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't in the table, at most as many as it was made for; values aren't negative."""
+        at = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.values[at] < 0)
+            taken = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[taken]], self.values[at[taken]] = keys[taken], values[taken]
+            rest = np.ones(len(keys), bool)
+            rest[taken] = False
+            keys, at, values = keys[rest], at[rest] + 1 & self.mask, values[rest]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 for keys that aren't there."""
         at = self._slots(keys)
-        here = self.keys[at]
-        out = np.where(here == keys, self.ranks[at], NO_RANK)
-        open_ = np.flatnonzero((here != keys) & (here >= 0) & (keys >= 0))
-        while len(open_):
-            at[open_] = at[open_] + 1 & self.mask
-            here, own = self.keys[at[open_]], keys[open_]
-            out[open_[here == own]] = self.ranks[at[open_[here == own]]]
-            open_ = open_[(here != own) & (here >= 0)]
-        return out.reshape(left.shape)
+        out = self.values[at]
+        rest = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(rest):
+            at[rest] = at[rest] + 1 & self.mask
+            out[rest] = self.values[at[rest]]
+            rest = rest[(out[rest] >= 0) & (self.keys[at[rest]] != keys[rest])]
+        return out
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class BytePairs:
@@ -130,10 +135,17 @@ class BytePairs:
             raise ValueError("a byte is no token")
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        splits = [(a, b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.pairs = PairTable(*(np.array(c, np.int32) for c in (zip(*splits, strict=True) if splits else ((), (), ()))))
+        splits = [(a << 32 | b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
+        self.table = HashTable(len(splits))
+        keys, ids = zip(*splits, strict=True) if splits else ((), ())
+        self.table.put(np.array(keys, np.uint64), np.array(ids, np.int32))
         self.classes = character_classes(pattern)
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NO_RANK where they make no token (negative ids never do)."""
+        found = self.table.get((left.astype(np.int64) << 32 | right.astype(np.int64)).ravel().view(np.uint64))
+        return np.where(found < 0, NO_RANK, found).reshape(left.shape)
+
     # Pre-tokens.
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -172,38 +184,40 @@ class BytePairs:
 
     # Merges.
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
-        """Ids of pre-tokens of at most ``width`` bytes, round by round."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        inside = np.arange(width) < size[:, None]
-        ids = np.full((len(pieces), width), -1, np.int32)
-        ids[inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+    def _matrix(self, data: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of at most ``width`` bytes, round by round, and how many each has."""
+        columns = np.arange(width)
+        inside = columns < size[:, None]
+        ids = np.where(inside, self.single[data[np.minimum(first[:, None] + columns, len(data) - 1)]], np.int32(-1))
         ranks = self.pairs(ids[:, :-1], ids[:, 1:])
-        own, out = np.arange(len(pieces)), [[]] * len(pieces)
+        own, out, n = np.arange(len(first)), np.empty((len(first), width), np.int32), np.zeros(len(first), np.int64)
         while len(own):
             rows = np.arange(len(own))
             place = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(own), np.int64)
             best = ranks[rows, place] if ranks.shape[1] else np.full(len(own), NO_RANK)
             ended = best == NO_RANK
             if ended.any():
-                for k, found, n in zip(own[ended].tolist(), ids[ended].tolist(), (ids[ended] >= 0).sum(1).tolist(), strict=True):
-                    out[k] = found[:n]
-                own, ids, ranks, place, best = own[~ended], ids[~ended], ranks[~ended], place[~ended], best[~ended]
+                out[own[ended], : ids.shape[1]] = ids[ended]
+                n[own[ended]] = size[own[ended]] - (width - ids.shape[1])
+                rest = ~ended
+                own, ids, ranks, place, best = own[rest], ids[rest], ranks[rest], place[rest], best[rest]
                 rows = np.arange(len(own))
-                if not len(own):
-                    break
+            if not len(own):
+                break
             ids[rows, place] = best
-            columns = np.arange(ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, columns + (columns > place[:, None]), 1)
-            columns = np.arange(ranks.shape[1] - 1)
-            ranks = np.take_along_axis(ranks, columns + (columns >= place[:, None]), 1)
+            stays = np.ones(ids.shape, bool)
+            stays[rows, place + 1] = False
+            ids = ids[stays].reshape(len(own), -1)
+            ranks = ranks[stays[:, 1:]].reshape(len(own), -1)
             for left in (place - 1, place):
                 there = np.flatnonzero((left >= 0) & (left < ranks.shape[1]))
                 ranks[there, left[there]] = self.pairs(ids[there, left[there]], ids[there, left[there] + 1])
-        return out
+        return out[columns < n[:, None]], n
 
     def _heap(self, piece: bytes) -> list[int]:
         """Ids of a long pre-token: the pairs wait in a heap by rank and place."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
         ids = self.single[np.frombuffer(piece, np.uint8)]
         first = self.pairs(ids[:-1], ids[1:])
         some = np.flatnonzero(first != NO_RANK)
@@ -225,66 +239,145 @@ class BytePairs:
                     heapq.heappush(waiting, (found, a))
         return [self.ranks[t] for t in tokens if t is not None]
 
-    def merged(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of distinct pre-tokens; one that is a token as a whole is that token."""
-        out: list[list[int]] = [[i] if (i := self.ranks.get(p)) is not None else [] for p in pieces]
-        rest = sorted((k for k, found in enumerate(out) if not found and pieces[k]), key=lambda k: len(pieces[k]))
-        sizes = [len(pieces[k]) for k in rest]
-        start = 0
+    def merged(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that aren't tokens as a whole, one after the other, and how many each has."""
+        size = last - first
+        order = np.argsort(size, kind="stable")
+        sizes, counts, flat, start = size[order], np.zeros(len(first), np.int64), [], 0
         for width in WIDTHS:
             stop = int(np.searchsorted(sizes, width, side="right"))
             for a in range(start, stop, MATRIX_ROWS):
-                own = rest[a : min(a + MATRIX_ROWS, stop)]
-                for k, ids in zip(own, self._matrix([pieces[k] for k in own], width), strict=True):
-                    out[k] = ids
+                own = order[a : min(a + MATRIX_ROWS, stop)]
+                ids, counts[own] = self._matrix(data, first[own], size[own], width)
+                flat.append(ids)
             start = stop
-        for k in rest[start:]:
-            out[k] = self._heap(pieces[k])
-        return out
+        for k in order[start:].tolist():
+            ids = self._heap(data[first[k] : last[k]].tobytes())
+            counts[k] = len(ids)
+            flat.append(np.array(ids, np.int32))
+        # Back from the order by size.
+        n = counts[order]
+        begins = np.empty(len(first), np.int64)
+        begins[order] = np.cumsum(n) - n
+        return (np.concatenate(flat) if flat else np.zeros(0, np.int32))[ragged(begins, counts)], counts
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class MemoPairs:
-    """Encodes blocks of texts, with a bounded memo of pre-tokens."""
+    """Encodes blocks of texts, with a bounded memo of pre-tokens by their hashes.
+
+    Every block is decoded again: where two pre-tokens share a hash, the bytes
+    differ from the block's, and it is encoded without the memo.
+    """
 
     def __init__(self, path: str) -> None:
         self.pairs = BytePairs(path)
-        self.ids: dict[bytes, bytes] = {}
-        self.back: dict[bytes, bytes] = {}
-        self.size = 0
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """For each text, its ids in decimal, a blank before each, and what they decode to."""
+        tokens = self.pairs.bytes_of
+        most = max(tokens) + 1
+        self.token_size = np.array([len(tokens.get(i, b"")) for i in range(most)], np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(most)), np.uint8)
+        #: Ids in decimal, a blank before each, padded on the right.
+        shown = [b" %d" % i for i in range(most)]
+        self.shown_size = np.array(list(map(len, shown)), np.int64)
+        width = int(self.shown_size.max())
+        self.shown = np.frombuffer(b"".join(x.ljust(width) for x in shown), np.uint8).reshape(most, width)
+        self.shown_inside = np.arange(width) < self.shown_size[:, None]
+        self._forget()
+
+    def _forget(self) -> None:
+        """A fresh memo holds the tokens themselves."""
+        self.table, self.entries, self.used = HashTable(MEMO_PIECES + len(self.token_size)), 0, 0
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.int32)
+        some = np.flatnonzero(self.token_size > 0)
+        first = self.token_start[some]
+        self._add(span_hashes(self.token_bytes, first, first + self.token_size[some]), some.astype(np.int32), np.ones(len(some), np.int64))
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Entries of distinct new keys."""
+        for name, need in (("start", self.entries + len(keys)), ("count", self.entries + len(keys)), ("flat", self.used + len(ids))):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
+        rows = slice(self.entries, self.entries + len(keys))
+        self.start[rows] = self.used + np.cumsum(counts) - counts
+        self.count[rows] = counts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.table.put(keys, np.arange(rows.start, rows.stop, dtype=np.int32))
+        self.entries, self.used = rows.stop, self.used + len(ids)
+
+    def _by_memo(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = span_hashes(data, first, last)
+        found = self.table.get(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, at = np.unique(keys[missing], return_index=True)
+            at = missing[at]
+            if self.entries + len(new) > MEMO_PIECES or self.used > MEMO_IDS:
+                self._forget()
+                if len(new) > MEMO_PIECES:
+                    return self._alone(data, first, last)
+                return self._by_memo(data, first, last)
+            self._add(new, *self.pairs.merged(data, first[at], last[at]))
+            found[missing] = self.table.get(keys[missing])
+        n = self.count[found]
+        return self.flat[ragged(self.start[found], n)], n
+
+    def _alone(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without hashes of pre-tokens."""
         raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        rest = np.array([k for k, p in enumerate(pieces) if p not in self.pairs.ranks], np.int64)
+        flat, counts = self.pairs.merged(data, first[rest], last[rest])
+        n = np.ones(len(pieces), np.int64)
+        n[rest] = counts
+        ids = np.array([self.pairs.ranks.get(p, -1) for p in pieces], np.int32)
+        out = np.repeat(ids, n)
+        out[ragged((np.cumsum(n) - n)[rest], counts)] = flat
+        return out, n
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        return self.token_bytes[ragged(self.token_start[ids], self.token_size[ids])]
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """A blank and the number, for each id."""
+        return self.shown[ids][self.shown_inside[ids]].tobytes()
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a block of texts, where each text's begin (n + 1), and the decoded bytes, which stand at the texts' offsets."""
         bounds = self.pairs.starts(data, offsets)
-        at = bounds.tolist()
-        pieces = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        if len(self.ids) > MEMO_PIECES or self.size > MEMO_BYTES:
-            self.ids.clear()
-            self.back.clear()
-            self.size = 0
-        new = list(set(pieces).difference(self.ids))
-        for piece, ids in zip(new, self.pairs.merged(new), strict=True):
-            self.ids[piece] = b"".join(b" %d" % i for i in ids)
-            self.back[piece] = self.pairs.decode(ids)
-            self.size += len(piece)
-        ids, back = list(map(self.ids.__getitem__, pieces)), list(map(self.back.__getitem__, pieces))
-        rows = np.searchsorted(bounds, offsets).tolist()
-        for a, b in zip(rows[:-1], rows[1:], strict=True):
-            yield b"".join(ids[a:b]), b"".join(back[a:b])
-
-    def parts(self, data: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """The same of one long text, part by part."""
+        first, last = bounds[:-1], bounds[1:]
+        ids, n = self._by_memo(data, first, last)
+        back = self.decoded(ids)
+        if not np.array_equal(back, data):
+            ids, n = self._alone(data, first, last)
+            back = self.decoded(ids)
+        return ids, np.append(0, np.cumsum(n))[np.searchsorted(bounds, offsets)], back
+
+    def parts(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and decoded bytes of one long text, part by part."""
         raw = data.tobytes()
         start = 0
         while start < len(raw):
             cut = _CUT.search(raw, start + BLOCK_BYTES)
             stop = cut.start() if cut else len(raw)
-            yield from self.encode(data[start:stop], np.array([0, stop - start]))
+            ids, _, back = self.encode(data[start:stop], np.array([0, stop - start]))
+            yield ids, back
             start = stop
 
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Iterable[tuple[np.ndarray, np.ndarray]]]:
+        """For each text of a block, its parts."""
+        if len(data) > 2 * BLOCK_BYTES:
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield self.parts(data[a:b])
+            return
+        ids, bounds, back = self.encode(data, offsets)
+        for a, b, x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield [(ids[a:b], back[x:y])]
+
 
 _encoders: dict[str, MemoPairs] = {}
 
@@ -300,22 +393,20 @@ def _encode(path: str, digest: bool):
         encoder = _encoder(path)
         for rows, data, offsets in blocks(batches):
             n, ids, back = [], [], []
-            whole = encoder.encode(data, offsets) if len(data) <= 2 * BLOCK_BYTES else None
-            for k in range(rows.num_rows):
-                parts = [next(whole)] if whole else encoder.parts(data[offsets[k] : offsets[k + 1]])
+            for parts in encoder.texts(data, offsets):
                 if digest:
                     count, own, text = 0, hashlib.sha256(), hashlib.sha256()
                     for found, raw in parts:
-                        own.update(found[not count :])
+                        own.update(encoder.decimals(found)[not count :])
                         text.update(raw)
-                        count += found.count(b" ")
+                        count += len(found)
                     n.append(count)
                     ids.append(own.hexdigest())
                     back.append(text.hexdigest())
                 else:
                     both = list(parts)
-                    ids.append([int(x) for found, _ in both for x in found.split()])
-                    back.append(b"".join(raw for _, raw in both))
+                    ids.append(np.concatenate([found for found, _ in both] or [np.zeros(0, np.int32)]))
+                    back.append(b"".join(raw.tobytes() for _, raw in both))
                     n.append(len(ids[-1]))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(n, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(back, pa.string() if digest else pa.binary())], names=["doc_id", "row", "n_tokens", "ids", "decoded"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .byte_pairs import encode_bytes_bpe
 from .common import table
 from .kdtree import exact_top_k
 from .licenses import scan_licenses
@@ -67,6 +68,11 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    out = encode_bytes_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality": op9_quality,
         "op10_pieces": op10_pieces,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 

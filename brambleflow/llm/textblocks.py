@@ -28,6 +28,7 @@ _ALNUM[ord("A") : ord("Z") + 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
+_VALUE = np.arange(1, 257, dtype=np.uint64)
 #: Bytes of words: everything but ASCII white space; digits, letters (A-Z are lower-cased) and everything beyond ASCII.
 WORD_BYTES = {"space": ~_SPACE, "alnum": _ALNUM}
 
@@ -102,14 +103,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased (A-Z) words, by prefix polynomial sums."""
+def _hashes(data: np.ndarray, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     if not len(first):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    own = _LOWER_VALUE[data]
+    own = values[data]
     own *= up[: len(data)]
     np.cumsum(own, out=sums[1:])
     raw = sums[last]
@@ -119,6 +119,16 @@ def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return mixed(raw)
 
 
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the lower-cased (A-Z) words, by prefix polynomial sums."""
+    return _hashes(data, _LOWER_VALUE, first, last)
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans' bytes as they are."""
+    return _hashes(data, _VALUE, first, last)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; the i-th starts at word i (rows are not told apart here)."""
     n = len(words) - k + 1
