@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .byte_pairs import encode_bytes_bpe
 from .common import table
+from .importance import importance_resample
 from .kdtree import exact_top_k
 from .licenses import scan_licenses
 from .line_dedup import line_dedup
@@ -68,6 +69,11 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    out = importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5, least_words=20, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = encode_bytes_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality": op9_quality,
         "op10_pieces": op10_pieces,
+        "op11_importance": op11_importance,
         "op13_byte_bpe": op13_byte_bpe,
     }
 

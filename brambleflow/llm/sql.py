@@ -90,9 +90,52 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coales
 FROM sized LEFT JOIN cut USING (doc_id)
 """
 
+#: CRC-32 of a list of bytes b, byte by byte with the table t.
+CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)))"
+
+IMPORTANCE = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT true AS own, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark
+), words AS (
+  SELECT own, id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), one AS (
+  SELECT own, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words
+), runs AS (
+  SELECT own, id, w AS a, w || ' ' || lead(w, 1) OVER o AS b, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS c FROM one WINDOW o AS (PARTITION BY own, id ORDER BY i)
+), features AS (
+  SELECT own, id, a AS f FROM runs UNION ALL SELECT own, id, b FROM runs WHERE b IS NOT NULL UNION ALL SELECT own, id, c FROM runs WHERE c IS NOT NULL
+), counted AS (
+  SELECT own, id, f, count(*) AS n FROM features GROUP BY ALL
+), bytes AS (
+  SELECT f, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted))
+), buckets AS (
+  SELECT f, {CRC} % 10000 AS bucket FROM bytes, crc
+), cells AS (
+  SELECT own, id, bucket, sum(n)::BIGINT AS n FROM counted JOIN buckets USING (f) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0)::DOUBLE AS t FROM cells GROUP BY bucket
+), whole AS (
+  SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM sums
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM sums, whole
+), weights AS (
+  SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM cells JOIN gains USING (bucket) WHERE own GROUP BY id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM documents JOIN words ON own AND words.id = doc_id LEFT JOIN weights ON weights.id = doc_id
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op5_top_k": TOP_K,
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op8_suffix_dedup": SUFFIX_DEDUP,
+    "op11_importance": IMPORTANCE,
 }

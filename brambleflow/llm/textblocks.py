@@ -25,9 +25,9 @@ _ALNUM = np.ones(256, bool)
 for _low, _high in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
     _ALNUM[_low : _high + 1] = False
 _ALNUM[ord("A") : ord("Z") + 1] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_LOWER_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER_VALUE = LOWER.astype(np.uint64) + np.uint64(1)
 _VALUE = np.arange(1, 257, dtype=np.uint64)
 #: Bytes of words: everything but ASCII white space; digits, letters (A-Z are lower-cased) and everything beyond ASCII.
 WORD_BYTES = {"space": ~_SPACE, "alnum": _ALNUM}
