@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import keyed
-from .textblocks import BASE, BLOCK_BYTES, blocks, span_hashes
+from .textblocks import BASE, BLOCK_BYTES, blocks, ragged, span_hashes
 from .tokens import PATTERN
 
 #: Columns of the matrices; a longer pre-token goes over a heap.
@@ -118,12 +118,6 @@ class HashTable:
         return out
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of runs, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
 class BytePairs:
     """A byte-level vocabulary given by ranks: a token's rank is its id."""
 

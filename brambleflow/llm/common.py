@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again.
 
     A lost executor then costs the tasks it was running, never what stands
@@ -40,7 +40,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     cleanup = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         if cleanup is None:
             spark.conf.unset(SHUFFLE_CLEANUP)

@@ -21,6 +21,7 @@ from .packing import WINDOW, retrieval_packing
 from .pieces import encode_pieces
 from .quality import score_quality, train_quality
 from .suffix_dedup import suffix_dedup
+from .tiers import ranked_search
 from .wrappers import extract_main_text
 
 
@@ -74,6 +75,10 @@ def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = encode_bytes_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_pieces": op10_pieces,
         "op11_importance": op11_importance,
+        "op12_ranked_search": op12_ranked_search,
         "op13_byte_bpe": op13_byte_bpe,
     }
 

@@ -132,10 +132,33 @@ WITH crc AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """
 
+RANKED_SEARCH = f"""
+WITH words AS (
+  SELECT own, id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: translate(w, '{UPPER}', '{LOWER}'))) AS term
+  FROM (SELECT true AS own, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark)
+), counted AS (
+  SELECT own, id, term, count(*)::BIGINT AS tf FROM words GROUP BY ALL
+), sizes AS (
+  SELECT id, sum(tf)::BIGINT AS n FROM counted WHERE own GROUP BY id
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes
+), frequencies AS (
+  SELECT term, count(*)::BIGINT AS df FROM counted WHERE own GROUP BY term
+), weights AS (
+  SELECT id AS item_id, term, tf * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM counted JOIN frequencies USING (term), corpus WHERE NOT own
+), postings AS (
+  SELECT id AS doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)) AS impact FROM counted JOIN sizes USING (id), corpus WHERE own
+), scored AS (
+  SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score FROM weights JOIN postings USING (term) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op5_top_k": TOP_K,
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op8_suffix_dedup": SUFFIX_DEDUP,
     "op11_importance": IMPORTANCE,
+    "op12_ranked_search": RANKED_SEARCH,
 }
