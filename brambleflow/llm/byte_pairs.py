@@ -43,8 +43,8 @@ MATRIX_ROWS = 1 << 12
 MEMO_PIECES, MEMO_IDS = 1_000_000, 1 << 23
 NO_RANK = np.int32((1 << 31) - 1)
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: A word that follows a space: a part may end before that space.
-_CUT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: White space after a character that is none: no pre-token crosses it, so a part may end there.
+_CUT = re.compile(rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=\xe3\x80[\x81-\xbf])|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=[\xe4-\xef][\x80-\xbf]{2}))[ \t\n\r]")
 #: What follows an apostrophe as a pre-token of its own.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
@@ -289,6 +289,7 @@ class MemoPairs:
         some = np.flatnonzero(self.token_size > 0)
         first = self.token_start[some]
         self._add(span_hashes(self.token_bytes, first, first + self.token_size[some]), some.astype(np.int32), np.ones(len(some), np.int64))
+        self.tokens = self.entries
 
     def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Entries of distinct new keys."""
@@ -311,9 +312,9 @@ class MemoPairs:
             new, at = np.unique(keys[missing], return_index=True)
             at = missing[at]
             if self.entries + len(new) > MEMO_PIECES or self.used > MEMO_IDS:
-                self._forget()
-                if len(new) > MEMO_PIECES:
+                if self.entries == self.tokens:  # more than a fresh memo holds
                     return self._alone(data, first, last)
+                self._forget()
                 return self._by_memo(data, first, last)
             self._add(new, *self.pairs.merged(data, first[at], last[at]))
             found[missing] = self.table.get(keys[missing])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop_settled, settle, text_of
-from .textblocks import LOWER, blocks, word_bounds
+from .textblocks import BLOCK_BYTES, LOWER, blocks, word_bounds, word_slices
 
 BUCKETS, MOST_WORDS = 10_000, 3
 #: The least words of a document that may be drawn, and the share that is drawn, in percent.
@@ -73,8 +73,11 @@ def crc_of_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, begun: n
     return crc
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows and buckets of all features of a block of texts, and the words of each row."""
+def _features(data: np.ndarray, offsets: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and buckets of all features of a block of texts, and the words of each row.
+
+    Features that end within the block's first ``known`` words are left out.
+    """
     first, last, bounds = word_bounds(data, offsets, "alnum")
     n_words = np.diff(bounds)
     row = np.repeat(np.arange(len(n_words)), n_words)
@@ -92,12 +95,28 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             break
         crc = crc_of_spans(lower, begins, ends) if n == 0 else crc_of_spans(lower, begins[n:] - 1, ends[n:], crc[:-1])
         inside = row[: len(crc)] == row[n:]
+        inside[: max(known - n, 0)] = False
         rows.append(row[: len(crc)][inside])
         buckets.append((crc[inside] % BUCKETS).astype(np.int64))
     none = np.zeros(0, np.int64)
     return np.concatenate(rows or [none]), np.concatenate(buckets or [none]), n_words
 
 
+def _long_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of a long text's features and their counts, and its words, part by part; a part begins with the words before it that its features need."""
+    total, n_words, carried, known = np.zeros(BUCKETS, np.int64), 0, b"", 0
+    for part, _ in word_slices(data, np.array([0, len(data)])):
+        own = np.frombuffer(carried + part.tobytes(), np.uint8)
+        _, bucket, n = _features(own, np.array([0, len(own)]), known)
+        total += np.bincount(bucket, minlength=BUCKETS)
+        n_words += int(n[0]) - known
+        first, last, _ = word_bounds(own, np.array([0, len(own)]), "alnum")
+        known = min(MOST_WORDS - 1, len(first))
+        carried = b"".join(own[a:b].tobytes() + b" " for a, b in zip(first[len(first) - known :].tolist(), last[len(first) - known :].tolist(), strict=True))
+    some = np.flatnonzero(total)
+    return some, total[some], n_words
+
+
 def _least(values: np.ndarray) -> np.ndarray:
     """In the smallest unsigned type that holds them; its width is what the bytes say."""
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
@@ -121,8 +140,12 @@ def _csr_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names=["block", "doc_ids", "n_words", "starts", "buckets", "counts"])
 
     for rows, data, offsets in blocks(batches):
-        row, bucket, n_words = _features(data, offsets)
-        keys, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+        if rows.num_rows == 1 and len(data) > 2 * BLOCK_BYTES:
+            keys, n, own = _long_features(data)
+            n_words = np.array([own])
+        else:
+            row, bucket, n_words = _features(data, offsets)
+            keys, n = np.unique(row * BUCKETS + bucket, return_counts=True)
         ids += rows.column("doc_id").to_pylist()
         words.append(n_words)
         sizes.append(np.bincount(keys // BUCKETS, minlength=rows.num_rows))

@@ -77,6 +77,25 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     return first, last, np.searchsorted(first, offsets)
 
 
+def word_slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A block as it is, or a long text in parts that end between words."""
+    if len(offsets) > 2 or len(data) <= 2 * BLOCK_BYTES:
+        yield data, offsets
+        return
+    start = 0
+    while start < len(data):
+        stop = start + BLOCK_BYTES
+        while stop < len(data):
+            other = np.flatnonzero(~WORD_BYTES["alnum"][data[stop : stop + BLOCK_BYTES]])
+            if len(other):
+                stop += int(other[0])
+                break
+            stop += BLOCK_BYTES
+        stop = min(stop, len(data))
+        yield data[start:stop], np.array([0, stop - start])
+        start = stop
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs, one after the other."""
     ends = np.cumsum(sizes)

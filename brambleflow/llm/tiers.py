@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop_settled, settle, text_of
-from .textblocks import BLOCK_BYTES, WORD_BYTES, blocks, ragged, word_bounds, word_hashes
+from .textblocks import BLOCK_BYTES, blocks, ragged, word_bounds, word_hashes, word_slices
 
 #: Bytes and documents of a shard, about; a document is never cut.
 SHARD_BYTES, SHARD_DOCS = 1 << 23, 1 << 16
@@ -74,30 +74,11 @@ def _runs(hashes: np.ndarray, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return hashes[begins], rows[begins], np.add.reduceat(n, begins)
 
 
-def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A block as it is, or a long text in parts that end between words."""
-    if len(offsets) > 2 or len(data) <= 2 * BLOCK_BYTES:
-        yield data, offsets
-        return
-    start = 0
-    while start < len(data):
-        stop = start + BLOCK_BYTES
-        while stop < len(data):
-            other = np.flatnonzero(~WORD_BYTES["alnum"][data[stop : stop + BLOCK_BYTES]])
-            if len(other):
-                stop += int(other[0])
-                break
-            stop += BLOCK_BYTES
-        stop = min(stop, len(data))
-        yield data[start:stop], np.array([0, stop - start])
-        start = stop
-
-
 def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = total = 0
     for _, data, offsets in blocks(batches):
         words = np.zeros(len(offsets) - 1, np.int64)
-        for part, own in _slices(data, offsets):
+        for part, own in word_slices(data, offsets):
             words += np.diff(word_bounds(part, own, "alnum")[2])
         n += int((words > 0).sum())
         total += int(words.sum())
@@ -136,15 +117,15 @@ def _shard_row(number: int, ids: list, entries: list, words: np.ndarray, n: int,
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _shards(n: int, total: int):
+def _shards(n: int, total: int, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         entries, words, size = [], [], 0
-        for rows, data, offsets in blocks(batches):
-            if ids and (size + len(data) > SHARD_BYTES or len(ids) + rows.num_rows > SHARD_DOCS):
+        for rows, data, offsets in blocks(batches, limit=min(BLOCK_BYTES, most)):
+            if ids and (size + len(data) > most or len(ids) + rows.num_rows > SHARD_DOCS):
                 yield _shard_row(number, ids, entries, np.concatenate(words), n, total)
                 number, ids, entries, words, size = number + 1, [], [], [], 0
             for a in range(0, rows.num_rows, SHARD_DOCS):  # a block of very short texts
@@ -153,7 +134,7 @@ def _shards(n: int, total: int):
                     yield _shard_row(number, ids, entries, np.concatenate(words), n, total)
                     number, ids, entries, words, size = number + 1, [], [], [], 0
                 own = np.zeros(len(some) - 1, np.int64)
-                for part, within in _slices(data[some[0] : some[-1]], some - some[0]):
+                for part, within in word_slices(data[some[0] : some[-1]], some - some[0]):
                     hashes, row, tf, n_words = _term_counts(part, within)
                     entries.append((hashes, row + len(ids), tf))
                     own += n_words
@@ -186,12 +167,12 @@ def open_index(spark: SparkSession, path: str) -> TieredIndex:
     return TieredIndex(spark.read.parquet(f"{path}/shards"), corpus["n"], corpus["words"])
 
 
-def build_index(docs: DataFrame) -> TieredIndex:
+def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> TieredIndex:
     """The index of documents (doc_id, text), settled in the shared folder."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     whole = own.mapInArrow(_sizes, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     n, words = int(whole[0]), int(whole[1])
-    return TieredIndex(settle(own.mapInArrow(*_shards(n, max(words, 1))), "tiers", "zstd"), n, words)
+    return TieredIndex(settle(own.mapInArrow(*_shards(n, max(words, 1), shard_bytes)), "tiers", "zstd"), n, words)
 
 
 # Search.

@@ -861,7 +861,7 @@ def test_equals_sql(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = duck.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
