@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import averaged, cosine, dot, normalized, summed
+from ..functions.vectors import doubles
 from .ranking import last_n, ranked
 
 HISTORY = 50
@@ -39,6 +43,71 @@ def token_overlap(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataF
     return out.withColumn("overlap", F.coalesce(F.col("shared") / F.col("size"), F.lit(0.0))).drop("shared", "size")
 
 
+#: Candidates of a user that are scored together.
+_TOGETHER = 512
+
+
+def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as rows of a matrix (zeros for null), and which are there."""
+    there = np.asarray(column.is_valid())
+    out = np.zeros((len(column), size))
+    if there.any():
+        out[there] = np.asarray(column.drop_null().flatten(), np.float64).reshape(-1, size)
+    return out, there
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row; 0 where a row is zero."""
+    n = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.divide((a * b).sum(1), n, out=np.zeros(len(n)), where=n > 0)
+
+
+def _against_history(sizes: dict[str, int], names: list[str]):
+    """Figures of each user's candidates, by matrix products with the vectors of the history."""
+
+    def figures(row: dict, own: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {}
+        n = len(next(iter(own.values()))[0])
+        for m, (raw, unit, there) in own.items():
+            seen = row[m]
+            none = np.full(n, np.nan)
+            if not len(seen):
+                out |= {f"{m}_{x}": none for x in ("max", "mean", "min", "std")} | {f"{m}_attention": np.zeros(n)}
+                if m == "multi":
+                    out |= {"attention_std": none, "attention_max": none, "user_avg_sim": np.zeros(n)}
+                continue
+            s = (unit if m == "multi" else raw) @ seen.T
+            w = np.maximum(unit @ seen.T, 0)
+            total, mean = w.sum(1), seen.mean(0)
+            for x, value in (("max", s.max(1)), ("mean", s.mean(1)), ("min", s.min(1)), ("std", s.std(1))):
+                out[f"{m}_{x}"] = value if m == "multi" else np.where(there, value, np.nan)
+            out[f"{m}_attention"] = _cosines(np.where(total[:, None] > 0, w @ seen, mean), unit)
+            if m == "multi":
+                some = np.where(total > 0, total, 1.0)
+                out |= {"attention_std": np.where(total > 0, w.std(1) / some, 0.0), "attention_max": np.where(total > 0, w.max(1) / some, 1 / len(seen)), "user_avg_sim": _cosines(np.broadcast_to(mean, unit.shape), unit)}
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cands = batch.column("cands")[i].values
+                own = {}
+                for m, size in sizes.items():
+                    raw, there = _matrix(cands.field(f"raw_{m}"), size)
+                    length = np.sqrt((raw * raw).sum(1))
+                    own[m] = raw, raw / np.where(length > 0, length, 1)[:, None], there
+                seen = {}
+                for m, size in sizes.items():
+                    raw, _ = _matrix(batch.column(f"h_{m}")[i].values, size)
+                    length = np.sqrt((raw * raw).sum(1))
+                    seen[m] = raw / np.where(length > 0, length, 1)[:, None]
+                found = figures(seen, own)
+                user = pa.array([batch.column("user_id")[i].as_py()] * len(cands), pa.string())
+                yield pa.RecordBatch.from_arrays([user, cands.field("item_id"), *(pa.array(found[x], pa.float64(), from_pandas=True) for x in names)], names=["user_id", "item_id", *names])
+
+    return run
+
+
 def history_similarities(pairs: DataFrame, history: DataFrame, features: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Per pair and modality: max, mean, min, deviation of the similarities to the latest items, and attention figures.
 
@@ -47,31 +116,20 @@ def history_similarities(pairs: DataFrame, history: DataFrame, features: DataFra
     the candidate's text and image vectors are taken as they are, elsewhere it
     has length one, too.  Attention is the cosine of the candidate with the
     history pooled by the positive parts of the products.
+
+    A user's latest vectors (HISTORY at most) meet their candidates in parts of
+    about _TOGETHER, so no vector is copied for each pair.
     """
-    own = last_n(history, HISTORY).select("user_id", F.col("item_id").alias("seen"))
-    own = own.join(features.select(F.col("item_id").alias("seen"), *(normalized(F.col(f"{m}_vec")).alias(f"h_{m}") for m in sizes)), "seen")
+    own = last_n(history, HISTORY).select("user_id", F.col("item_id").alias("seen")).join(features.select(F.col("item_id").alias("seen"), *(doubles(F.col(f"{m}_vec")).alias(f"h_{m}") for m in sizes)), "seen")
+    seen = own.groupBy("user_id").agg(*(F.collect_list(f"h_{m}").alias(f"h_{m}") for m in sizes))
+    asked = pairs.select("user_id", "item_id").distinct()
+    parts = asked.groupBy("user_id").agg(F.ceil(F.count("*") / _TOGETHER).alias("parts"))
+    dealt = asked.join(parts, "user_id").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts"))
+    candidates = features.select("item_id", *(doubles(F.col(f"{m}_vec")).alias(f"raw_{m}") for m in sizes))
     # A candidate without a whole vector counts as a zero vector there.
-    candidates = features.select("item_id", *(normalized(F.col(f"{m}_vec")).alias(f"c_{m}") for m in sizes), *(F.col(f"{m}_vec").alias(f"raw_{m}") for m in sizes))
-    met = pairs.select("user_id", "item_id").join(candidates, "item_id", "left").join(own, "user_id")
-    for m in sizes:
-        met = met.withColumn(f"s_{m}", dot(F.col(f"h_{m}"), F.col("c_multi" if m == "multi" else f"raw_{m}")))
-        if m == "multi":
-            met = met.withColumn(f"s_{m}", F.when(F.col(f"h_{m}").isNotNull(), F.coalesce(f"s_{m}", F.lit(0.0))))
-        met = met.withColumn(f"w_{m}", F.when(F.col(f"h_{m}").isNotNull(), F.greatest(F.coalesce(dot(F.col(f"h_{m}"), F.col(f"c_{m}")), F.lit(0.0)), F.lit(0.0))))
-    aggregates = []
-    for m, size in sizes.items():
-        s = F.col(f"s_{m}")
-        aggregates += [F.max(s).alias(f"{m}_max"), F.avg(s).alias(f"{m}_mean"), F.min(s).alias(f"{m}_min"), F.stddev_pop(s).alias(f"{m}_std")]
-        aggregates += [summed(F.col(f"h_{m}"), size, F.col(f"w_{m}")).alias(f"p_{m}"), averaged(F.col(f"h_{m}"), size).alias(f"a_{m}"), F.first(f"c_{m}").alias(f"c_{m}"), F.sum(f"w_{m}").alias(f"t_{m}")]
-    total = F.sum("w_multi")
-    aggregates += [
-        F.when(total > 0, F.stddev_pop("w_multi") / total).otherwise(F.when(F.count("w_multi") > 0, 0.0)).alias("attention_std"),
-        F.when(total > 0, F.max("w_multi") / total).otherwise(1 / F.nullif(F.count("w_multi"), F.lit(0))).alias("attention_max"),
-    ]
-    out = met.groupBy("user_id", "item_id").agg(*aggregates)
-    pooled = lambda m: F.when(F.col(f"t_{m}") > 0, F.col(f"p_{m}")).otherwise(F.col(f"a_{m}"))
-    out = out.select("*", *(cosine(pooled(m), F.col(f"c_{m}")).alias(f"{m}_attention") for m in sizes), cosine(F.col("a_multi"), F.col("c_multi")).alias("user_avg_sim"))
-    return out.drop(*(f"{x}_{m}" for m in sizes for x in "patc"))
+    met = dealt.join(candidates, "item_id", "left").groupBy("user_id", "part").agg(F.collect_list(F.struct("item_id", *(f"raw_{m}" for m in sizes))).alias("cands")).join(seen, "user_id")
+    names = [f"{m}_{x}" for m in sizes for x in ("max", "mean", "min", "std", "attention")] + ["attention_std", "attention_max", "user_avg_sim"]
+    return met.mapInArrow(_against_history(sizes, names), ", ".join(["user_id string, item_id string", *(f"{x} double" for x in names)]))
 
 
 def ltr_features(pairs: DataFrame, history: DataFrame, features: DataFrame, sizes: dict[str, int]) -> DataFrame:

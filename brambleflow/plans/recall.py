@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hashed_vector, item_text
 from ..functions.vectors import cosine, fused, rounded, text_query_fused
-from ..operators import bm25, dense, fusion, ltr, profiles, rerank
+from ..operators import bm25, dense, fusion, lambdamart, ltr, profiles, rerank
 from ..operators.ranking import last_n, unseen
 from . import views as V
 from .views import TEXT_SIZE, with_views
@@ -106,11 +106,11 @@ def two_tower_clustered_recall(spark: SparkSession, d: str) -> DataFrame:
     return _two_towers(V.history(spark, d), kmeans_interests(spark, d), V.features(spark, d))
 
 
-def user_candidates(spark: SparkSession, d: str) -> DataFrame:
+def user_candidates(spark: SparkSession, d: str, k: int = POOL) -> DataFrame:
     """Recall for all users from their train history, without what that holds."""
     f = V.features(spark, d)
     train, truth = profiles.leave_last_n(V.history(spark, d))
-    found = _two_towers(train, profiles.interest_set(train, _vectors(f, "text_vec"), TEXT_SIZE), f, POOL)
+    found = _two_towers(train, profiles.interest_set(train, _vectors(f, "text_vec"), TEXT_SIZE), f, k)
     return unseen(found.join(truth.select("user_id").distinct(), "user_id", "left_semi"), train)
 
 
@@ -218,11 +218,17 @@ def ltr24_features(spark: SparkSession, d: str) -> DataFrame:
     return _ltr_rows(spark, d)
 
 
+def ltr_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of labelled candidates: the rows of a training matrix."""
+    _, truth = profiles.leave_last_n(V.history(spark, d))
+    return ltr.training_matrix(user_candidates(spark, d, ltr.USER_CANDIDATES), truth)
+
+
 def ltr_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Groups of labelled candidates with their features."""
     f = V.features(spark, d).withColumnRenamed("v", "multi_vec")
-    train, truth = profiles.leave_last_n(V.history(spark, d))
-    rows = ltr.training_matrix(user_candidates(spark, d), truth, most_rows=4000, each=20)
+    train, _ = profiles.leave_last_n(V.history(spark, d))
+    rows = ltr_groups(spark, d)
     return rows.select("user_id", "item_id", "label", "group_size").join(ltr.ltr_features(rows.select("user_id", "item_id", "recall_score"), train, f, SIZES), ["user_id", "item_id"])
 
 
@@ -296,6 +302,12 @@ def gbt_ltr(spark: SparkSession, d: str) -> DataFrame:
     return ltr.boosted_order(_fitted(rows, lambda x: ltr.boosted_ranker(x, ltr.LTR)), rows.where(ltr.held_out()), K)
 
 
+def lambdamart_ltr(spark: SparkSession, d: str) -> DataFrame:
+    """LambdaMART fitted on the same groups, applied to the same held-out users."""
+    rows = ltr_matrix(spark, d)
+    return lambdamart.lambdamart_order(_fitted(rows, lambda x: lambdamart.train_lambdamart(x, ltr.LTR)), rows.where(ltr.held_out()), K)
+
+
 def gbt_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the boosted order and of the recall order over the held-out users' groups."""
     from ..operators import evaluation
@@ -314,7 +326,7 @@ QUERIES = {
     for f in (
         bm25_search_topk, bm25_user_recommend, doc_freq, token_overlap, dense_topk_cosine, lsh_topk, fusion_concat_norm, vector_mean_profile, short_long_hybrid_profile, kmeans_interests,
         two_tower_user_recall, two_tower_clustered_recall, user_candidates, training_candidates, hard_negatives, proxy_recall_maxmerge, rerank_two_signal, rerank_attention4, rerank_attention3_clipped, rerank_text_attention, attention_pool_score, rerank_user_cosine,
-        ltr24_features, ltr_matrix, pairwise15_features, lr_rerank, lr_weighted_rerank, gbt_ltr, gbt_ndcg,
+        ltr24_features, ltr_groups, ltr_matrix, lambdamart_ltr, pairwise15_features, lr_rerank, lr_weighted_rerank, gbt_ltr, gbt_ndcg,
     )
 } | {f"fusion_{m}": _fused(m) for m in fusion.MODES}
 
@@ -451,7 +463,18 @@ def two_tower_views(source: str, k: int) -> dict[str, str]:
     }
 
 
-_CANDIDATES = _TRAINED | two_tower_views("recent", POOL) | {"candidates": "SELECT c.* FROM towers c WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = c.user_id AND t.item_id = c.item_id) AND user_id IN (SELECT user_id FROM truth)"}
+def _candidates_sql(k: int) -> dict[str, str]:
+    """Views up to ``candidates``, those of users that have a truth, without their train items."""
+    return _TRAINED | two_tower_views("recent", k) | {"candidates": "SELECT c.* FROM towers c ANTI JOIN (SELECT DISTINCT user_id, item_id FROM train) t USING (user_id, item_id) SEMI JOIN (SELECT DISTINCT user_id FROM truth) u USING (user_id)"}
+
+
+_CANDIDATES = _candidates_sql(POOL)
+_GROUPS = _candidates_sql(ltr.USER_CANDIDATES) | {
+    "grouped": "SELECT user_id, count(*) AS group_size FROM candidates GROUP BY user_id",
+    "taken": f"SELECT user_id, group_size FROM grouped QUALIFY coalesce(sum(group_size) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {ltr.MATRIX_ROWS}",
+    "wanted": "SELECT DISTINCT user_id, item_id FROM truth",
+    "rows_": "SELECT c.user_id, c.item_id, c.score AS recall_score, c.rank, (w.item_id IS NOT NULL)::INT::DOUBLE AS label, group_size FROM candidates c JOIN taken USING (user_id) LEFT JOIN wanted w ON w.user_id = c.user_id AND w.item_id = c.item_id",
+}
 _RECALLED = "SELECT p.user_id, p.item_id, coalesce(score, 0) AS recall_score FROM pairs p LEFT JOIN candidates c ON c.user_id = p.user_id AND c.item_id = p.item_id"
 _TRAIN_LISTS = _TRAINED | bm25_views("SELECT item_id, title AS text FROM items", USER_TEXT.replace("pos <= 5", "pos <= 10").format("recent")) | profile_views("recent") | {
     "near_i": "SELECT *, row_number() OVER (PARTITION BY user_id, number ORDER BY score DESC, item_id) AS r FROM (SELECT user_id, number, f.item_id, round(" + cos("i.v", "f.text_vec") + ", 6) AS score FROM interests i JOIN features f ON true) QUALIFY r <= 30",
@@ -546,13 +569,9 @@ ORACLES = {
     "attention_pool_score": with_views(f"SELECT user_id, item_id, round(coalesce({cos('o.p', 'o.c')}, 0), 6) AS attention FROM pairs LEFT JOIN pooled o USING (user_id, item_id)", **_ATTENTION),
     "rerank_user_cosine": with_views(top(f"(SELECT p.user_id, p.item_id, {cos('u.hybrid_vec', 'f.text_vec')} AS score FROM pairs p JOIN profiles u USING (user_id) JOIN features f ON f.item_id = p.item_id WHERE u.hybrid_vec IS NOT NULL)", "user_id", 8), **_TRAINED, **profile_views("recent")),
     "ltr24_features": with_views("SELECT * FROM ltr", **_CANDIDATES, **_ltr_views(_RECALLED)),
-    "ltr_matrix": with_views(
-        "SELECT l.*, label, group_size FROM ltr l JOIN rows_ USING (user_id, item_id)", **_CANDIDATES,
-        grouped="SELECT user_id, count(*) AS group_size FROM candidates WHERE rank <= 20 GROUP BY user_id",
-        taken="SELECT user_id, group_size FROM grouped QUALIFY coalesce(sum(group_size) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 4000",
-        wanted="SELECT DISTINCT user_id, item_id FROM truth",
-        rows_="SELECT c.user_id, c.item_id, c.score AS recall_score, (w.item_id IS NOT NULL)::INT::DOUBLE AS label, group_size FROM candidates c JOIN taken USING (user_id) LEFT JOIN wanted w ON w.user_id = c.user_id AND w.item_id = c.item_id WHERE rank <= 20",
-        **_ltr_views("SELECT user_id, item_id, recall_score FROM rows_"),
-    ),
+    "ltr_groups": with_views("SELECT * FROM rows_", **_GROUPS),
     "pairwise15_features": _pairwise_sql(),
 }
+
+#: SQL that takes minutes on larger tables: the tests compare it on the smallest ones.
+SLOW_ORACLES = {"ltr_matrix": with_views("SELECT l.*, label, group_size FROM ltr l JOIN rows_ USING (user_id, item_id)", **_GROUPS, **_ltr_views("SELECT user_id, item_id, recall_score FROM rows_"))}
