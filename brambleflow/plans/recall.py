@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hashed_vector, item_text
 from ..functions.vectors import cosine, fused, rounded, text_query_fused
-from ..operators import bm25, dense, fusion, lambdamart, ltr, profiles, rerank
+from ..operators import bm25, dense, fusion, hnsw, lambdamart, ltr, profiles, rerank
 from ..operators.ranking import last_n, unseen
+from ..sources.config import shared_folder
 from . import views as V
 from .views import TEXT_SIZE, with_views
 
@@ -50,6 +51,28 @@ def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.lsh_top_k(_vectors(f, "v", "query_id"), _vectors(f, "v"), K)
 
 
+def hnsw_topk(spark: SparkSession, d: str) -> DataFrame:
+    """By a neighbour graph that is saved and opened again."""
+    f = V.features(spark, d)
+    path = shared_folder(spark, "hnsw")
+    hnsw.save_index(_vectors(f, "v"), path)
+    return hnsw.search_index(hnsw.open_index(spark, path), _vectors(f, "v", "query_id"), K, skip_same=True)
+
+
+def hnsw_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph's walks find of the exact lists, and what share of all pairs they score."""
+    f = V.features(spark, d)
+    path = shared_folder(spark, "hnsw")
+    hnsw.save_index(_vectors(f, "v"), path)
+    walked = hnsw.found_by_walks(hnsw.open_index(spark, path), _vectors(f, "v", "query_id"), K + 1)
+    walked.write.parquet(f"{path}-found")
+    walked = spark.read.parquet(f"{path}-found")
+    exact = dense_topk_cosine(spark, d)
+    met = exact.join(walked.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    n = f.count()
+    return met.agg(F.count("*").alias("exact"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall")).crossJoin(walked.agg(F.round(F.sum("scored") / F.lit(max(n * n, 1)), 6).alias("scored_share")))
+
+
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The best documents of every search, by words and by the vectors of the same numbers."""
     f = V.features(spark, d)
@@ -324,7 +347,7 @@ def gbt_ndcg(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search_topk, bm25_user_recommend, doc_freq, token_overlap, dense_topk_cosine, lsh_topk, fusion_concat_norm, vector_mean_profile, short_long_hybrid_profile, kmeans_interests,
+        bm25_search_topk, bm25_user_recommend, doc_freq, token_overlap, dense_topk_cosine, lsh_topk, hnsw_topk, hnsw_recall, fusion_concat_norm, vector_mean_profile, short_long_hybrid_profile, kmeans_interests,
         two_tower_user_recall, two_tower_clustered_recall, user_candidates, training_candidates, hard_negatives, proxy_recall_maxmerge, rerank_two_signal, rerank_attention4, rerank_attention3_clipped, rerank_text_attention, attention_pool_score, rerank_user_cosine,
         ltr24_features, ltr_groups, ltr_matrix, lambdamart_ltr, pairwise15_features, lr_rerank, lr_weighted_rerank, gbt_ltr, gbt_ndcg,
     )
