@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import averaged
 from ..operators import bm25, dense, evaluation, feedback, interests, preparation, profiles
+from ..operators.neighbours import neighbour_graph
 from ..operators.ranking import ranked
 from . import recall as R
 from . import views as V
@@ -189,11 +190,35 @@ def catalog_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 def augment_similar_users(spark: SparkSession, d: str) -> DataFrame:
     history, f = V.history(spark, d), V.features(spark, d)
     users = profiles.mean_profile(history, f.select("item_id", F.col("text_vec").alias("v")), TEXT_SIZE)
-    near = dense.cosine_top_k(users.withColumnRenamed("user_id", "query_id"), users.withColumnRenamed("user_id", "item_id"), 5, skip_same=True)
+    # Only users with few rows need neighbours.
+    few = history.groupBy("user_id").count().where("count < 20").select("user_id")
+    asked = users.join(few, "user_id", "left_semi").withColumnRenamed("user_id", "query_id")
+    near = dense.cosine_top_k(asked, users.withColumnRenamed("user_id", "item_id"), 5, skip_same=True)
     neighbours = near.select(F.col("query_id").alias("user_id"), F.col("item_id").alias("other"), "rank")
     return preparation.similar_user_additions(history, neighbours, least=20, most=3, items=f).withColumn("place", F.col("place").cast("long"))
 
 
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    vectors = V.features(spark, d).select("item_id", F.col("text_vec").alias("v"))
+    return profiles.mean_profile(V.history(spark, d), vectors, TEXT_SIZE)
+
+
+def similar_users_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's nearest other users, by neighbours of neighbours."""
+    found = neighbour_graph(_profiles(spark, d).withColumnRenamed("user_id", "item_id"), 5)
+    return found.select(F.col("item_id").alias("user_id"), "other", "score", "rank")
+
+
+def similar_users_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph of users finds of the exact lists, and what share of all pairs it compares."""
+    users, counted = _profiles(spark, d), []
+    found = neighbour_graph(users.withColumnRenamed("user_id", "item_id"), 5, counted=counted).select(F.col("item_id").alias("query_id"), F.col("other").alias("item_id"), F.lit(1).alias("hit"))
+    exact = dense.cosine_top_k(users.withColumnRenamed("user_id", "query_id"), users.withColumnRenamed("user_id", "item_id"), 5, skip_same=True)
+    n = users.count()
+    met = exact.join(found, ["query_id", "item_id"], "left")
+    return met.agg(F.count("*").alias("exact"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"), F.round(F.lit(sum(counted) / max(n * (n - 1) / 2, 1)), 6).alias("compared_share"))
+
+
 def augment_semantic(spark: SparkSession, d: str) -> DataFrame:
     f = V.features(spark, d).select("item_id", F.col("text_vec").alias("v"))
     near = dense.cosine_top_k(f.withColumnRenamed("item_id", "query_id"), f, 5, skip_same=True)
@@ -245,7 +270,7 @@ QUERIES = {
     for f in (
         dense_ordinal, leave_last_n_split, kcore_filter, first_n_users, prefix_expansion, negatives_md5, cooc_pairs_leave_one, metrics_at_k, candidate_diagnostics, item_tag_scores,
         interest_fold, interest_decay, interest_profile_top5, item_interest_matches, feedback_latest_merge, exposure_join, interaction_stats, interest_update_batch, negative_profile,
-        interest_recommend, diverse_recommend, personalize_topk, rank_change_lab, freq_ordered_items, anti_existing, catalog_dedupe_first, augment_similar_users, augment_semantic,
+        interest_recommend, diverse_recommend, personalize_topk, rank_change_lab, freq_ordered_items, anti_existing, catalog_dedupe_first, augment_similar_users, similar_users_graph, similar_users_recall, augment_semantic,
         synthetic_histories, intent_fallback_words, json_salvage, anonymised_users, persona_snapshot, newest_liked, tag_catalogue, store_violations,
     )
 }
