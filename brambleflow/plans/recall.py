@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hashed_vector, item_text
 from ..functions.vectors import cosine, fused, rounded, text_query_fused
-from ..operators import bm25, dense, fusion, hnsw, lambdamart, ltr, profiles, rerank
+from ..operators import bm25, bm25_index, dense, fusion, hnsw, lambdamart, ltr, profiles, rerank
 from ..operators.ranking import last_n, unseen
 from ..sources.config import shared_folder
 from . import views as V
@@ -25,6 +25,21 @@ def bm25_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return bm25.search(bm25.build_index(V.corpus(spark, d)), V.searches(spark, d), K)
 
 
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same search by a saved index of postings by impact, with an exact early end."""
+    path = shared_folder(spark, "bm25-index")
+    bm25_index.save_index(V.corpus(spark, d), path)
+    return bm25_index.search(bm25_index.open_index(spark, path), V.searches(spark, d), K)
+
+
+def bm25_index_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of the searches' tokens, those that the early end reads, items that match and those that get exact scores."""
+    path, counted = shared_folder(spark, "bm25-index"), {}
+    bm25_index.save_index(V.corpus(spark, d), path)
+    bm25_index.search(bm25_index.open_index(spark, path), V.searches(spark, d), K, counted)
+    return spark.createDataFrame([tuple(int(counted[c]) for c in ("postings", "read", "matches", "scored"))], "postings long, read long, matches long, scored long")
+
+
 def bm25_user_recommend(spark: SparkSession, d: str) -> DataFrame:
     return bm25.recommend_users(V.history(spark, d), V.items(spark, d), K)
 
@@ -347,7 +362,7 @@ def gbt_ndcg(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search_topk, bm25_user_recommend, doc_freq, token_overlap, dense_topk_cosine, lsh_topk, hnsw_topk, hnsw_recall, fusion_concat_norm, vector_mean_profile, short_long_hybrid_profile, kmeans_interests,
+        bm25_search_topk, bm25_index_topk, bm25_index_reads, bm25_user_recommend, doc_freq, token_overlap, dense_topk_cosine, lsh_topk, hnsw_topk, hnsw_recall, fusion_concat_norm, vector_mean_profile, short_long_hybrid_profile, kmeans_interests,
         two_tower_user_recall, two_tower_clustered_recall, user_candidates, training_candidates, hard_negatives, proxy_recall_maxmerge, rerank_two_signal, rerank_attention4, rerank_attention3_clipped, rerank_text_attention, attention_pool_score, rerank_user_cosine,
         ltr24_features, ltr_groups, ltr_matrix, lambdamart_ltr, pairwise15_features, lr_rerank, lr_weighted_rerank, gbt_ltr, gbt_ndcg,
     )
@@ -524,6 +539,7 @@ def _pairwise_sql() -> str:
 _KS = "greatest(15, least(60, trunc(30 * (1.5::DOUBLE - {} / (vb + vf + 1e-9)))::INT))"
 ORACLES = {
     "bm25_search_topk": with_views(top("scored", "query_id", K), **bm25_views(DOCS, SEARCHES)),
+    "bm25_index_topk": with_views(top("scored", "query_id", K), **bm25_views(DOCS, SEARCHES)),
     "bm25_user_recommend": with_views(
         top("(SELECT query_id AS user_id, item_id, score FROM scored s WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = s.query_id AND l.item_id = s.item_id AND pos <= 5))", "user_id", K),
         **bm25_views("SELECT item_id, title AS text FROM items", USER_TEXT.format("latest")),
