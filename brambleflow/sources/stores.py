@@ -2,63 +2,46 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import _file_system, exists
+from .config import exists
+from .keyed import KeyedStore
 
 
 class VectorStore:
-    """User vectors (user_id, v) in versions of a Parquet table.
+    """User vectors: v, short_term, long_term, history (newest first) and updated_at of each user_id.
 
-    A write lays down a new version and then names it, so readers and a failed
-    write see the former one.  The newest version is that of the largest number.
+    Saved rows may lack columns: what they lack stays as it is.
     """
 
-    SCHEMA = "user_id string, v array<float>"
+    SCHEMA = "user_id string, v array<float>, short_term array<float>, long_term array<float>, history array<string>, updated_at timestamp"
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        files, at = _file_system(self.spark, self.folder)
-        if not files.exists(at):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(at)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        self.spark, self.table = spark, KeyedStore(spark, folder, self.SCHEMA, ["user_id"])
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/v{versions[-1]}")
-
-    def _write(self, rows: DataFrame) -> None:
-        versions = self._versions()
-        draft = f"{self.folder}/draft-{uuid.uuid4().hex}"
-        rows.select("user_id", F.col("v").cast("array<float>").alias("v")).write.parquet(draft)
-        files, at = _file_system(self.spark, draft)
-        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{(versions[-1] if versions else 0) + 1}")
-        if not files.rename(at, done):
-            raise OSError(f"{done} can't be named")
-        for old in versions[:-1]:
-            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{old}"), True)
+        return self.table.read()
 
     def save(self, rows: DataFrame) -> None:
-        """Inserts users and replaces those that are there."""
-        self._write(self.read().join(rows.select("user_id"), "user_id", "left_anti").unionByName(rows.select("user_id", F.col("v").cast("array<float>").alias("v"))))
+        """Inserts users and replaces what is given of those that are there; rows without updated_at are of now."""
+        own = rows if "updated_at" in rows.columns else rows.withColumn("updated_at", F.current_timestamp())
+        self.table.upsert(own)
 
     def delete(self, users: DataFrame) -> None:
-        self._write(self.read().join(users.select("user_id"), "user_id", "left_anti"))
+        self.table.delete(users)
+
+    def row(self, user: str) -> dict | None:
+        """All that is known of a user."""
+        found = self.read().where(F.col("user_id") == user).first()
+        return found.asDict() if found else None
 
     def get(self, user: str) -> list[float] | None:
-        row = self.read().where(F.col("user_id") == user).first()
-        return list(row.v) if row else None
+        found = self.row(user)
+        return list(found["v"]) if found and found["v"] is not None else None
 
     def has(self, user: str) -> bool:
-        return self.get(user) is not None
+        return self.row(user) is not None
 
     def stats(self, n: int = 5) -> tuple[int, list[str]]:
         """How many users there are, and the first few."""

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import functions as F
 
 from ..operators.feedback import FIRST, GAIN, LEAST, LOSS, MOST, STAYS
+from ..sources.keyed import BUCKETS, KeyedStore
 
 OUTPUT = "user_id string, tag string, weight double, version long"
 STATE = "weight double, version long"
@@ -60,17 +61,64 @@ def latest_weights(updates: DataFrame) -> DataFrame:
     return updates.groupBy("user_id", "tag").agg(F.max_by("weight", "version").alias("weight"))
 
 
+#: Each value with the event it came from: ts and event_id.
+_VALUES = {"liked": "boolean", "rating": "int", "comment_text": "string"}
+
+
+def feedback_store(spark: SparkSession, path: str, ts: str = "timestamp", buckets: int = BUCKETS) -> KeyedStore:
+    """The table of merged feedback: one row a user and item, each value with its event; ``ts`` is the type of the events' ts."""
+    values = ", ".join(f"{c} struct<ts: {ts}, event_id: bigint, value: {kind}>" for c, kind in _VALUES.items())
+    return KeyedStore(spark, path, f"user_id string, item_id string, {values}, interacted_at {ts}", ["user_id", "item_id"], buckets)
+
+
+def merge_events(store: KeyedStore, events: DataFrame) -> int:
+    """The latest known value of each column wins, however late or often an event comes."""
+    stamped = events.select("user_id", "item_id", *(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", F.col(c).alias("value"))).alias(c) for c in _VALUES), F.col("ts").alias("interacted_at"))
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("user_id", "item_id").agg(*(F.max(c).alias(c) for c in [*_VALUES, "interacted_at"]))
+
+    return store.upsert(latest(stamped), lambda old, new: latest(old.unionByName(new)))
+
+
+def feedback_of(store: KeyedStore) -> DataFrame:
+    """user_id, item_id, liked, rating, comment_text, interacted_at."""
+    return store.read().select("user_id", "item_id", *(F.col(f"{c}.value").alias(c) for c in _VALUES), "interacted_at")
+
+
 def merged_feedback(events: DataFrame, path: str, checkpoint: str):
-    """Starts a query that keeps one row per user and item in a table, by version folders: the latest known values win."""
-    from ..operators.feedback import latest_feedback
+    """Starts a query that keeps one row per user and item in a keyed store; a micro-batch writes the buckets it touches.
+
+    A repeated micro-batch, or one of a new checkpoint, changes nothing that is newer.
+    """
+    kind = dict(events.dtypes)["ts"]
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.parquet(f"{path}/v={number - 1}"), allowMissingColumns=True)
-        own = latest_feedback(batch).withColumnRenamed("interacted_at", "ts").withColumn("event_id", F.lit(number).cast("long"))
-        own.write.mode("overwrite").parquet(f"{path}/v={number}")
+    def merge(batch: DataFrame, _number: int) -> None:
+        merge_events(feedback_store(batch.sparkSession, path, kind), batch)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update").start()
 
 
+def exposures_joined(exposures: DataFrame, feedback: DataFrame, late: str = "1 hour", within: str = "1 day") -> DataFrame:
+    """Streams of exposures and feedback joined: each exposure with the feedback that follows ``within`` it, or with none.
+
+    ``exposures`` has user_id, item_id, ts, event_id, ``feedback`` user_id, item_id, ts,
+    liked, rating.  An exposure waits until the watermark, ``late`` behind the slower
+    stream, has passed the interval; then it comes out with nulls if nothing was
+    found.  Rows behind the watermark are dropped.  The state holds the rows of
+    an interval and of the lateness, whatever the length of the streams.
+    """
+    shown = exposures.select("user_id", "item_id", F.col("ts").alias("shown_at"), "event_id").withWatermark("shown_at", late).alias("e")
+    told = feedback.select(F.col("user_id").alias("f_user"), F.col("item_id").alias("f_item"), F.col("ts").alias("interacted_at"), "liked", "rating").withWatermark("interacted_at", late).alias("f")
+    after = F.expr(f"interacted_at >= shown_at AND interacted_at <= shown_at + INTERVAL {within}")
+    met = shown.join(told, (F.col("user_id") == F.col("f_user")) & (F.col("item_id") == F.col("f_item")) & after, "left_outer")
+    return met.select("user_id", "item_id", "shown_at", "event_id", "liked", "rating", "interacted_at", F.col("f_user").isNotNull().cast("int").alias("has_feedback"))
+
+
+def exposures_joined_batch(exposures: DataFrame, feedback: DataFrame, within: str = "1 day") -> DataFrame:
+    """The same of whole tables."""
+    shown = exposures.select("user_id", "item_id", F.col("ts").alias("shown_at"), "event_id")
+    told = feedback.select(F.col("user_id").alias("f_user"), F.col("item_id").alias("f_item"), F.col("ts").alias("interacted_at"), "liked", "rating")
+    after = F.expr(f"interacted_at >= shown_at AND interacted_at <= shown_at + INTERVAL {within}")
+    met = shown.join(told, (F.col("user_id") == F.col("f_user")) & (F.col("item_id") == F.col("f_item")) & after, "left_outer")
+    return met.select("user_id", "item_id", "shown_at", "event_id", "liked", "rating", "interacted_at", F.col("f_user").isNotNull().cast("int").alias("has_feedback"))

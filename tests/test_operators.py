@@ -266,7 +266,7 @@ def test_negatives_of_many_bins(spark, monkeypatch):
 
 
 def test_merged_feedback_keeps_the_latest_known_values(spark, tmp_path):
-    from brambleflow.streaming.interest_stream import merged_feedback
+    from brambleflow.streaming.interest_stream import feedback_of, feedback_store, merge_events, merged_feedback
 
     schema = "user_id string, item_id string, ts long, event_id long, liked boolean, rating int, comment_text string"
     first = [("u", "a", 1, 1, True, None, "good"), ("u", "b", 1, 2, False, 1, None)]
@@ -283,6 +283,13 @@ def test_merged_feedback_keeps_the_latest_known_values(spark, tmp_path):
     query = merged_feedback(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.processAllAvailable()
     query.stop()
-    last = max((tmp_path / "out").glob("v=*"), key=lambda p: int(p.name[2:]))
     columns = ["user_id", "item_id", "liked", "rating", "comment_text"]
-    assert rows(spark.read.parquet(str(last)).select(columns), "user_id", "item_id") == rows(feedback.latest_feedback(whole).select(columns), "user_id", "item_id")
+    want = rows(feedback.latest_feedback(whole).select(columns), "user_id", "item_id")
+    store = feedback_store(spark, str(tmp_path / "out"), "bigint")
+    assert rows(feedback_of(store).select(columns), "user_id", "item_id") == want
+    # A new checkpoint reads all again; late and repeated events change nothing that is newer.
+    query = merged_feedback(stream, str(tmp_path / "out"), str(tmp_path / "other"))
+    query.processAllAvailable()
+    query.stop()
+    merge_events(store, spark.createDataFrame([("u", "a", 0, 9, False, 1, "late")], schema))
+    assert rows(feedback_of(store).select(columns), "user_id", "item_id") == want
