@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from .dense import shared_candidates
+from .keywords import contained
 from .ranking import DIGITS, ranked
 
 #: Score of a keyword in the title and in the description; shares of similarity and tags; the most a tag counts.
@@ -19,24 +20,25 @@ IN_TITLE, IN_DESCRIPTION, SHARES, TAG_UNIT = 2, 1, (0.7, 0.3), 6.0
 DIVERSITY = 0.3
 
 
-def tag_scores(items: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(item_id, tag, raw) with raw > 0: keywords found in lower-cased title and description.
-
-    Texts that repeat are met once; whether the dictionary is broadcast is Spark's choice by its size.
-    """
-    texts = items.select("item_id", F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("description", F.lit(""))).alias("d"))
+def _tags_of(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(text, tag, n): how many of a tag's keywords a text contains; each distinct text is read once."""
     words = dictionary.select("tag", F.lower("keyword").alias("keyword")).distinct()
-    met = texts.select("t", "d").distinct().join(words, F.col("t").contains(F.col("keyword")) | F.col("d").contains(F.col("keyword")))
-    part = IN_TITLE * F.col("t").contains(F.col("keyword")).cast("int") + IN_DESCRIPTION * F.col("d").contains(F.col("keyword")).cast("int")
-    return texts.join(met.groupBy("t", "d", "tag").agg(F.sum(part).alias("raw")), ["t", "d"]).select("item_id", "tag", "raw")
+    found = contained(texts.select("text").distinct(), words)
+    return found.join(words, "keyword").groupBy("text", "tag").agg(F.count("*").alias("n"))
+
+
+def tag_scores(items: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(item_id, tag, raw) with raw > 0: keywords found in lower-cased title and description."""
+    own = lambda c, weight: items.select("item_id", F.lower(F.coalesce(c, F.lit(""))).alias("text"), F.lit(weight).alias("weight"))
+    both = own("title", IN_TITLE).unionByName(own("description", IN_DESCRIPTION))
+    met = both.join(_tags_of(both, dictionary), "text")
+    return met.groupBy("item_id", "tag").agg(F.sum(F.col("weight") * F.col("n")).alias("raw"))
 
 
 def title_tags(items: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(item_id, tag) of keywords in the title."""
-    words = dictionary.select("tag", F.lower("keyword").alias("keyword")).distinct()
-    titles = items.select(F.lower(F.coalesce("title", F.lit(""))).alias("t")).distinct()
-    met = titles.join(words, F.col("t").contains(F.col("keyword"))).select("t", "tag").distinct()
-    return items.select("item_id", F.lower(F.coalesce("title", F.lit(""))).alias("t")).join(met, "t").select("item_id", "tag")
+    own = items.select("item_id", F.lower(F.coalesce("title", F.lit(""))).alias("text"))
+    return own.join(_tags_of(own, dictionary), "text").select("item_id", "tag")
 
 
 def item_matches(scores: DataFrame, weights: DataFrame, n: int = 3, least: float = 0.05) -> DataFrame:
