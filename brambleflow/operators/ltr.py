@@ -166,23 +166,32 @@ def training_matrix(candidates: DataFrame, truth: DataFrame, most_rows: int = MA
 EASY, BM25_UNIT, DENSE_UNIT, MOST_HARD = 0.8, 10.0, 0.5, 2.0
 
 
-def mixed_negatives(pairs: DataFrame, random: DataFrame, sparse: DataFrame, near: DataFrame, history: DataFrame, each: int) -> DataFrame:
-    """(user_id, positive, item_id, kind, weight): of every kind ``each`` negatives a positive, none of the user's history.
+#: Negatives of a positive, and the shares of random ones, of BM25's and of near ones.
+NEGATIVES, MIX = 6, (0.4, 0.3, 0.3)
 
-    ``random`` has user_id, positive, item_id; ``sparse`` and ``near`` are users'
+
+def mix(negatives: int = NEGATIVES) -> tuple[int, int, int]:
+    """How many negatives of each kind a positive gets, one at least."""
+    return tuple(max(1, int(negatives * share)) for share in MIX)
+
+
+def mixed_negatives(pairs: DataFrame, random: DataFrame, sparse: DataFrame, near: DataFrame, history: DataFrame, counts: tuple[int, int, int]) -> DataFrame:
+    """(user_id, positive, item_id, kind, weight): of each kind so many negatives a positive, none of the user's history.
+
+    ``random`` has user_id, positive, item_id, place; ``sparse`` and ``near`` are users'
     ranked lists.  Hard negatives weigh the more, the better their score.
     """
     seen = history.select("user_id", "item_id").distinct()
     own = pairs.select("user_id", F.col("item_id").alias("positive"))
 
-    def hard(found: DataFrame, kind: str, weight: Column) -> DataFrame:
+    def hard(found: DataFrame, kind: str, weight: Column, each: int) -> DataFrame:
         first = ranked(found.join(seen, ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "score"), ["user_id"], each + 1)
         met = own.join(first, "user_id").where(F.col("item_id") != F.col("positive"))
         place = F.row_number().over(Window.partitionBy("user_id", "positive").orderBy("rank"))
         return met.withColumn("place", place).where(F.col("place") <= each).select("user_id", "positive", "item_id", F.lit(kind).alias("kind"), F.round(1 + F.least(weight, F.lit(MOST_HARD)), 6).alias("weight"))
 
-    easy = random.select("user_id", "positive", "item_id", F.lit("random").alias("kind"), F.lit(EASY).alias("weight"))
-    return easy.unionByName(hard(sparse, "hard_bm25", F.col("score") / BM25_UNIT)).unionByName(hard(near, "hard_faiss", F.col("score") / DENSE_UNIT))
+    easy = random.where(F.col("place") <= counts[0]).select("user_id", "positive", "item_id", F.lit("random").alias("kind"), F.lit(EASY).alias("weight"))
+    return easy.unionByName(hard(sparse, "hard_bm25", F.col("score") / BM25_UNIT, counts[1])).unionByName(hard(near, "hard_faiss", F.col("score") / DENSE_UNIT, counts[2]))
 
 
 def held_out(user: str = "user_id") -> Column:

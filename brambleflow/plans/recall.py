@@ -177,8 +177,9 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     sparse = bm25.recommend_users(train, items, 50, profiles.LONG)
     interests = profiles.interest_set(train, _vectors(f, "text_vec"), TEXT_SIZE)
     near = dense.proxy_recall(interests, _vectors(f, "text_vec"), train, K)
-    random = profiles.hashed_negatives(pairs, f.select("item_id"), history, 1)
-    return ltr.mixed_negatives(pairs, random, sparse, near, history, 1)
+    counts = ltr.mix()
+    random = profiles.hashed_negatives(pairs, f.select("item_id"), history, counts[0])
+    return ltr.mixed_negatives(pairs, random, sparse, near, history, counts)
 
 
 def proxy_recall_maxmerge(spark: SparkSession, d: str) -> DataFrame:
@@ -581,7 +582,7 @@ ORACLES = {
         parts="SELECT query_id, item_id, rank, 'bm25' AS source, 1 / (60.0::DOUBLE + rank) AS part FROM sparse UNION ALL SELECT query_id, item_id, rank, 'faiss', 1 / (60.0::DOUBLE + rank) FROM dense",
     ),
     "hard_negatives": with_views(
-        "SELECT user_id, positive, item_id, 'random' AS kind, 0.8::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY ahead, md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM drawn) WHERE place <= 1 UNION ALL SELECT user_id, positive, item_id, kind, round(1 + least(score / unit, 2.0::DOUBLE), 6) AS weight FROM (SELECT p.user_id, p.item_id AS positive, h.item_id, kind, unit, score FROM pairs p JOIN hard h ON h.user_id = p.user_id AND h.item_id <> p.item_id QUALIFY row_number() OVER (PARTITION BY p.user_id, p.item_id, kind ORDER BY score DESC, h.item_id) <= 1)",
+        f"SELECT user_id, positive, item_id, 'random' AS kind, 0.8::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id, positive ORDER BY ahead, md5(concat_ws('#', user_id, positive, item_id, '42')), item_id) AS place FROM drawn) WHERE place <= {ltr.mix()[0]} UNION ALL SELECT user_id, positive, item_id, kind, round(1 + least(score / unit, 2.0::DOUBLE), 6) AS weight FROM (SELECT p.user_id, p.item_id AS positive, h.item_id, kind, unit, score FROM pairs p JOIN hard h ON h.user_id = p.user_id AND h.item_id <> p.item_id QUALIFY row_number() OVER (PARTITION BY p.user_id, p.item_id, kind ORDER BY score DESC, h.item_id) <= {ltr.mix()[1]})",
         **_TRAIN_LISTS,
         nb="SELECT greatest(64, count(DISTINCT item_id) // 32) AS bins FROM features",
         asked=f"SELECT user_id, item_id AS positive, {HEX.format("concat_ws('#', user_id, item_id, '42')")} % bins AS bin FROM pairs, nb",

@@ -181,9 +181,10 @@ def test_hard_negatives_and_matrix(spark):
     pairs = spark.createDataFrame([("u", "p")], "user_id string, item_id string")
     history = spark.createDataFrame([("u", "p", 1), ("u", "s", 2)], "user_id string, item_id string, ts long")
     lists = lambda *x: spark.createDataFrame(list(x), "user_id string, item_id string, score double, rank int")
-    random = spark.createDataFrame([("u", "p", "r")], "user_id string, positive string, item_id string")
-    got = rows(ltr.mixed_negatives(pairs, random, lists(("u", "s", 90.0, 1), ("u", "a", 40.0, 2), ("u", "b", 5.0, 3)), lists(("u", "a", 0.25, 1)), history, 2).select("item_id", "kind", "weight"), "kind", "item_id")
+    random = spark.createDataFrame([("u", "p", "r", 1), ("u", "p", "far", 3)], "user_id string, positive string, item_id string, place int")
+    got = rows(ltr.mixed_negatives(pairs, random, lists(("u", "s", 90.0, 1), ("u", "a", 40.0, 2), ("u", "b", 5.0, 3)), lists(("u", "a", 0.25, 1)), history, (2, 2, 1)).select("item_id", "kind", "weight"), "kind", "item_id")
     assert got == [("a", "hard_bm25", 3.0), ("b", "hard_bm25", 1.5), ("a", "hard_faiss", 1.5), ("r", "random", 0.8)]
+    assert ltr.mix(6) == (2, 1, 1) and ltr.mix(1) == (1, 1, 1) and ltr.mix(10) == (4, 3, 3)
     truth = spark.createDataFrame([("u", "a"), ("v", "x"), ("w", "y")], "user_id string, item_id string")
     found = ltr.training_matrix(lists(("u", "a", 0.9, 1), ("u", "b", 0.8, 2), ("v", "q", 0.7, 1), ("w", "y", 0.6, 1), ("z", "a", 1.0, 1)), truth, most_rows=3, each=2)
     assert rows(found.select("user_id", "item_id", "label", "group_size"), "user_id", "item_id") == [("u", "a", 1.0, 2), ("u", "b", 0.0, 2), ("v", "q", 0.0, 1)]
