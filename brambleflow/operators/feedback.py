@@ -66,7 +66,7 @@ def interaction_stats(exposures: DataFrame, feedback: DataFrame) -> DataFrame:
 def feedback_scores(feedback: DataFrame) -> DataFrame:
     """Feedback with ``pos`` and ``neg``: what it counts for and against its tags."""
     rated = F.coalesce("rating", F.lit(3))
-    up = 1 + 0.3 * F.greatest(rated - 3, F.lit(0)) + F.when(F.length("comment_text") > 0, 0.5).otherwise(0.0)
+    up = 1 + 0.3 * (rated - 3) + F.when(F.length("comment_text") > 0, 0.5).otherwise(0.0)
     down = 0.9 + 0.25 * F.greatest(3 - rated, F.lit(0))
     return feedback.withColumn("pos", F.when(is_positive(), up).otherwise(0.0)).withColumn("neg", F.when(~is_positive() & is_negative(), down).otherwise(0.0))
 
@@ -80,7 +80,8 @@ def updated_weights(weights: DataFrame, feedback: DataFrame, item_tags: DataFram
     own = feedback_scores(feedback).join(item_tags, "item_id").join(categories.select("tag", "category"), "tag")
     sums = own.groupBy("user_id", "category", "tag").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0 OR neg > 0")
     most = Window.partitionBy("user_id", "category")
-    share = lambda c: F.coalesce(F.least(F.col(c) / F.nullif(2 * F.max(c).over(most), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    # A category without any feedback of a kind gives none of it (least() would skip the null).
+    share = lambda c: F.when(F.max(c).over(most) > 0, F.least(F.col(c) / (2 * F.max(c).over(most)), F.lit(1.0))).otherwise(0.0)
     moves = sums.withColumn("p", share("pos")).withColumn("n", share("neg")).groupBy("user_id", "tag").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     both = weights.join(moves, ["user_id", "tag"], "full_outer")
     new = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), STAYS * F.coalesce("weight", F.lit(FIRST)) + GAIN * F.col("p") - LOSS * F.col("n")))

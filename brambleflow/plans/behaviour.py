@@ -349,8 +349,8 @@ ORACLES = {
     "interaction_stats": with_views("SELECT e.user_id, count(*) AS total_exposures, count(f.item_id)::BIGINT AS total_interactions, count(*) FILTER (WHERE liked)::BIGINT AS total_likes, count(rating)::BIGINT AS total_ratings, round(coalesce(avg(rating), 0), 2) AS average_rating FROM exposures e LEFT JOIN feedback f USING (user_id, item_id) GROUP BY e.user_id"),
     "interest_update_batch": with_views(
         "SELECT user_id, tag, round(greatest(0.05::DOUBLE, least(1::DOUBLE, 0.72::DOUBLE * 0.35::DOUBLE + 0.38::DOUBLE * sum(p) - 0.52::DOUBLE * sum(n))), 6) AS weight FROM shares GROUP BY user_id, tag",
-        marks="SELECT user_id, category, tag, sum(CASE WHEN liked OR rating >= 4 THEN 1 + 0.3::DOUBLE * greatest(rating - 3, 0) ELSE 0 END) AS pos, sum(CASE WHEN NOT (liked OR rating >= 4) AND (NOT liked OR rating <= 2) THEN 0.9::DOUBLE + 0.25::DOUBLE * greatest(3 - rating, 0) ELSE 0 END) AS neg FROM feedback JOIN title_tags USING (item_id) JOIN categories USING (tag) GROUP BY user_id, category, tag",
-        shares="SELECT user_id, tag, coalesce(least(pos / nullif(2 * max(pos) OVER w, 0), 1), 0) AS p, coalesce(least(neg / nullif(2 * max(neg) OVER w, 0), 1), 0) AS n FROM marks WHERE pos > 0 OR neg > 0 WINDOW w AS (PARTITION BY user_id, category)",
+        marks="SELECT user_id, category, tag, sum(CASE WHEN liked OR rating >= 4 THEN 1 + 0.3::DOUBLE * (rating - 3) ELSE 0 END) AS pos, sum(CASE WHEN NOT (liked OR rating >= 4) AND (NOT liked OR rating <= 2) THEN 0.9::DOUBLE + 0.25::DOUBLE * greatest(3 - rating, 0) ELSE 0 END) AS neg FROM feedback JOIN title_tags USING (item_id) JOIN categories USING (tag) GROUP BY user_id, category, tag",
+        shares="SELECT user_id, tag, CASE WHEN max(pos) OVER w > 0 THEN least(pos / (2 * max(pos) OVER w), 1) ELSE 0 END AS p, CASE WHEN max(neg) OVER w > 0 THEN least(neg / (2 * max(neg) OVER w), 1) ELSE 0 END AS n FROM marks WHERE pos > 0 OR neg > 0 WINDOW w AS (PARTITION BY user_id, category)",
     ),
     "negative_profile": with_views("SELECT user_id, tag, round(weight, 6) AS weight FROM negative", **_NEGATIVE),
     "interest_recommend": with_views("SELECT * FROM interest", **_SIMILAR),

@@ -122,3 +122,56 @@ def exposures_joined_batch(exposures: DataFrame, feedback: DataFrame, within: st
     after = F.expr(f"interacted_at >= shown_at AND interacted_at <= shown_at + INTERVAL {within}")
     met = shown.join(told, (F.col("user_id") == F.col("f_user")) & (F.col("item_id") == F.col("f_item")) & after, "left_outer")
     return met.select("user_id", "item_id", "shown_at", "event_id", "liked", "rating", "interacted_at", F.col("f_user").isNotNull().cast("int").alias("has_feedback"))
+
+
+#: How long a user's weights stand before they decay.
+DECAY_AFTER = "7 days"
+_KEPT = "tags array<string>, weights array<double>, version bigint, due timestamp"
+
+
+def _moved(held: dict[str, float], rows: pd.DataFrame) -> dict[str, float]:
+    """Weights that a batch of feedback changes: a tag's share is its sum against twice the largest of its category."""
+    sums = rows.groupby(["category", "tag"], sort=True)[["pos", "neg"]].sum()
+    sums = sums[(sums["pos"] > 0) | (sums["neg"] > 0)].reset_index()
+    most = 2 * sums.groupby("category")[["pos", "neg"]].transform("max")
+    shares = (sums[["pos", "neg"]] / most.where(most > 0)).clip(upper=1.0).fillna(0.0)
+    moves = shares.groupby(sums["tag"], sort=True).sum()
+    return {t: max(LEAST, min(MOST, STAYS * held.get(t, FIRST) + GAIN * p - LOSS * n)) for t, p, n in zip(moves.index, moves["pos"], moves["neg"], strict=True)}
+
+
+def weights_stream(feedback: DataFrame, item_tags: DataFrame, categories: DataFrame, late: str = "1 day", after: str = DECAY_AFTER) -> DataFrame:
+    """Updates (user_id, tag, weight, version, reason) of users' weights by a stream of feedback, with decay.
+
+    ``feedback`` has user_id, item_id, ts, liked, rating, comment_text; the tables of
+    tags are joined as they stand.  Each micro-batch of a user's feedback moves
+    the weights as ``operators.feedback.updated_weights`` does.  When event time has
+    passed ``after`` a user's last feedback, the weights decay once, and again
+    after each further interval, until all stand at the floor; a user whose weights
+    all stand there waits for feedback without a timer.  The state of a user is
+    the weights of the tags that were touched.
+    """
+    from ..operators.feedback import DECAY, DECAY_FLOOR, feedback_scores
+
+    step = pd.Timedelta(after)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tags, weights, version, due = state.get if state.exists else ([], [], 0, None)
+        held = dict(zip(tags, weights, strict=True))
+        if state.hasTimedOut:
+            changed = {t: max(DECAY_FLOOR, w * DECAY) for t, w in held.items() if w != DECAY_FLOOR}
+            reason, due = "decay", pd.Timestamp(due) + step
+        else:
+            rows = pd.concat(list(batches))
+            changed, reason = _moved(held, rows), "feedback"
+            newest = rows["ts"].max() + step
+            due = newest if due is None else max(pd.Timestamp(due), newest)
+        held |= changed
+        version += 1
+        state.update((list(held), [float(w) for w in held.values()], version, due.to_pydatetime()))
+        if any(w != DECAY_FLOOR for w in held.values()):
+            # A timer must lie ahead of the watermark.
+            state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], t, w, version, reason) for t, w in changed.items()], columns=["user_id", "tag", "weight", "version", "reason"])
+
+    own = feedback_scores(feedback.withWatermark("ts", late)).join(item_tags, "item_id").join(categories.select("tag", "category"), "tag").select("user_id", "ts", "category", "tag", "pos", "neg")
+    return own.groupBy("user_id").applyInPandasWithState(update, f"{OUTPUT}, reason string", _KEPT, "update", "EventTimeTimeout")
