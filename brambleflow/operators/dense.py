@@ -44,8 +44,11 @@ def _products(k: int, skip_same: bool):
                 order = np.argsort(i.astype(str), kind="stable")
                 i, scores = i[order], np.round(a @ b[order].T, DIGITS) + 0.0
                 out: list[tuple[str, str, float]] = []
+                most = min(k + 1, len(i))
+                least = np.partition(scores, len(i) - most, axis=1)[:, len(i) - most]
                 for n, own in enumerate(q):
-                    best = np.argsort(-scores[n], kind="stable")[: k + 1]
+                    near = np.flatnonzero(scores[n] >= least[n])  # ties stay in the order of ids
+                    best = near[np.argsort(-scores[n][near], kind="stable")][:most]
                     out += [(own, i[j], float(scores[n, j])) for j in best.tolist() if not (skip_same and i[j] == own)][:k] if skip_same else [(own, i[j], float(scores[n, j])) for j in best[:k].tolist()]
                 x, y, s = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(s, pa.float64())], names=["query_id", "item_id", "score"])
