@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,13 @@ def drop_settled(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of large values, one at a time: a batch is never copied as a whole."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
 def text_of(column: str = "text") -> Column:
     """The column's text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

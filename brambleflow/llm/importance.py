@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, drop_settled, settle, text_of
+from .common import NULL_ID, drop_settled, rows_of, settle, text_of
 from .textblocks import BLOCK_BYTES, LOWER, blocks, word_bounds, word_slices
 
 BUCKETS, MOST_WORDS = 10_000, 3
@@ -40,8 +40,8 @@ BUCKETS, MOST_WORDS = 10_000, 3
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
 #: Bytes of a word that are hashed step by step for all words together.
 STEPS = 32
-#: Rows and entries of a block of the matrix, about.
-BLOCK_ROWS, BLOCK_ENTRIES = 1 << 12, 1 << 20
+#: Bytes of text that are read together, and rows and entries of a block of the matrix, about: its arrays stay small objects for the JVM.
+TEXT_BYTES, BLOCK_ROWS, BLOCK_ENTRIES = 1 << 17, 1 << 9, 1 << 15
 _CSR = "block long, doc_ids array<long>, n_words array<int>, starts binary, buckets binary, counts binary"
 
 
@@ -139,7 +139,7 @@ def _csr_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names=["block", "doc_ids", "n_words", "starts", "buckets", "counts"])
 
-    for rows, data, offsets in blocks(batches):
+    for rows, data, offsets in blocks(batches, limit=TEXT_BYTES):
         if rows.num_rows == 1 and len(data) > 2 * BLOCK_BYTES:
             keys, n, own = _long_features(data)
             n_words = np.array([own])
@@ -174,10 +174,9 @@ def _entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, buckets, counts = _entries(row)
-            total += np.bincount(buckets, counts, BUCKETS).astype(np.int64)
+    for row in rows_of(batches):
+        _, buckets, counts = _entries(row)
+        total += np.bincount(buckets, counts, BUCKETS).astype(np.int64)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -205,15 +204,14 @@ def gumbel(doc_id: int | None, seed: int) -> int:
 
 def _weights(gain: np.ndarray, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                starts, buckets, counts = _entries(row)
-                n, w = (np.append(0, np.cumsum(x))[starts] for x in (counts, counts * gain[buckets]))
-                n, w = np.diff(n), np.diff(w)
-                score = w + np.array([gumbel(i, seed) for i in row["doc_ids"]], np.int64)
-                place = np.arange(len(w))
-                cols = pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.int64()), pa.array(score, pa.int64()), pa.array(np.full(len(w), row["block"]), pa.int64()), pa.array(place, pa.int64())
-                yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "n_words", "n_features", "weight", "score", "block", "place"])
+        for row in rows_of(batches):
+            starts, buckets, counts = _entries(row)
+            n, w = (np.append(0, np.cumsum(x))[starts] for x in (counts, counts * gain[buckets]))
+            n, w = np.diff(n), np.diff(w)
+            score = w + np.array([gumbel(i, seed) for i in row["doc_ids"]], np.int64)
+            place = np.arange(len(w))
+            cols = pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.int64()), pa.array(score, pa.int64()), pa.array(np.full(len(w), row["block"]), pa.int64()), pa.array(place, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "n_words", "n_features", "weight", "score", "block", "place"])
 
     return run, "doc_id long, n_words long, n_features long, weight long, score long, block long, place long"
 

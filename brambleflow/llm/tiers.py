@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, drop_settled, settle, text_of
+from .common import NULL_ID, drop_settled, rows_of, settle, text_of
 from .textblocks import BLOCK_BYTES, blocks, ragged, word_bounds, word_hashes, word_slices
 
 #: Bytes and documents of a shard, about; a document is never cut.
@@ -194,14 +194,13 @@ def _term_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of these shards the asked terms stand."""
     found: dict[int, int] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            terms, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.uint32)
-            asked = np.frombuffer(row["asked"], np.uint64)
-            at = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
-            there = terms[at] == asked if len(terms) else np.zeros(len(asked), bool)
-            for h, n in zip(asked[there].view(np.int64).tolist(), df[at[there]].tolist(), strict=True):
-                found[h] = found.get(h, 0) + n
+    for row in rows_of(batches):
+        terms, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.uint32)
+        asked = np.frombuffer(row["asked"], np.uint64)
+        at = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
+        there = terms[at] == asked if len(terms) else np.zeros(len(asked), bool)
+        for h, n in zip(asked[there].view(np.int64).tolist(), df[at[there]].tolist(), strict=True):
+            found[h] = found.get(h, 0) + n
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["h", "n"])
 
 
@@ -269,25 +268,24 @@ def _scan(k: int, level: int):
         ready: dict[int, int] = {}
         read: dict[int, int] = {}
         shard = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if shard is None or shard.number != row["shard"]:
-                    shard = _Shard(row, level)
-                terms, weights = np.frombuffer(row["terms_"], np.int64).view(np.uint64), np.frombuffer(row["weights"], np.int64)
-                for i, item in enumerate(row["items"]):
-                    own = slice(row["starts"][i], row["starts"][i + 1])
-                    lower, upper, n = shard.bounds(terms[own], weights[own])
-                    have = best.get(item)
-                    least = max(row["least"][i], int(have[-1, 0]) if have is not None and len(have) == k else 1)
-                    could = upper[(upper > lower) & (upper >= least)]
-                    if len(could):
-                        ready[item] = max(ready.get(item, 0), int(could.max()))
-                    read[item] = read.get(item, 0) + n
-                    found = np.flatnonzero(lower >= least)
-                    if len(found):
-                        rows = np.column_stack([lower[found], shard.ids[found], np.full(len(found), shard.number), found])
-                        rows = rows if have is None else np.concatenate([have, rows])
-                        best[item] = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], -rows[:, 0]))[:k]]
+        for row in rows_of(batches):
+            if shard is None or shard.number != row["shard"]:
+                shard = _Shard(row, level)
+            terms, weights = np.frombuffer(row["terms_"], np.int64).view(np.uint64), np.frombuffer(row["weights"], np.int64)
+            for i, item in enumerate(row["items"]):
+                own = slice(row["starts"][i], row["starts"][i + 1])
+                lower, upper, n = shard.bounds(terms[own], weights[own])
+                have = best.get(item)
+                least = max(row["least"][i], int(have[-1, 0]) if have is not None and len(have) == k else 1)
+                could = upper[(upper > lower) & (upper >= least)]
+                if len(could):
+                    ready[item] = max(ready.get(item, 0), int(could.max()))
+                read[item] = read.get(item, 0) + n
+                found = np.flatnonzero(lower >= least)
+                if len(found):
+                    rows = np.column_stack([lower[found], shard.ids[found], np.full(len(found), shard.number), found])
+                    rows = rows if have is None else np.concatenate([have, rows])
+                    best[item] = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], -rows[:, 0]))[:k]]
         for item, n in read.items():
             rows = best.get(item, np.zeros((0, 4), np.int64))
             m = len(rows)
