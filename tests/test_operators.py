@@ -293,3 +293,45 @@ def test_merged_feedback_keeps_the_latest_known_values(spark, tmp_path):
     query.stop()
     merge_events(store, spark.createDataFrame([("u", "a", 0, 9, False, 1, "late")], schema))
     assert rows(feedback_of(store).select(columns), "user_id", "item_id") == want
+
+
+def test_top_k_in_cells_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dense, "SIDE_BYTES", 9000)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(1300, 6)), 1)
+    v[5:60] = v[4]
+    ids = [f"n{i}" for i in range(len(v))]
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "item_id string, v array<double>").repartition(3)
+    queries = items.withColumnRenamed("item_id", "query_id").where("query_id LIKE 'n1%' OR query_id IN ('n4', 'n5')")
+    found = dense.top_k(queries, items, 7, skip_same=True)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # no side is copied to all tasks
+    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in found.collect()}
+    asked = [i for i in ids if i.startswith("n1") or i in ("n4", "n5")]
+    assert len(got) == 7 * len(asked)
+    for q in asked:
+        scores = np.round(v @ v[ids.index(q)], 6) + 0.0
+        want = sorted((-s, i) for i, s in zip(ids, scores, strict=True) if i != q)[:7]
+        assert [got[q, r + 1] for r in range(7)] == [(i, pytest.approx(-s, abs=1e-9)) for s, i in want]
+
+
+def test_lsh_meets_pairs_of_a_bucket_without_a_join_of_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    items = spark.createDataFrame([(f"n{i}", rng.normal(size=6).tolist()) for i in range(300)], "item_id string, v array<double>")
+    found = dense.lsh_top_k(items.withColumnRenamed("item_id", "query_id"), items, 4, bucket=0.1, tables=3, most=0.8)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    got = sorted((r.query_id, r.item_id, r.score, r["rank"]) for r in found.collect())
+
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from brambleflow.operators.ranking import ranked
+
+    unit = lambda key: items.select(F.col("item_id").alias(key), V.normalized(F.col("v")).alias("v")).withColumn("features", array_to_vector("v"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.1, numHashTables=3, seed=42).fit(unit("item_id"))
+    near = model.approxSimilarityJoin(unit("query_id"), unit("item_id"), 0.8, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.item_id").alias("item_id"), V.dot(F.col("datasetA.v"), F.col("datasetB.v")).alias("score"))
+    assert got == sorted((r.query_id, r.item_id, r.score, r["rank"]) for r in ranked(near, ["query_id"], 4).collect())
