@@ -335,3 +335,27 @@ def test_lsh_meets_pairs_of_a_bucket_without_a_join_of_pairs(spark):
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.1, numHashTables=3, seed=42).fit(unit("item_id"))
     near = model.approxSimilarityJoin(unit("query_id"), unit("item_id"), 0.8, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.item_id").alias("item_id"), V.dot(F.col("datasetA.v"), F.col("datasetB.v")).alias("score"))
     assert got == sorted((r.query_id, r.item_id, r.score, r["rank"]) for r in ranked(near, ["query_id"], 4).collect())
+
+
+def test_scored_pairs_meet_only_their_items(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"red word{i}" if i % 2 else "red red blue") for i in range(50)], "item_id string, text string")
+    queries = spark.createDataFrame([(f"q{i}", "red blue word3") for i in range(40)], "query_id string, text string")
+    pairs = spark.createDataFrame([("q1", "d3"), ("q1", "d4"), ("q2", "d4"), ("q2", "none")], "query_id string, item_id string")
+    index = bm25.build_index(docs)
+    want = {(r.query_id, r.item_id): r.score for r in bm25.scored(index, bm25.query_tokens(queries)).collect()}
+    assert bm25.scored(index, bm25.query_tokens(queries), pairs).count() == 3
+    got = rows(bm25.score_pairs(index, queries, pairs).select("query_id", "item_id", "score"), "query_id", "item_id")
+    assert got == [(q, i, pytest.approx(want.get((q, i), 0.0))) for q, i in [("q1", "d3"), ("q1", "d4"), ("q2", "d4"), ("q2", "none")]]
+
+
+def test_users_best_items_of_repeated_titles(spark):
+    words = ["red", "blue", "ring", "bolt", "rod"]
+    items = [(f"i{n:03}", f"{words[n % 5]} {words[n // 5 % 5]}") for n in range(150)]
+    log = [(f"u{u}", f"i{(u * 37 + t * 11) % 150:03}", t) for u in range(12) for t in range(4)]
+    history = spark.createDataFrame(log, "user_id string, item_id string, ts long")
+    titled = spark.createDataFrame(items, "item_id string, title string")
+    queries = bm25.user_queries(history, titled)
+    seen = history.select(F.col("user_id").alias("query_id"), "item_id").distinct()
+    index = bm25.build_index(titled, text="title")
+    want = rows(bm25.search(index, queries, 8, seen).select("query_id", "item_id", "score", "rank"), "query_id", "rank")
+    assert rows(bm25.recommend_users(history, titled, 8).select("user_id", "item_id", "score", "rank"), "user_id", "rank") == want
