@@ -55,10 +55,27 @@ def interest_query(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
     return words.groupBy("user_id").agg(F.array_join(F.slice(flat, 1, 50), " ").alias("text"))
 
 
-def weighted_tags(scores: DataFrame, weights: DataFrame) -> DataFrame:
+def tag_sums(pairs: DataFrame, scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """(user_id, item_id, score): of given pairs with a common tag, the item's scores by the user's weights.
+
+    Items meet their tags first, so rows grow with the pairs, not with users times items.
+    """
+    met = pairs.select("user_id", "item_id").distinct().join(scores, "item_id").join(weights, ["user_id", "tag"])
+    return met.groupBy("user_id", "item_id").agg(F.sum(F.col("raw") * F.col("weight")).alias("score"))
+
+
+def largest_sums(scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """(user_id, most): a user's largest sum of tags over all items; items of equal tag scores count once."""
+    own = scores.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("tag", "raw"))).alias("tags")).select("tags").distinct()
+    met = own.select("tags", F.explode("tags").alias("x")).select("tags", "x.tag", "x.raw").join(weights, "tag")
+    sums = met.groupBy("user_id", "tags").agg(F.sum(F.col("raw") * F.col("weight")).alias("sum"))
+    return sums.groupBy("user_id").agg(F.max("sum").alias("most"))
+
+
+def weighted_tags(pairs: DataFrame, scores: DataFrame, weights: DataFrame) -> DataFrame:
     """(user_id, item_id, tags): scores of an item's tags by the user's weights, over the most they could count."""
     tags = weights.groupBy("user_id").agg(F.count("*").alias("n"))
-    met = scores.join(weights, "tag").groupBy("user_id", "item_id").agg(F.sum(F.col("raw") * F.col("weight")).alias("sum"))
+    met = tag_sums(pairs, scores, weights).withColumnRenamed("score", "sum")
     return met.join(tags, "user_id").select("user_id", "item_id", (F.col("sum") / (TAG_UNIT * F.col("n"))).alias("tags"))
 
 
@@ -80,7 +97,7 @@ def interest_candidates(users: DataFrame, features: DataFrame, scores: DataFrame
 
 def interest_recommend(similar: DataFrame, scores: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """By similarity to the user's interest query (user_id, item_id, similarity) and by tags."""
-    met = similar.join(weighted_tags(scores, weights), ["user_id", "item_id"], "left")
+    met = similar.join(weighted_tags(similar, scores, weights), ["user_id", "item_id"], "left")
     out = met.withColumn("score", SHARES[0] * F.col("similarity") + SHARES[1] * F.coalesce("tags", F.lit(0.0)))
     return ranked(out.select("user_id", "item_id", "score"), ["user_id"], k)
 
@@ -104,20 +121,23 @@ def negative_profile(disliked: DataFrame, scores: DataFrame) -> DataFrame:
     return sums.withColumn("weight", F.col("sum") / F.max("sum").over(Window.partitionBy("user_id"))).select("user_id", "tag", "weight")
 
 
-def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked: DataFrame, negative: DataFrame, k: int) -> DataFrame:
+def personalized(base: DataFrame, interest: DataFrame, liked: DataFrame, blocked: DataFrame, negative: DataFrame, k: int, most: DataFrame | None = None) -> DataFrame:
     """A user's candidates (user_id, item_id, rank_score) by interest, likes and dislikes.
 
-    ``interest`` and ``negative`` have user_id, item_id, score.  Blocked items go
+    ``interest`` and ``negative`` have user_id, item_id, score, each taken against
+    the user's largest, which ``most`` (user_id, most) gives for ``negative`` where
+    its rows are the candidates' alone.  Blocked items go
     unless that leaves nothing.  Interest items that aren't candidates, max(2,
     k // 3) of them, are put in.  Returns user_id, item_id, final_score, origin, rank.
     """
     unit = lambda df, name: df.select("user_id", "item_id", (F.col("score") / F.max("score").over(Window.partitionBy("user_id"))).alias(name))
+    dislike = unit(negative, "negative") if most is None else negative.join(most, "user_id").select("user_id", "item_id", (F.col("score") / F.col("most")).alias("negative"))
     own = base.join(blocked.select("user_id", "item_id").distinct().withColumn("bad", F.lit(1)), ["user_id", "item_id"], "left")
     left = F.sum(F.when(F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("user_id"))
     own = own.withColumn("left", left).where("bad IS NULL OR left = 0").drop("bad", "left")
     interest_unit = unit(interest, "interest")
     likes = liked.select("user_id", "item_id").distinct().withColumn("liked", F.lit(1))
-    met = own.join(interest_unit, ["user_id", "item_id"], "left").join(unit(negative, "negative"), ["user_id", "item_id"], "left").join(likes, ["user_id", "item_id"], "left")
+    met = own.join(interest_unit, ["user_id", "item_id"], "left").join(dislike, ["user_id", "item_id"], "left").join(likes, ["user_id", "item_id"], "left")
     i = F.when(F.col("liked") == 1, F.greatest(F.coalesce("interest", F.lit(0.7)), F.when(F.col("interest").isNotNull(), F.lit(0.8)).otherwise(F.lit(0.7)))).otherwise(F.coalesce("interest", F.lit(0.0)))
     n, s = F.coalesce("negative", F.lit(0.0)), F.col("rank_score")
     # Rounded, so that the order of a sum cannot carry a value over a threshold.

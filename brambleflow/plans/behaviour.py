@@ -162,8 +162,9 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
     latest = _latest(spark, d)
     scores = interests.tag_scores(V.items(spark, d), V.dictionary(spark))
     negative = interests.negative_profile(latest.where(feedback.is_negative()), scores)
-    against = scores.join(negative, "tag").groupBy("user_id", "item_id").agg(F.sum(F.col("raw") * F.col("weight")).alias("score"))
-    return interests.personalized(_base(spark, d), _interest(spark, d, 20), latest.where("liked"), latest.where(feedback.is_negative()), against, 8)
+    base = _base(spark, d)
+    against, most = interests.tag_sums(base, scores, negative), interests.largest_sums(scores, negative)
+    return interests.personalized(base, _interest(spark, d, 20), latest.where("liked"), latest.where(feedback.is_negative()), against, 8, most)
 
 
 def personalize_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -359,3 +359,16 @@ def test_users_best_items_of_repeated_titles(spark):
     index = bm25.build_index(titled, text="title")
     want = rows(bm25.search(index, queries, 8, seen).select("query_id", "item_id", "score", "rank"), "query_id", "rank")
     assert rows(bm25.recommend_users(history, titled, 8).select("user_id", "item_id", "score", "rank"), "user_id", "rank") == want
+
+
+def test_tag_sums_of_pairs_and_largest_sums(spark):
+    scores = spark.createDataFrame([(f"i{n}", t, 1 + n % 3) for n in range(30) for t in ("a", "b")] + [("top", "a", 9)], "item_id string, tag string, raw long")
+    weights = spark.createDataFrame([("u", "a", 0.5), ("u", "b", 0.25), ("v", "b", 1.0)], "user_id string, tag string, weight double")
+    pairs = spark.createDataFrame([("u", "i0"), ("u", "i1"), ("v", "i1"), ("v", "top"), ("w", "i1")], "user_id string, item_id string")
+    assert rows(interests.tag_sums(pairs, scores, weights), "user_id", "item_id") == [("u", "i0", 0.75), ("u", "i1", 1.5), ("v", "i1", 2.0)]
+    assert rows(interests.largest_sums(scores, weights), "user_id") == [("u", 4.5), ("v", 3.0)]
+    base = pairs.withColumn("rank_score", F.lit(0.5))
+    none = pairs.limit(0)
+    every = pairs.select("user_id").distinct().crossJoin(scores.select("item_id").distinct())
+    lists = [interests.personalized(base, none.withColumn("score", F.lit(0.0)), none, none, *own) for own in ((interests.tag_sums(every, scores, weights), 8), (interests.tag_sums(base, scores, weights), 8, interests.largest_sums(scores, weights)))]
+    assert rows(lists[0], "user_id", "rank") == rows(lists[1], "user_id", "rank")
