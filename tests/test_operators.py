@@ -372,3 +372,17 @@ def test_tag_sums_of_pairs_and_largest_sums(spark):
     every = pairs.select("user_id").distinct().crossJoin(scores.select("item_id").distinct())
     lists = [interests.personalized(base, none.withColumn("score", F.lit(0.0)), none, none, *own) for own in ((interests.tag_sums(every, scores, weights), 8), (interests.tag_sums(base, scores, weights), 8, interests.largest_sums(scores, weights)))]
     assert rows(lists[0], "user_id", "rank") == rows(lists[1], "user_id", "rank")
+
+
+def test_first_groups_hold_all_users_that_a_matrix_takes(spark):
+    from brambleflow.operators import ltr
+
+    counts = spark.createDataFrame([("a", 0), ("b", 3), ("c", 0), ("d", 4), ("e", 5), ("f", 9)], "user_id string, rows long")
+    users = lambda n: [r.user_id for r in ltr.first_groups(counts, n).orderBy("user_id").collect()]
+    assert users(3) == ["a", "b"] and users(4) == ["a", "b", "c", "d"] and users(12) == list("abcde") and users(100) == list("abcdef")
+    found = [(u, f"i{n}", 1.0, n + 1) for u, each in (("a", 1), ("b", 3), ("d", 6), ("e", 5), ("f", 9)) for n in range(each)]
+    candidates = spark.createDataFrame(found, "user_id string, item_id string, score double, rank int")
+    truth = spark.createDataFrame([(u, "i0") for u in "abcdef"], "user_id string, item_id string")
+    for n in (3, 5, 9, 12, 40):
+        own = candidates.join(ltr.first_groups(counts, n), "user_id", "left_semi")
+        assert rows(ltr.training_matrix(own, truth, n), "user_id", "rank") == rows(ltr.training_matrix(candidates, truth, n), "user_id", "rank")
