@@ -386,3 +386,18 @@ def test_first_groups_hold_all_users_that_a_matrix_takes(spark):
     for n in (3, 5, 9, 12, 40):
         own = candidates.join(ltr.first_groups(counts, n), "user_id", "left_semi")
         assert rows(ltr.training_matrix(own, truth, n), "user_id", "rank") == rows(ltr.training_matrix(candidates, truth, n), "user_id", "rank")
+
+
+def test_text_recall_meets_each_distinct_text_once(spark, monkeypatch):
+    from brambleflow.operators.ranking import last_n, ranked
+    from brambleflow.plans import service
+
+    folder, own, top, asked = "/root/testdata/sf0.001", views.items, dense.cosine_top_k, []
+    twice = lambda s, d: own(s, d).unionByName(own(s, d).withColumn("item_id", F.concat(F.lit("1x"), "item_id")))
+    monkeypatch.setattr(views, "items", twice)
+    monkeypatch.setattr(dense, "cosine_top_k", lambda q, i, k, **more: (asked.append((q, i)), top(q, i, k, **more))[1])
+    got = rows(service.bert_user_recommend(spark, folder).select("user_id", "item_id", "score", "rank"), "user_id", "rank")
+    assert asked[0][1].count() * 2 <= twice(spark, folder).count()
+    seen = last_n(views.history(spark, folder), 5).select(F.col("user_id").alias("query_id"), "item_id").distinct()
+    every = top(asked[0][0], service._encoded(service._item_texts(spark, folder), "item_id"), 15).drop("rank").join(seen, ["query_id", "item_id"], "left_anti")
+    assert got == rows(ranked(every, ["query_id"], 10).select("query_id", "item_id", "score", "rank"), "query_id", "rank")
