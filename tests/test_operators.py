@@ -401,3 +401,29 @@ def test_text_recall_meets_each_distinct_text_once(spark, monkeypatch):
     seen = last_n(views.history(spark, folder), 5).select(F.col("user_id").alias("query_id"), "item_id").distinct()
     every = top(asked[0][0], service._encoded(service._item_texts(spark, folder), "item_id"), 15).drop("rank").join(seen, ["query_id", "item_id"], "left_anti")
     assert got == rows(ranked(every, ["query_id"], 10).select("query_id", "item_id", "score", "rank"), "query_id", "rank")
+
+
+def test_placed_history_is_placed_among_all_rows(spark):
+    log = spark.createDataFrame([("u", f"i{t}", t) for t in range(1, 8)] + [("w", "i1", 1)], "user_id string, item_id string, ts long")
+    f = spark.createDataFrame([("i1", [1.0, 0.0]), ("i5", [0.0, 1.0]), ("i6", [1.0, 1.0])], "item_id string, v array<double>")
+    own = profiles.placed(log, f)
+    assert [(r.user_id, r.item_id, r.pos, r["size"]) for r in own.orderBy("user_id", "pos").collect()] == [("u", "i6", 2, 7), ("u", "i5", 3, 7), ("u", "i1", 7, 7), ("w", "i1", 1, 1)]
+    assert profiles.placed(own, f) is own
+    assert rows(profiles.history_halves(own, 4).select("item_id", "pos", "half"), "pos") == rows(profiles.history_halves(log, 4).join(f, "item_id").select("item_id", "pos", "half"), "pos")
+    assert rows(profiles.interest_set(own, f, 2), "user_id", "number") == rows(profiles.interest_set(log, f, 2), "user_id", "number")
+
+
+def test_attention_gives_the_mean_similarity_of_a_pair_with_its_history(spark):
+    history = spark.createDataFrame([("u", "a", 1), ("u", "b", 2)], "user_id string, item_id string, pos int")
+    f = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 4.0])], "item_id string, v array<double>")
+    pairs = spark.createDataFrame([("u", "c"), ("u", "none")], "user_id string, item_id string")
+    found = rows(rerank.attention_pooled(pairs, history, f, 2, mean=True), "item_id")
+    # Weights 3/11 and 8/11: the pooled vector is (3/11, 16/11).
+    assert found[0][2:] == pytest.approx(((9 + 64) / math.hypot(3, 16) / 5, 0.7)) and found[1][2:] == (0.0, 0.0)
+
+
+def test_user_ids_with_the_separator_of_query_ids(spark):
+    interests = spark.createDataFrame([("a#1", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0])], "user_id string, number int, v array<double>")
+    items = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "item_id string, v array<double>")
+    none = spark.createDataFrame([], "user_id string, item_id string")
+    assert [(r.user_id, r.item_id) for r in dense.proxy_recall(interests, items, none, 1).orderBy("user_id").collect()] == [("a", "y"), ("a#1", "x")]
