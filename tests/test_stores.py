@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brambleflow.functions import text as T
 from brambleflow.functions import vectors as V
 from brambleflow.operators import encoders, evaluation, feedback, fusion, interests, ltr, preparation, profiles, ranking, rerank
+from brambleflow.plans import behaviour
 from brambleflow.sources import config, readers, schemas, stores
 
 
@@ -240,3 +241,26 @@ def test_fusion_by_strategy(spark):
     a, b = spark.createDataFrame([("q", "a", 3.0, 1), ("r", "a", 3.0, 1)], schema), spark.createDataFrame([("q", "b", 0.5, 1), ("r", "c", 0.5, 1)], schema)
     searches = spark.createDataFrame([("q", "hybrid"), ("r", "dense")], "query_id string, strategy string")
     assert {(r.query_id, r.item_id) for r in fusion.by_strategy(searches, a, b, 5).collect()} == {("q", "a"), ("q", "b"), ("r", "c")}
+
+
+def test_synthetic_histories_compare_only_the_pools_of_anchors(spark, monkeypatch):
+    asked = []
+    whole = behaviour.dense.cosine_top_k
+    monkeypatch.setattr(behaviour.dense, "cosine_top_k", lambda q, *a, **b: asked.append(q.count()) or whole(q, *a, **b))
+    behaviour.synthetic_histories(spark, "/root/testdata/sf0.001").count()
+    assert asked == [80]
+
+
+def test_clusters_of_all_starts_at_once_equal_those_of_one_after_another():
+    rng = np.random.default_rng(3)
+    for x in [rng.normal(size=(30, 8)), np.unique(rng.integers(0, 3, (40, 3)).astype(float), axis=0)]:
+        k, draw, best = int(np.clip(np.ceil(np.sqrt(len(x) / 2)), 2, 5)), np.random.default_rng(42), np.inf
+        for _ in range(profiles.STARTS):
+            c = x[draw.choice(len(x), k, replace=False)]
+            for _ in range(25):
+                own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
+            spread = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+            if spread < best - 1e-12:
+                best, want = spread, c
+        assert np.array_equal(profiles.clustered(x), want)
