@@ -427,3 +427,24 @@ def test_user_ids_with_the_separator_of_query_ids(spark):
     items = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "item_id string, v array<double>")
     none = spark.createDataFrame([], "user_id string, item_id string")
     assert [(r.user_id, r.item_id) for r in dense.proxy_recall(interests, items, none, 1).orderBy("user_id").collect()] == [("a", "y"), ("a#1", "x")]
+
+
+def test_best_pairs_come_from_cells_of_bounded_size(spark, monkeypatch):
+    words = [f"w{n}" for n in range(12)]
+    docs = [(f"d{n:03d}", " ".join(words[(n * m) % 12] for m in range(1, 2 + n % 6))) for n in range(90)] + [(f"e{n}", "w1 w2 w3") for n in range(20)]
+    docs = spark.createDataFrame(docs, "item_id string, text string")
+    queries = bm25.query_tokens(spark.createDataFrame([("q", "w1 w2 w2"), ("r", "w3 w4 w5 zinc"), ("s", "zinc")], "query_id string, text string"))
+    index = bm25.build_index(docs)
+    all_pairs = bm25.scored(index, queries).where("score > 0").drop("items").collect()
+    want = {q: sorted((-round(r.score, 6), r.item_id) for r in all_pairs if r.query_id == q)[:7] for q in "qr"}
+    monkeypatch.setattr(bm25, "POSTINGS", 5)
+    monkeypatch.setattr(bm25, "PAIRS", 7)
+    found = bm25.best(index, queries, 7).collect()
+    assert {q: sorted((-round(r.score, 6), r.item_id) for r in found if r.query_id == q)[:7] for q in "qr"} == want
+    assert {r.query_id for r in found} == {"q", "r"} and all(r["items"] == 1 for r in found)
+    whole = {(r.query_id, r.item_id) for r in bm25.best(index, queries, 7, ties=True).collect()}
+    for q in "qr":
+        least = -want[q][-1][0] - 1e-6
+        assert {r.item_id for r in all_pairs if r.query_id == q and r.score > least} <= {i for p, i in whole if p == q}
+    monkeypatch.setattr(bm25, "POSTINGS", 1 << 19)
+    assert len([r for r in bm25.best(index, queries, 7).collect() if r.query_id == "q" and r.item_id[0] == "e"]) <= 7
