@@ -448,3 +448,12 @@ def test_best_pairs_come_from_cells_of_bounded_size(spark, monkeypatch):
         assert {r.item_id for r in all_pairs if r.query_id == q and r.score > least} <= {i for p, i in whole if p == q}
     monkeypatch.setattr(bm25, "POSTINGS", 1 << 19)
     assert len([r for r in bm25.best(index, queries, 7).collect() if r.query_id == "q" and r.item_id[0] == "e"]) <= 7
+
+
+def test_a_cell_has_a_bounded_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(dense, "CELL_QUERIES", 4)
+    vecs = spark.createDataFrame([(f"v{n:03d}", [math.cos(n), math.sin(n)]) for n in range(64)], "item_id string, v array<double>").repartition(16)
+    cells = dense._in_cells(vecs.withColumnRenamed("item_id", "query_id"), vecs, lambda q, a, i, b: (__import__("numpy").arange(len(q)), __import__("numpy").zeros(len(q), int), __import__("numpy").full(len(q), float(len(q)))))
+    # Every query is in one cell of each group of items; 16 groups of blocks by a hash.
+    held = cells.collect()
+    assert len(held) == 64 and max(r.score for r in held) < 64
