@@ -265,6 +265,23 @@ def test_negatives_of_many_bins(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_positives_served_by_their_own_bin_meet_no_other(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "BINS", 2)
+    monkeypatch.setattr(profiles, "REACH", None)
+    names = [f"i{n}" for n in range(60)]
+    items = spark.createDataFrame([(n,) for n in names], "item_id string")
+    history = spark.createDataFrame([("u", n, k) for k, n in enumerate(names[:3])], "user_id string, item_id string, ts long")
+    positives = spark.createDataFrame([("u", n) for n in names[:3]], "user_id string, item_id string")
+    md5 = lambda *key: hashlib.md5("#".join([*key, "42"]).encode()).hexdigest()
+    hashed = lambda *key: int(md5(*key)[:8], 16) % 2
+    want = []
+    for positive in names[:3]:
+        free = sorted((md5("u", positive, n), n) for n in names[3:] if hashed(n) == hashed("u", positive))
+        want += [("u", positive, n, k + 1) for k, (_, n) in enumerate(free[:4])]
+    got = [tuple(r) for r in profiles.hashed_negatives(positives, items, history, 4).select("user_id", "positive", "item_id", "place").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_merged_feedback_keeps_the_latest_known_values(spark, tmp_path):
     from brambleflow.streaming.interest_stream import feedback_of, feedback_store, merge_events, merged_feedback
 
