@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.config import shared_folder
-from .bm25 import B, K1, LEAST_MEAN, query_tokens
+from .bm25 import B, K1, LEAST_MEAN, count_matches, query_tokens
 from .ranking import ranked
 
-#: Postings of a block, and how many times k items get exact scores for the threshold.
-BLOCK, TRIED = 128, 3
+#: Postings of a block, how many times k items get exact scores for the threshold, and postings of a task at most that can be summed.
+BLOCK, TRIED, TASK_POSTINGS = 128, 3, 1 << 20
 #: Two roundings of a score can differ by as much.
 MARGIN = 2e-6
 _BLOCKS = "token string, impact double, items array<string>, impacts array<double>"
@@ -141,12 +141,17 @@ def search(index: ImpactIndex, queries: DataFrame, k: int, counted: dict[str, in
     sums = sums.withColumn("unread", unread).withColumn("rest", F.sum("unread").over(Window.partitionBy("query_id")))
     needed = written(sums.where(F.col("below") >= F.col("least")), "needed")
     met = needed.join(blocks, "token").where(F.col("total") - F.col("most") + F.col("weight") * F.col("impact") >= F.col("least"))
+    # Hardly two postings of a file are of one pair, so they are dealt before they are summed, to so many tasks that a task's pairs are bounded.
+    tasks = min(2000, max(2 * spark.sparkContext.defaultParallelism, needed.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] // TASK_POSTINGS))
     rows = met.select("query_id", "least", "rest", "weight", "unread", F.explode(F.arrays_zip("items", "impacts")).alias("x"))
-    bounds = rows.groupBy("query_id", F.col("x.items").alias("item_id")).agg(F.first("least").alias("least"), (F.first("rest") + F.sum(F.col("weight") * F.col("x.impacts") - F.col("unread"))).alias("upper"))
+    rows = rows.select("query_id", F.col("x.items").alias("item_id"), "least", "rest", (F.col("weight") * F.col("x.impacts") - F.col("unread")).alias("more")).repartition(tasks, "query_id", "item_id")
+    bounds = rows.groupBy("query_id", "item_id").agg(F.first("least").alias("least"), (F.first("rest") + F.sum("more")).alias("upper"))
     candidates = written(bounds.where(F.col("upper") >= F.col("least")).select("query_id", "item_id"), "candidates")
     if counted is not None:
         counted["postings"] = asked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         counted["read"] = sum(x.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0] for x in (first, met))
         counted["scored"] = tried.count() + candidates.count()
-        counted["matches"] = asked.join(blocks, "token").select("query_id", F.explode("items")).distinct().count()
+        known = asked.select("token", "df").distinct()
+        postings = blocks.join(known.select("token"), "token", "left_semi").select("token", F.explode("items").alias("item_id"))
+        counted["matches"] = count_matches(asked, postings, known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
     return ranked(_exact(index, asked, candidates).where("score > 0"), ["query_id"], k)

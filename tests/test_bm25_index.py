@@ -79,3 +79,17 @@ def test_empty_tables(spark):
     index = opened(spark, [("a", "a a"), ("b", "b")])
     assert bm25_index.search(index, queries.limit(0), 3).count() == 0
     assert [r.item_id for r in bm25_index.search(index, queries, 3).orderBy("rank").collect()] == [r.item_id for r in bm25.search(bm25.build_index(spark.createDataFrame([("a", "a a"), ("b", "b")], "item_id string, text string")), queries, 3).orderBy("rank").collect()]
+
+
+def test_matches_are_counted_in_cells(spark, library, monkeypatch):
+    docs, index, queries = library
+    monkeypatch.setattr(bm25, "POSTINGS", 700)
+    monkeypatch.setattr(bm25, "PAIRS", 500)
+    asked = bm25.query_tokens(queries).join(index.terms, "token").select("query_id", "token")
+    postings = index.blocks.join(asked.select("token").distinct(), "token", "left_semi").selectExpr("token", "explode(items) AS item_id")
+    words = {i: set((t or "").replace("!!", "").split()) for i, t in docs}
+    held = {}
+    for r in asked.collect():
+        held.setdefault(r.query_id, set()).add(r.token)
+    assert bm25.count_matches(asked, postings, postings.count()) == sum(bool(q & w) for q in held.values() for w in words.values())
+    assert bm25.count_matches(asked.limit(0), postings, 9) == 0
