@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..sources.config import settled
 from .dense import shared_candidates
 from .keywords import contained
 from .ranking import DIGITS, ranked
@@ -18,6 +19,8 @@ from .ranking import DIGITS, ranked
 #: Score of a keyword in the title and in the description; shares of similarity and tags; the most a tag counts.
 IN_TITLE, IN_DESCRIPTION, SHARES, TAG_UNIT = 2, 1, (0.7, 0.3), 6.0
 DIVERSITY = 0.3
+#: Items and users of a cell at most, about.
+CELL_ITEMS, CELL_USERS = 256, 4096
 
 
 def _tags_of(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -42,9 +45,27 @@ def title_tags(items: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def item_matches(scores: DataFrame, weights: DataFrame, n: int = 3, least: float = 0.05) -> DataFrame:
-    """(user_id, item_id, tag, score, rank): the n best tags of an item for a user."""
-    met = scores.join(weights, "tag").withColumn("score", F.col("raw") * F.col("weight")).where(F.col("score") >= least)
-    return ranked(met.select("user_id", "item_id", "tag", "score"), ["user_id", "item_id"], n, item="tag")
+    """(user_id, item_id, tag, score, rank): the n best tags of an item for a user.
+
+    A user and an item are one row each, with their tags, of which the dictionary
+    has few; a user has a tag once.  Users and items are dealt to cells of bounded size that together hold
+    every pair, so a frequent tag's rows aren't one task's, and pairs aren't shuffled.
+    """
+    own = settled(weights.where("tag IS NOT NULL").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "weight"))).alias("weights")), "weights")
+    held = settled(scores.groupBy("item_id").agg(F.collect_list(F.struct("tag", "raw")).alias("tags")), "tags")
+    over, down = (max(1, -(-side.count() // most)) for side, most in ((held, CELL_ITEMS), (own, CELL_USERS)))
+    group = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cell = F.col("down") * over + F.col("over")
+    tasks = min(2000, over * down)
+    users = own.select("user_id", "weights", group("user_id", down).alias("down"), each(over).alias("over")).select(cell.alias("cell"), "user_id", "weights").repartition(tasks, "cell")
+    items = held.select("item_id", "tags", group("item_id", over).alias("over"), each(down).alias("down")).select(cell.alias("cell"), "item_id", "tags").repartition(tasks, "cell")
+    # As in a ranked list: rounded, largest first, then by tag.
+    scored = F.transform("tags", lambda x: F.struct(x["tag"].alias("tag"), (x["raw"] * F.element_at("weights", x["tag"])).alias("exact")))
+    kept = F.transform(F.filter(scored, lambda x: x["exact"] >= least), lambda x: F.struct((-(F.round(x["exact"], DIGITS) + F.lit(0.0))).alias("minus"), x["tag"].alias("tag")))
+    best = F.slice(F.array_sort(kept), 1, n)
+    met = users.hint("merge").join(items, "cell").select("user_id", "item_id", F.posexplode(best).alias("at", "x"))
+    return met.select("user_id", "item_id", "x.tag", (-F.col("x.minus") + F.lit(0.0)).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def interest_query(weights: DataFrame, dictionary: DataFrame) -> DataFrame:

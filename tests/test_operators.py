@@ -282,6 +282,21 @@ def test_positives_served_by_their_own_bin_meet_no_other(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_item_matches_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(interests, "CELL_ITEMS", 3)
+    monkeypatch.setattr(interests, "CELL_USERS", 5)
+    raw = {(f"i{i}", t): 1 + (i * k) % 4 for i in range(10) for k, t in enumerate("abcde") if (i + k) % 3}
+    own = {(f"u{u}", t): 0.01 + (u * (k + 2)) % 7 / 10 for u in range(12) for k, t in enumerate("abcdx") if (u + k) % 4}
+    got = interests.item_matches(spark.createDataFrame([(*k, v) for k, v in raw.items()], "item_id string, tag string, raw long"), spark.createDataFrame([(*k, v) for k, v in own.items()] + [("u0", None, 1.0)], "user_id string, tag string, weight double"), 2)
+    want = []
+    for u in {u for u, _ in own}:
+        for i in {i for i, _ in raw}:
+            best = sorted((-round(raw[i, t] * own[u, t], 6), t) for t in "abcde" if (i, t) in raw and (u, t) in own and raw[i, t] * own[u, t] >= 0.05)
+            want += [(u, i, t, -s, r + 1) for r, (s, t) in enumerate(best[:2])]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
 def test_merged_feedback_keeps_the_latest_known_values(spark, tmp_path):
     from brambleflow.streaming.interest_stream import feedback_of, feedback_store, merge_events, merged_feedback
 
