@@ -489,3 +489,40 @@ def test_a_cell_has_a_bounded_number_of_queries(spark, monkeypatch):
     # Every query is in one cell of each group of items; 16 groups of blocks by a hash.
     held = cells.collect()
     assert len(held) == 64 and max(r.score for r in held) < 64
+
+
+def test_items_pass_by_the_queries_of_a_task_and_leave_k_rows_a_query(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(1300, 4)), 1)
+    v[30:70] = v[29]  # ties that chunks cut
+    rows = [(f"n{i}", x.tolist()) for i, x in enumerate(v)]
+
+    def want(n):
+        scores = np.round(v @ v[n], 6) + 0.0
+        best = sorted((-s, i) for (i, _), s in zip(rows, scores, strict=True) if i != rows[n][0])[:6]
+        return [(i, pytest.approx(-s, abs=1e-9)) for s, i in best]
+
+    items = spark.createDataFrame(rows, "item_id string, v array<double>").repartition(5)
+    monkeypatch.setattr(dense, "SIDE_BYTES", 1000)
+    merged, own = [], dense.ranked
+    monkeypatch.setattr(dense, "ranked", lambda df, *more: (merged.append(df), own(df, *more))[1])
+    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in dense.top_k(items.withColumnRenamed("item_id", "query_id"), items, 6, skip_same=True).collect()}
+    assert merged[0].count() == len(rows) * 6
+    # Few queries: the items are dealt to several tasks.
+    few = dense.top_k(items.where("item_id IN ('n3', 'n40')").withColumnRenamed("item_id", "query_id"), items, 6, skip_same=True)
+    assert {(r.query_id, r["rank"]): (r.item_id, r.score) for r in few.collect()} == {at: x for at, x in got.items() if at[0] in ("n3", "n40")}
+    assert merged[1].count() > 2 * 6
+    # One task: queries, then items by id in small blocks, met a few at a time.
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    monkeypatch.setattr(dense, "PASSING", 40)
+    block = lambda asks, at: pa.RecordBatch.from_pylist([{"asks": asks, "ids": [rows[i][0] for i in at], "vecs": v[at].tobytes()}])
+    batches = [block(True, list(range(20, 80)))] + [block(False, order[at : at + 17]) for at in range(0, len(order), 17)]
+    lists = {}
+    for batch in dense._passed(6, True)(batches):
+        for r in batch.to_pylist():
+            lists.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+    for n in range(20, 80):
+        assert [got[rows[n][0], r + 1] for r in range(6)] == want(n) and lists[rows[n][0]] == want(n)
