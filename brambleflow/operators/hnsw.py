@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, norm
-from .dense import _packed
+from ..sources.config import shared_folder
+from .dense import CELL_QUERIES, _blocks, _each, dealt, figures
 from .ranking import DIGITS, ranked
 
 #: Links of a node above the lowest layer (twice as many there), and how many candidates building and searching keep.
@@ -74,6 +75,11 @@ class Graph:
             which = np.nonzero(new)
             found[which] = np.einsum("kd,kd->k", queries[open_[which[0]]], self.vectors[near[which]])
             self.scored += len(which[0])
+            # Rows whose list nothing new enters stay as they are.
+            better = found.max(1) > sims[open_, -1]
+            if not better.any():
+                continue
+            open_, near, found, new = open_[better], near[better], found[better], new[better]
             both = np.concatenate([sims[open_], found], 1)
             best = np.argsort(-both, axis=1, kind="stable")[:, :ef]
             sims[open_] = np.take_along_axis(both, best, 1)
@@ -229,31 +235,66 @@ def _graph(row: dict) -> Graph:
     return Graph(np.frombuffer(row["vectors"], np.float32).reshape(n, row["size"]), [np.frombuffer(x, np.int32).reshape(n, -1) for x in row["layers"]], row["entry"])
 
 
+def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best scores and of those within two roundings of the k-th."""
+    order = np.lexsort((-scores, rows))
+    r, s = rows[order], scores[order]
+    last = s[np.minimum(np.searchsorted(r, r) + k, np.searchsorted(r, r, "right")) - 1]
+    return order[s >= last - 2 * 10.0**-DIGITS]
+
+
 def _search(k: int, ef: int):
+    """Blocks of queries first, then shards: what the queries' walks find in all of these."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids: list[str] = []
+        parts: list[np.ndarray] = []
+        queries, found, scored = None, {}, {}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["asks"]:
+                    q_ids += row["ids"]
+                    parts.append(np.frombuffer(row["vectors"]).reshape(len(row["ids"]), -1))
+                    continue
+                if not parts:
+                    return
+                queries = np.concatenate(parts) if queries is None else queries
                 graph, ids = _graph(row), np.array(row["ids"], object)
-                queries = np.frombuffer(row["q_vecs"]).reshape(len(row["q_ids"]), -1)
                 for a in range(0, len(queries), WALK):
                     own, before = queries[a : a + WALK], graph.scored
-                    found, _ = graph.search(own.astype(np.float32), k, ef)
-                    some = np.nonzero(found >= 0)
+                    near, _ = graph.search(own.astype(np.float32), k, ef)
+                    some = np.nonzero(near >= 0)
                     # Scores in doubles, as the exact search has them.
-                    score = np.einsum("kd,kd->k", own[some[0]], graph.vectors[found[some]].astype(np.float64))
-                    asked = np.array(row["q_ids"][a : a + WALK], object)
-                    scored = np.zeros(len(score), np.int64)
-                    scored[:1] = graph.scored - before
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[some[0]], pa.string()), pa.array(ids[found[some]], pa.string()), pa.array(np.round(score, DIGITS) + 0.0), pa.array(scored)], names=["query_id", "item_id", "score", "scored"])
+                    score = np.round(np.einsum("kd,kd->k", own[some[0]], graph.vectors[near[some]].astype(np.float64)), DIGITS) + 0.0
+                    new = some[0] + a, ids[near[some]], score
+                    both = tuple(np.concatenate(z) for z in zip(found[a], new, strict=True)) if a in found else new
+                    kept = _best(both[0], both[2], k)
+                    found[a], scored[a] = tuple(z[kept] for z in both), scored.get(a, 0) + graph.scored - before
+        for a, (rows, items, score) in found.items():
+            compared = np.zeros(len(rows), np.int64)
+            compared[:1] = scored[a]
+            asked = np.array(q_ids, object)[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()), pa.array(items, pa.string()), pa.array(score), pa.array(compared)], names=["query_id", "item_id", "score", "scored"])
 
     return run
 
 
 def found_by_walks(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
-    """Each shard's k best items of every query: query_id, item_id, score, scored (compared vectors, once for each block of queries)."""
-    q = _units(queries, "query_id").select(F.col("query_id").alias("id"), "v").mapInArrow(_packed, "block long, ids array<string>, vecs binary")
-    met = index.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
-    return met.mapInArrow(_search(k, ef), "query_id string, item_id string, score double, scored long")
+    """The k best items of every query, at least: query_id, item_id, score, scored (compared vectors, once for each block of queries).
+
+    A task has a group of queries of bounded size, by which the shards pass one
+    after another (few queries: some of the shards).
+    """
+    spark = index.sparkSession
+    q = _blocks(_units(queries, "query_id"), "query_id", shared_folder(spark, "walks"))
+    (blocks, asked, _, parts), shards = figures(q), index.count()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    down = max(1, -(-asked // CELL_QUERIES), min(blocks, tasks))
+    over = max(1, min(shards, -(-tasks // down)))
+    q = q.select(F.lit(True).alias("asks"), F.col("block").alias("number"), "ids", F.col("vecs").alias("vectors"), dealt(down, blocks, parts).alias("down"), _each(over).alias("over"))
+    held = index.select(F.lit(False).alias("asks"), F.col("shard").alias("number"), "ids", "vectors", "size", "layers", "entry", F.pmod("shard", F.lit(over)).alias("over"), _each(down).alias("down"))
+    met = q.unionByName(held, allowMissingColumns=True).repartitionById(down * over, (F.col("down") * over + F.col("over")).cast("int")).sortWithinPartitions(F.desc("asks"), "number")
+    return met.select("asks", "ids", "vectors", "size", "layers", "entry").mapInArrow(_search(k, ef), "query_id string, item_id string, score double, scored long")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, skip_same: bool = False, ef: int = EF_SEARCH) -> DataFrame:

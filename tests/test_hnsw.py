@@ -68,6 +68,25 @@ def test_saved_index_of_several_shards(spark):
     assert hnsw.search_index(hnsw.open_index(spark, again), queries, 5, skip_same=True).orderBy(order).collect() == got.orderBy(order).collect()
 
 
+def test_shards_pass_by_the_queries_of_a_task(spark):
+    x = points(900, 16, 20, 5)
+    items, queries = table(spark, x), table(spark, x, "query_id").repartition(8)
+    path = shared_folder(spark, "graph")
+    hnsw.save_index(items, path, shard_items=250)
+    index = hnsw.open_index(spark, path)
+    assert index.count() == 4
+    walked = hnsw.found_by_walks(index, queries, 6)
+    # Not six rows for each of four shards.
+    assert 900 * 6 <= walked.count() < 900 * 6 * 1.05
+    best = {(r.query_id, r["rank"]): r.item_id for r in hnsw.ranked(walked.select("query_id", "item_id", "score"), ["query_id"], 6).collect()}
+    graphs, scored = [(hnsw._graph(row.asDict()), row.ids) for row in index.collect()], walked.agg({"scored": "sum"}).first()[0]
+    found = [graph.search(x, 6) for graph, _ in graphs]
+    assert abs(scored / sum(graph.scored for graph, _ in graphs) - 1) < 0.01
+    for q in range(0, 900, 50):
+        each = [(-round(float(x[q].astype(float) @ graph.vectors[i].astype(float)), 6), ids[i]) for (graph, ids), (at, _) in zip(graphs, found, strict=True) for i in at[q] if i >= 0]
+        assert [best[f"i{q}", r + 1] for r in range(6)] == [i for _, i in sorted(each)[:6]]
+
+
 def test_index_of_odd_rows(spark):
     none = spark.createDataFrame([], "item_id string, v array<float>")
     path = shared_folder(spark, "graph")
