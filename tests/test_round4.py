@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from brambleflow.operators import ltr
+import numpy as np
+
+from brambleflow.operators import dense, ltr
 
 
 def test_matrix_without_bounds_has_all_groups(spark):
@@ -11,3 +13,18 @@ def test_matrix_without_bounds_has_all_groups(spark):
     got = ltr.training_matrix(lists, truth, None, None)
     assert sorted((r.user_id, r.item_id, r.label, r.group_size) for r in got.collect()) == sorted((u, i, float((u, i) in {("a", "x"), ("c", "z")}), 3) for u in "abc" for i in "xyz")
     assert ltr.training_matrix(lists, truth, 3, 2).count() == 4
+
+
+def test_distinct_vectors_give_the_lists_of_all(spark, monkeypatch):
+    base = np.random.default_rng(3).normal(size=(6, 4)).tolist()
+    vectors = spark.createDataFrame([(str(n), v) for n, v in enumerate(base)] + [("none", None)], "key string, v array<double>")
+    items = spark.createDataFrame([(str(n), str(n % 6)) for n in range(60)] + [("lost", "none")], "item_id string, key string").cache()
+    queries = items.withColumnRenamed("item_id", "query_id")
+    met = []
+    inner = dense.cosine_top_k
+    monkeypatch.setattr(dense, "cosine_top_k", lambda q, i, *a: (met.append((q.where("v IS NOT NULL").count(), i.count())), inner(q, i, *a))[1])
+    listed = lambda df: sorted((r.query_id, r.rank, r.item_id, r.score) for r in df.collect())
+    for k, same in ((13, True), (25, False)):
+        every = inner(queries.join(vectors, "key"), items.join(vectors, "key"), k, same)
+        assert listed(dense.keyed_top_k(queries, items, vectors, k, same)) == listed(every)
+        assert met.pop() == (6, 6)
