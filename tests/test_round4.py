@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from brambleflow.operators import dense, ltr
+from brambleflow.operators import dense, ltr, rerank
 
 
 def test_matrix_without_bounds_has_all_groups(spark):
@@ -28,3 +28,13 @@ def test_distinct_vectors_give_the_lists_of_all(spark, monkeypatch):
         every = inner(queries.join(vectors, "key"), items.join(vectors, "key"), k, same)
         assert listed(dense.keyed_top_k(queries, items, vectors, k, same)) == listed(every)
         assert met.pop() == (6, 6)
+
+
+def test_attention_comes_from_products_in_batches(spark):
+    pairs = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "none"), ("w", "a")], "user_id string, item_id string")
+    history = spark.createDataFrame([("u", "h"), ("u", "g")], "user_id string, item_id string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, -1.0]), ("h", [3.0, 4.0]), ("g", [0.0, 2.0]), ("none", None)], "item_id string, v array<double>")
+    out = rerank.attention_pooled(pairs, history, vectors, 2, mean=True)
+    # a: the weights are 1 and 0; b: no product is positive, so both weigh a half.
+    assert [(r.user_id, r.item_id, round(r.attention, 6), round(r.mean_similarity, 6)) for r in out.orderBy("user_id", "item_id").collect()] == [("u", "a", 0.6, 0.3), ("u", "b", -0.948683, -0.848528), ("u", "none", 0.0, 0.0), ("w", "a", 0.0, 0.0)]
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
