@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from brambleflow.operators import dense, ltr, rerank
+from brambleflow.plans import recall
 
 
 def test_matrix_without_bounds_has_all_groups(spark):
@@ -38,3 +39,10 @@ def test_attention_comes_from_products_in_batches(spark):
     # a: the weights are 1 and 0; b: no product is positive, so both weigh a half.
     assert [(r.user_id, r.item_id, round(r.attention, 6), round(r.mean_similarity, 6)) for r in out.orderBy("user_id", "item_id").collect()] == [("u", "a", 0.6, 0.3), ("u", "b", -0.948683, -0.848528), ("u", "none", 0.0, 0.0), ("w", "a", 0.0, 0.0)]
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_train_holds_the_asked_users_alone(spark, monkeypatch):
+    history = spark.createDataFrame([(u, str(n), n) for u in ("u", "w", "short") for n in range(1, 3 if u == "short" else 6)], "user_id string, item_id string, ts long")
+    monkeypatch.setattr(recall.V, "history", lambda spark, d: history)
+    pairs = spark.createDataFrame([("u", "4"), ("u", "5"), ("short", "1")], "user_id string, item_id string")
+    assert sorted((r.user_id, r.item_id, r.ts) for r in recall._train_of(spark, "", pairs).collect()) == [("u", "1", 1), ("u", "2", 2), ("u", "3", 3)]
